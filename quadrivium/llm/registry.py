@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from . import quality, toxicity
+from . import chat_rotation, decontamination, exact_dedup, piece_encoding, quality, sharding, token_attribution, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op2_decontamination": decontamination.query,
+    "op3_warc": warc.query,
+    "op4_token_attribution": token_attribution.query,
+    "op5_piece_encoding": piece_encoding.query,
     "op6_quality": quality.query,
+    "op7_exact_dedup": exact_dedup.query,
+    "op9_sharding": sharding.query,
+    "op10_chat_rotation": chat_rotation.query,
+}
+SQL = {
+    "op2_decontamination": decontamination.SQL,
+    "op3_warc": warc.SQL,
+    "op7_exact_dedup": exact_dedup.SQL,
+    "op10_chat_rotation": chat_rotation.SQL,
 }
-SQL: dict[str, str] = {}
