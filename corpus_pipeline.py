@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrivium.llm import toxicity
+from quadrivium.llm import decontamination, exact_dedup, ngram_join, piece_encoding, toxicity
 from quadrivium.llm.common import materialise, table
 
+#: (name, stage): a stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
 STAGES = [
     ("toxicity", toxicity.stage),
+    ("exact_dedup", exact_dedup.stage),
+    ("ngram_join", ngram_join.stage),
+    ("decontamination", decontamination.stage),
+    ("piece_encoding", piece_encoding.stage),
 ]
 
 #: Toxicity scores and subword ids have no SQL form; tests hold the pipeline against brute force.
@@ -17,6 +22,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

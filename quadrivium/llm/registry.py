@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_rotation, decontamination, exact_dedup, piece_encoding, quality, sharding, token_attribution, toxicity, warc
+from . import chat_rotation, decontamination, exact_dedup, ngram_join, piece_encoding, quality, sharding, token_attribution, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_piece_encoding": piece_encoding.query,
     "op6_quality": quality.query,
     "op7_exact_dedup": exact_dedup.query,
+    "op8_ngram_join": ngram_join.query,
     "op9_sharding": sharding.query,
     "op10_chat_rotation": chat_rotation.query,
 }
@@ -19,5 +20,6 @@ SQL = {
     "op2_decontamination": decontamination.SQL,
     "op3_warc": warc.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
+    "op8_ngram_join": ngram_join.SQL,
     "op10_chat_rotation": chat_rotation.SQL,
 }
