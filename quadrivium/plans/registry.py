@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import deadlines, ledger, store
+
+QUERIES = ledger.QUERIES | store.QUERIES | deadlines.QUERIES
+SQL = ledger.SQL | store.SQL | deadlines.SQL
