@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,8 +129,6 @@ def preprocess_messages(items: DataFrame) -> DataFrame:
 
 def summarise(messages: DataFrame, model, failed: str = "Pre-processing failed") -> DataFrame:
     """(course_id, summary) by an injected callable text -> text; a failure gives a marked summary."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def called(texts: pd.Series) -> pd.Series:
         def one(text):

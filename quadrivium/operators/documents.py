@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,8 +178,6 @@ def set_embeddings(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def embed_chunks(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], batch: int = 64, tries: int = 3) -> DataFrame:
     """(id, vector) of pending chunks by an injected embedder; null for a batch that failed every try."""
-    import pandas as pd
-
     def run(frames):
         for frame in frames:
             for at in range(0, len(frame), batch):

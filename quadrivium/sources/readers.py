@@ -22,9 +22,8 @@ def json_document(spark: SparkSession, path: str, schema: str, tolerant: bool =
     """A whole-file JSON document; damaged files give no usable row, missing ones an empty frame if ``tolerant``."""
     if tolerant and not exists(spark, path):
         return empty(spark, schema)
-    full = T.StructType.fromDDL(schema).add("_corrupt", T.StringType())
-    rows = spark.read.schema(full).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.where(F.col("_corrupt").isNull()).drop("_corrupt")
+    whole = spark.read.text(path, wholetext=True).where(F.try_parse_json("value").isNotNull())
+    return whole.select(F.from_json("value", schema).alias("document")).select("document.*")
 
 
 def courses(content: DataFrame) -> DataFrame:
