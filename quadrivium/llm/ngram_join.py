@@ -12,19 +12,24 @@ similarity of their sets is at least ``percent``.  Steps:
    first ``n - ceil(n * percent) + 1`` of them; unshared shingles come first and
    cannot meet a partner, so a class that has enough of them is done.
 4. Classes of identical prefix and size collapse into one *group*; prefix
-   tokens are posted for groups, and group pairs pass a size and a positional filter.
-5. Group pairs expand to their members, whose shared shingles are intersected.
-
-Only connectivity is asked for, so pairs are not enumerated within what is
-already connected: a first round verifies each block (a token's postings, a
-group's members) against one pivot, components are contracted, and only pairs
-between different components are then expanded.  No link between components is
-lost: a pair is skipped only if both sides are in one component already.
+   tokens are posted for groups.  Groups that share a token, directly or through
+   others, form a *cluster*: every candidate pair lies within one.
+5. All members of a cluster are verified against one pivot, the class with the
+   smallest share of shingles of its own.  What links to it is connected.
+6. Members left over are verified against each other and against the rest of
+   their cluster in *cells* of two blocks of bounded size: in a cell, group
+   pairs must share a prefix token and pass the size filter, then expand to
+   their members, whose shared shingles are intersected.
+
+Only connectivity is asked for, so pairs between two members that the pivot
+already connects are left out and a cell reports a spanning forest of its
+links; no link between components is lost.
 
 Hot keys: a copy's set is shipped once per task and collapses in its class;
 frequencies, pivots and components are sums and minima with map-side
-combination; joins on block or component keys are plain sort-merge joins,
-whose large partitions adaptive execution splits.
+combination; joins on cluster or component keys are plain sort-merge joins,
+whose large partitions adaptive execution splits; a cell never holds more than
+two blocks, whatever the size of its cluster.
 
 Shingles are compared by hashes of 64 bits (48 bits and a range number while
 shared ones are found): two different shingles of one pair of documents
@@ -52,6 +57,8 @@ WORDS, PERCENT = 5, 80
 #: Shingles gathered in a task before they are dealt, and text hashed at a time.
 BLOCK_TOKENS, BLOCK_BYTES = 1 << 21, 1 << 20
 CAP = 65_535
+#: Classes in a block of a cell: about half a partition's share, within these bounds.
+BLOCK_LEAST, BLOCK_MOST = 64, 1024
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -293,7 +300,7 @@ def shared_sets(docs: DataFrame, words: int, percent: int, seed: int, ranges: in
 
 
 def postings(groups: DataFrame) -> DataFrame:
-    """(token, g, n, pos) of every group's prefix."""
+    """(token, g) of every group's prefix."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -301,29 +308,121 @@ def postings(groups: DataFrame) -> DataFrame:
                 part = batch.iloc[at : at + 1000]
                 tokens = [np.frombuffer(p, dtype=np.int64) for p in part["prefix"]]
                 lengths = [len(t) for t in tokens]
-                place = np.concatenate([s + np.arange(k) for s, k in zip(part["single"], lengths, strict=True)])
-                yield pd.DataFrame({"token": np.concatenate(tokens), "g": np.repeat(part["g"].to_numpy(), lengths), "n": np.repeat(part["n"].to_numpy(), lengths), "pos": place})
+                yield pd.DataFrame({"token": np.concatenate(tokens), "g": np.repeat(part["g"].to_numpy(), lengths)})
 
-    return groups.select("g", "n", "single", "prefix").mapInPandas(run, "token long, g long, n long, pos long")
+    return groups.select("g", "prefix").mapInPandas(run, "token long, g long")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of references that link, by intersecting their shared shingles."""
-    own = sets.select("ref", "n", "tokens")
+def with_pivot(clustered: DataFrame, percent: int) -> DataFrame:
+    """(cluster, ref, pivot, linked) of every class but the pivots; a cluster's pivot is the class with the least share of unshared shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             links = np.zeros(len(batch), dtype=bool)
-            for i, (x, y, n, m) in enumerate(zip(batch["x"], batch["y"], batch["n"], batch["m"], strict=True)):
+            for i, (x, y, n, m) in enumerate(zip(batch["tokens"], batch["other"], batch["n"], batch["m"], strict=True)):
                 both = np.concatenate((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)))
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 links[i] = 100 * common >= percent * (n + m - common)
-            yield batch.loc[links, ["a", "b"]]
+            yield batch[["cluster", "ref", "pivot"]].assign(linked=links)
+
+    central = clustered.groupBy("cluster").agg(F.min(F.struct((F.col("single") / F.col("n")).alias("share"), "ref")).alias("p")).select("cluster", F.col("p.ref").alias("ref"))
+    pivots = clustered.join(central, ["cluster", "ref"], "left_semi").select("cluster", F.col("ref").alias("pivot"), F.col("n").alias("m"), F.col("tokens").alias("other"))
+    pairs = clustered.select("cluster", "ref", "n", "tokens").join(pivots, "cluster").where("ref <> pivot")
+    return pairs.mapInPandas(run, "cluster long, ref long, pivot long, linked boolean")
+
+
+def cell_links(refs: list[int], groups: list[int], sizes: np.ndarray, tokens: list[np.ndarray], prefixes: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between rows ``left`` and rows ``right`` of a cell."""
+    root = list(range(len(refs)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    values, ids = np.unique(np.concatenate(tokens), return_inverse=True)
+    cuts = np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
+    own = [ids[cuts[i] : cuts[i + 1]] for i in range(len(tokens))]
+    # Groups of the right side, each by its first member.
+    first: dict[int, int] = {}
+    for i in right:
+        first.setdefault(groups[i], len(first))
+    of = np.array([first[groups[i]] for i in right])
+    heads = [right[int(np.argmax(of == k))] for k in range(len(first))] if len(first) < len(right) else list(right)
+    head_ids = [np.searchsorted(values, prefixes[i]) for i in heads]
+    head_cuts = np.concatenate(([0], np.cumsum([len(x) for x in head_ids])))[:-1]
+    head_all, head_sizes = np.concatenate(head_ids), sizes[heads]
+    mark = np.zeros(len(values), dtype=bool)
+    met: dict[int, np.ndarray] = {}
+    out = []
+    for x in left:
+        rows = met.get(groups[x])
+        if rows is None:  # the group's partners: a common prefix token, and sizes that allow the similarity
+            at = np.searchsorted(values, prefixes[x])
+            mark[at] = True
+            shares = np.logical_or.reduceat(mark[head_all], head_cuts)
+            mark[at] = False
+            fits = shares & (100 * np.minimum(head_sizes, sizes[x]) >= percent * np.maximum(head_sizes, sizes[x]))
+            rows = met[groups[x]] = right[fits[of]]
+        partners = rows[rows != x]
+        if not len(partners):
+            continue
+        mark[own[x]] = True
+        lengths = np.array([len(own[y]) for y in partners])
+        starts = np.concatenate(([0], np.cumsum(lengths)))[:-1]
+        common = np.add.reduceat(mark[np.concatenate([own[y] for y in partners])].astype(np.int64), starts)
+        mark[own[x]] = False
+        for y in partners[100 * common >= percent * (sizes[x] + sizes[partners] - common)]:
+            a, b = top(x), top(int(y))
+            if a != b:
+                root[b] = a
+                out.append((refs[x], refs[y]))
+    return out
+
+
+def in_cells(clustered: DataFrame, state: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) of the members that their pivot left over, with each other and with the rest of their cluster."""
+    sizes = state.groupBy("cluster").agg(F.count_if(~F.col("linked")).alias("rest"), F.count_if(F.col("linked")).alias("held"))
+    sizes = sizes.where("rest > 0 and rest + held > 1").select("cluster", F.ceil(F.col("rest") / block).cast("int").alias("ni"), F.ceil(F.col("held") / block).cast("int").alias("nj"))
+    rows = clustered.select("cluster", "ref", "g", "n", "tokens", "prefix").join(state.select("cluster", "ref", "linked"), ["cluster", "ref"]).join(sizes, "cluster")
+    own = F.when(F.col("linked"), F.pmod(F.xxhash64("ref"), F.col("nj"))).otherwise(F.pmod(F.xxhash64("ref"), F.col("ni"))).cast("int")
+    rows = rows.withColumn("block", own)
+    up_to = lambda n: F.sequence(F.lit(0), n - 1)
+    cell = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+    b, none = F.col("block"), F.array().cast("array<struct<i: int, j: int, side: int>>")
+    # Cells (i, j) of two blocks left over have j >= 0; (i, -1 - j) pairs a block left over with one that is connected.
+    among = F.transform(up_to(F.col("ni")), lambda k: F.struct(F.least(k, b).alias("i"), F.greatest(k, b).alias("j"), F.when(k >= b, 0).otherwise(1).alias("side")))
+    aside = F.when(F.col("nj") > 0, F.transform(up_to(F.greatest("nj", F.lit(1))), lambda k: cell(b, -1 - k, 0))).otherwise(none)
+    held = F.transform(up_to(F.col("ni")), lambda k: cell(k, -1 - b, 1))
+    cells = F.when(F.col("linked"), held).otherwise(F.concat(among, aside))
+    dealt = rows.select("cluster", "ref", "g", "n", "tokens", "prefix", F.explode(cells).alias("c")).select("cluster", "c.i", "c.j", "c.side", "ref", "g", "n", "tokens", "prefix")
+    dealt = dealt.repartition(partitions(clustered.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+
+    def solve(rows: list) -> list[tuple[int, int]]:
+        side = np.array([r[3] for r in rows])
+        every = np.arange(len(rows))
+        same = rows[0][1] == rows[0][2]  # one block with itself
+        left, right = (every, every) if same else (every[side == 0], every[side == 1])
+        if not len(left) or not len(right) or len(rows) < 2:
+            return []
+        words = [np.frombuffer(r[7], dtype=np.uint64) for r in rows]
+        return cell_links([r[4] for r in rows], [r[5] for r in rows], np.array([r[6] for r in rows], dtype=np.int64), words, [np.frombuffer(r[8], dtype=np.uint64) for r in rows], left, right, percent)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list = []
+        for batch in batches:
+            links: list[tuple[int, int]] = []
+            for row in batch.itertuples(index=False, name=None):
+                if held and held[0][:3] != row[:3]:
+                    links += solve(held)
+                    held = []
+                held.append(row)
+            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(solve(held) if held else [], columns=["a", "b"], dtype="int64")
 
-    left = pairs.join(own.select(F.col("ref").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y")), "b")
-    both = left.join(own.select(F.col("ref").alias("a"), "n", F.col("tokens").alias("x")), "a")
-    return both.select("a", "b", "x", "y", "n", "m").mapInPandas(run, "a long, b long")
+    return dealt.mapInPandas(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -345,13 +444,6 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
-def filtered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Size filter and positional filter of postings (n, pos) against (m, at) of one shared token."""
-    sizes = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    bound = 1 + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) - 1
-    return pairs.where(sizes & ((100 + percent) * bound >= percent * (F.col("n") + F.col("m"))))
-
-
 def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, n_shingles, component_id) of every row; component_id is the least id reachable by links."""
     spark = documents.sparkSession
@@ -366,39 +458,20 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     sets = shared_sets(docs, words, percent, seed, ranges)
     # Step 4: identical prefix and size; a class with unshared shingles in its prefix is alone in its group.
     key = F.when(F.col("single") == 0, F.xxhash64("n", "prefix")).otherwise(F.xxhash64("ref", F.lit("own")))
-    members = sets.select("ref", "n", "single", "prefix", key.alias("g"))
-    groups = members.groupBy("g").agg(F.min("ref").alias("rep"), F.count("*").alias("members"), F.min("n").alias("n"), F.min("single").alias("single"), F.first("prefix").alias("prefix"))
-    groups = materialise(groups, "groups")
-    members = materialise(members.select("g", "ref"), "members")
+    sets = sets.withColumn("g", key)
+    groups = materialise(sets.groupBy("g").agg(F.count("*").alias("members"), F.first("prefix").alias("prefix")), "groups")
     posted = materialise(postings(groups), "postings")
-
-    # First round: each block against one pivot.
-    least = posted.groupBy("token").agg(F.min(F.struct("g", "n", "pos")).alias("p"), F.count("*").alias("k")).where("k > 1")
-    pivots = filtered(posted.join(least, "token").where("g <> p.g").select("g", "n", "pos", F.col("p.g").alias("h"), F.col("p.n").alias("m"), F.col("p.pos").alias("at")), percent)
-    reps = groups.select("g", "rep")
-    crossed = pivots.select("g", "h").distinct().join(reps, "g").join(reps.select(F.col("g").alias("h"), F.col("rep").alias("other")), "h").select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
-    inner = members.join(groups.where("members > 1").select("g", "rep"), "g").where("ref <> rep").select(F.col("rep").alias("a"), F.col("ref").alias("b"))
-    links = materialise(verified(crossed.unionByName(inner).distinct(), sets, percent), "links-1")
-    labels = components(links)
-
-    # Second round: parts of groups, by component; only pairs of different components that share a block.
-    labelled = materialise(members.join(labels.select(F.col("node").alias("ref"), "root"), "ref", "left").select("g", "ref", F.coalesce("root", "ref").alias("label")), "labelled")
-    parts = labelled.select("g", "label").distinct()
-    marked = materialise(posted.join(parts, "g"), "marked")
-    mixed = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-    marked = marked.join(mixed, "token", "left_semi")
-    apart = marked.select("token", "label").distinct()
-    across = apart.join(apart.select("token", F.col("label").alias("label2")), "token").where("label < label2")
-    wide = across.join(marked, ["token", "label"]).join(marked.select("token", F.col("label").alias("label2"), F.col("g").alias("h"), F.col("n").alias("m"), F.col("pos").alias("at")), ["token", "label2"])
-    between = filtered(wide, percent).select("g", "label", "h", "label2").distinct()
-    split = parts.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
-    within = parts.join(split, "g", "left_semi")
-    within = within.join(within.select("g", F.col("label").alias("label2")), "g").where("label < label2").select("g", "label", F.col("g").alias("h"), "label2")
-    whole = between.unionByName(within).join(labelled.withColumnRenamed("ref", "a"), ["g", "label"]).join(labelled.select(F.col("g").alias("h"), F.col("label").alias("label2"), F.col("ref").alias("b")), ["h", "label2"])
-    rest = whole.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialise(verified(rest, sets, percent), "links-2")
-
-    final = components(links.unionByName(more))
+    least = posted.groupBy("token").agg(F.min("g").alias("h"), F.count("*").alias("k")).where("k > 1").select("token", "h")
+    joined = posted.join(least, "token").select(F.col("g").alias("a"), F.col("h").alias("b"))
+    cluster = components(joined).select(F.col("node").alias("g"), F.col("root").alias("cluster"))
+    alone = groups.where("members > 1").select("g").join(cluster, "g", "left_anti").select("g", F.col("g").alias("cluster"))
+    clustered = materialise(sets.join(cluster.unionByName(alone), "g"), "clustered")
+
+    # Steps 5 and 6.
+    state = materialise(with_pivot(clustered, percent), "pivoted")
+    block = min(BLOCK_MOST, max(BLOCK_LEAST, clustered.count() // (2 * ranges)))
+    links = state.where("linked").select(F.col("pivot").alias("a"), F.col("ref").alias("b")).unionByName(in_cells(clustered, state, percent, block))
+    final = components(links)
     named = classes.select("ref", "sig", "least", "rows").join(final.select(F.col("node").alias("ref"), "root"), "ref", "left")
     lowest = named.where("root is not null").groupBy("root").agg(F.min("least").alias("lowest"))
     named = named.join(lowest, "root", "left").where("rows > 1 or root is not null").select("ref", F.coalesce("lowest", "least").alias("component"))
