@@ -34,17 +34,15 @@ def deadline_rows(spark, sf_dir):
 
 
 def changes(spark, sf_dir):
-    """Overrides made from prices: very dear orders dismissed, dear ones dated, some renamed; customers without orders added by hand."""
+    """Overrides made from prices: very dear orders dismissed, dear ones dated, some renamed; the cheapest marked as added by hand though they were extracted, and suppliers added by hand."""
     a = assignments(spark, sf_dir)
     price = F.col("o_totalprice")
     edit = lambda f, v: F.array(F.struct(F.lit(f).alias("field"), v.cast("string").alias("value"))).cast(EDITS)
     none = F.array().cast(EDITS)
     edits = F.concat(F.when((price > 200_000) & (price <= 300_000), edit("due_date_resolved", F.lit("1995-06-17"))).otherwise(none), F.when(price > 250_000, edit("title", F.concat(F.lit("Renamed "), F.col("id")))).otherwise(none), F.when(price < 20_000, edit("notes", F.lit(None))).otherwise(none))
-    own = a.where((price > 200_000) | (price < 20_000)).select("id", edits.alias("edits"), (price > 300_000).alias("dismissed"), F.lit(None).cast("string").alias("edited_at"), F.lit(False).alias("manual_add"))
-    c = table(spark, sf_dir, "customer")
-    by_hand = c.join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
-    due = F.when(F.col("c_acctbal") > 0, F.lit("1996-02-03T10:30:00")).otherwise(F.lit("soon"))
-    made = by_hand.select(F.concat(F.lit("c"), F.col("c_custkey"), F.lit("__"), text.slugify("c_name"), F.lit("__0")).alias("id"), F.concat(edit("title", F.col("c_name")), edit("due_date_resolved", due)).alias("edits"), (F.col("c_acctbal") > 9000).alias("dismissed"), F.lit(None).cast("string").alias("edited_at"), F.lit(True).alias("manual_add"))
+    own = a.where((price > 200_000) | (price < 20_000)).select("id", edits.alias("edits"), (price > 300_000).alias("dismissed"), F.lit(None).cast("string").alias("edited_at"), (price < 5_000).alias("manual_add"))
+    due = F.when(F.col("s_acctbal") > 0, F.lit("1996-02-03T10:30:00")).otherwise(F.lit("soon"))
+    made = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey"), F.lit("__"), text.slugify("s_name"), F.lit("__0")).alias("id"), F.concat(edit("title", F.col("s_name")), edit("due_date_resolved", due)).alias("edits"), (F.col("s_acctbal") > 8000).alias("dismissed"), F.lit(None).cast("string").alias("edited_at"), F.lit(True).alias("manual_add"))
     return own.unionByName(made)
 
 
@@ -147,10 +145,11 @@ def title_scalars(spark, sf_dir):
 
 
 def fuzzy_titles(spark, sf_dir):
-    """Questions with the distinct titles they name; the small question table is broadcast."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("question"))
+    """Questions with the distinct titles they name. A theta join by nature: its sides are distinct titles, not rows."""
     titles = table(spark, sf_dir, "part").select("p_name").distinct()
-    return titles.join(b, text.titles_match("question", "p_name")).select("item_id", "p_name")
+    words = F.split("p_name", " ")
+    questions = titles.select(F.concat(F.lit("Chapter 7: where is the "), F.array_join(F.reverse(words), " and ")).alias("question"))
+    return titles.join(questions, text.titles_match("question", "p_name")).select("question", "p_name")
 
 
 def duplicate_pairs(spark, sf_dir):
@@ -227,8 +226,8 @@ _ROWS = """a AS (
   SELECT id, course_id, CASE WHEN price > 250000 THEN 'Renamed ' || id ELSE title END AS title, type, CASE WHEN price > 200000 AND price <= 300000 THEN '1995-06-17' ELSE due END AS due, due AS due_before, confidence_score,
          price > 300000 AS dismissed, price > 200000 AS user_edited, price > 200000 AND price <= 300000 AS dated, price > 250000 AS renamed, price > 200000 OR price < 20000 AS touched FROM a
 ), hand AS (
-  SELECT 'c' || c_custkey || '__' || regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9_ -]', '', 'g'), '[ _]+', '-', 'g') || '__0' AS id, 'c' || c_custkey AS course_id, c_name AS title, 'manual' AS type,
-         CASE WHEN c_acctbal > 0 THEN '1996-02-03T10:30' END AS due, 5 AS confidence_score, c_acctbal > 9000 AS dismissed FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)
+  SELECT 's' || s_suppkey || '__' || regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9_ -]', '', 'g'), '[ _]+', '-', 'g') || '__0' AS id, 's' || s_suppkey AS course_id, s_name AS title, 'manual' AS type,
+         CASE WHEN s_acctbal > 0 THEN '1996-02-03T10:30' END AS due, 5 AS confidence_score, s_acctbal > 8000 AS dismissed FROM supplier
 ), flagged AS (
   SELECT *, CASE WHEN dismissed THEN NULL WHEN due IS NOT NULL AND NOT user_edited AND (CAST(due AS DATE) < DATE '1993-01-01' - 7 OR CAST(due AS DATE) > DATE '1997-12-31' + 30) THEN 'outside_semester_window' WHEN due IS NULL THEN 'unresolved_date'
          WHEN (CASE WHEN dated THEN 5 ELSE confidence_score END) < (CASE WHEN type = 'discussion' THEN 4 ELSE 3 END) THEN 'low_confidence' END AS flag_reason FROM applied
@@ -272,9 +271,10 @@ SQL = {
         SELECT p_partkey, left(label, 55) AS label, regexp_replace(lower(named), 'chapter (\d+)', 'ch\1') AS chapter, 'spring ' || lower(split_part(named, 'Chapter ' || p_size || ' ', 2)) AS plain0,
                left(named || named, 49) || '…' AS auto, printf('%.1f', 100.0 * p_size / 50) || '%' AS share FROM n""",
     "fuzzy_titles": f"""
-        WITH t AS (SELECT DISTINCT p_name, lower(p_name) AS low FROM part), b AS (SELECT item_id, lower(text) AS q FROM benchmark),
-        tt AS (SELECT *, list_distinct(list_filter(regexp_extract_all(low, '[a-z0-9]+'), lambda x: NOT list_contains({_STOP}, x))) AS tk FROM t), bb AS (SELECT *, list_distinct(list_filter(regexp_extract_all(q, '[a-z0-9]+'), lambda x: NOT list_contains({_STOP}, x))) AS qk FROM b)
-        SELECT item_id, p_name FROM tt, bb WHERE contains(q, low) OR contains(low, q) OR (len(tk) > 0 AND len(qk) > 0 AND len(list_intersect(tk, qk)) >= greatest(2, len(tk) // 2))""",
+        WITH t AS (SELECT DISTINCT p_name, lower(p_name) AS low FROM part), b AS (SELECT 'Chapter 7: where is the ' || array_to_string(list_reverse(string_split(p_name, ' ')), ' and ') AS question FROM t),
+        tt AS (SELECT *, list_distinct(list_filter(regexp_extract_all(low, '[a-z0-9]+'), lambda x: NOT list_contains({_STOP}, x))) AS tk FROM t),
+        bq AS (SELECT question, replace(lower(question), 'chapter 7', 'ch7') AS q FROM b), bb AS (SELECT *, list_distinct(list_filter(regexp_extract_all(q, '[a-z0-9]+'), lambda x: NOT list_contains({_STOP}, x))) AS qk FROM bq)
+        SELECT question, p_name FROM tt, bb WHERE contains(q, low) OR contains(low, q) OR (len(tk) > 0 AND len(qk) > 0 AND len(list_intersect(tk, qk)) >= greatest(2, len(tk) // 2))""",
     "duplicate_pairs_edit": """
         SELECT a.p_brand, a.p_partkey AS a, b.p_partkey AS b, round(100.0 * (1 - levenshtein(lower(a.p_name), lower(b.p_name)) / greatest(length(a.p_name), length(b.p_name))), 4) AS similarity
         FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey

@@ -113,7 +113,12 @@ def attachment_texts(spark, sf_dir):
 
 
 def key_documents(spark, sf_dir):
-    return stored(spark, sf_dir).where(content.is_key_item()).select("id")
+    """orders as items: status gives the type, priority the title, every third customer's text names a due date."""
+    o = table(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_orderstatus") == "P", "Discussion board").when(F.col("o_orderstatus") == "F", "Text Document").otherwise("PDF")
+    body = F.when(F.col("o_custkey") % 3 == 0, F.concat(F.lit("The DUE DATE of "), F.col("o_orderkey"))).otherwise(F.repeat("o_orderpriority", F.col("o_custkey").cast("int") % 1000))
+    items = o.select("o_orderkey", F.concat(F.when(F.col("o_orderkey") % 10 == 0, "Course Outline ").otherwise("Order "), F.col("o_orderpriority")).alias("title"), kind.alias("content_type"), body.alias("extracted_text"))
+    return items.where(content.is_key_item()).select("o_orderkey")
 
 
 def doc_snippets(spark, sf_dir):
@@ -209,7 +214,10 @@ SQL = {
     "vector_topk_per_label": f"SELECT label, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT label, vec_id, {_SCORE} AS score, row_number() OVER (PARTITION BY label ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_VECTOR}) DESC, vec_id) AS rank FROM embeddings) WHERE rank <= 10",
     "embeddings_status": "SELECT CAST(label AS VARCHAR) AS id, CASE WHEN label > 2 THEN 'embedded' ELSE 'failed' END AS embeddings_status, CASE WHEN label > 2 THEN 'local' END AS embedding_model FROM embeddings GROUP BY label",
     "embedding_merge": "SELECT count(*) AS processed, count(*) FILTER (label < 7) AS embedded, count(*) FILTER (label >= 7) AS failed FROM embeddings",
-    "key_documents": f"SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE {_any('lower(left(text, 60))', content.KEY_TITLES)} OR {_any('lower(lang)', content.KEY_TYPES)} OR {_any('lower(text)', content.KEY_PHRASES)}",
+    "key_documents": f"""
+        WITH i AS (SELECT o_orderkey, lower(CASE WHEN o_orderkey % 10 = 0 THEN 'Course Outline ' ELSE 'Order ' END || o_orderpriority) AS title, CASE o_orderstatus WHEN 'P' THEN 'discussion board' WHEN 'F' THEN 'text document' ELSE 'pdf' END AS kind,
+          lower(CASE WHEN o_custkey % 3 = 0 THEN 'The DUE DATE of ' || o_orderkey ELSE repeat(o_orderpriority, o_custkey % 1000) END) AS body FROM orders)
+        SELECT o_orderkey FROM i WHERE {_any('title', content.KEY_TITLES)} OR {_any('kind', content.KEY_TYPES)} OR (kind IN ('text document', 'pdf') AND length(body) > 3000) OR {_any('body', content.KEY_PHRASES)}""",
     "doc_snippets": "SELECT CAST(doc_id AS VARCHAR) AS id, left(text, 500) || CASE WHEN length(text) > 500 THEN '…' ELSE '' END AS snippet FROM documents",
     "compact_index": """
         WITH t AS (SELECT CAST(n_nationkey AS VARCHAR) AS course_id, 'Course: ' || any_value(n_name) || chr(10) || chr(10) || chr(10) || string_agg('- [' || c_mktsegment || '] ' || c_name || CASE WHEN c_acctbal > 0 THEN chr(10) || '  Container: ' || c_mktsegment ELSE '' END || chr(10) || '  Content: ' || c_name, chr(10) || chr(10) ORDER BY c_custkey) AS text
