@@ -51,11 +51,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, small, table
+from .common import hand_back, materialise, partitions, small, table
 
 WORDS, PERCENT = 5, 80
 #: Shingles gathered in a task before they are dealt, and text hashed at a time.
-BLOCK_TOKENS, BLOCK_BYTES = 1 << 21, 1 << 20
+BLOCK_TOKENS, BLOCK_BYTES = 1 << 19, 1 << 17
 CAP = 65_535
 #: Classes in a block of a cell: about half a partition's share, within these bounds.
 BLOCK_LEAST, BLOCK_MOST = 64, 1024
@@ -183,18 +183,28 @@ def _deal(gathered: list[tuple[int, np.ndarray]], ranges: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["to", "block"])
 
 
-def _shared(blobs: list[bytes], number: int, ranges: int) -> pd.DataFrame:
-    """Of one range, the shingles of two or more classes, sent back to the ranges of their references."""
+def _shared(blobs: list[bytes], number: int, ranges: int) -> Iterator[pd.DataFrame]:
+    """Of one range, the shingles of two or more classes, sent back to the ranges of their references.
+
+    The range is gone through in parts by the tokens' low bits, so that only a part is sorted at a time.
+    """
     runs = [unpack(b) for b in blobs]
     tokens = np.concatenate([x[3] for x in runs])
     run_ref, run_size = np.concatenate([x[0] for x in runs]), np.concatenate([x[1] for x in runs])
-    run = np.repeat(np.arange(len(run_ref)), np.concatenate([x[2] for x in runs]))
-    del runs
+    run = np.repeat(np.arange(len(run_ref), dtype=np.int32), np.concatenate([x[2] for x in runs]))
+    del runs, blobs
+    parts = _U(1 + len(tokens) // BLOCK_TOKENS)
+    part_of = (tokens % parts).astype(np.uint16) if parts > 1 else None
+    for k in range(int(parts)):
+        own = slice(None) if part_of is None else part_of == k
+        yield _shared_part(tokens[own], run[own], run_ref, run_size, number, ranges)
+
+
+def _shared_part(tokens: np.ndarray, run: np.ndarray, run_ref: np.ndarray, run_size: np.ndarray, number: int, ranges: int) -> pd.DataFrame:
     order = np.argsort(tokens, kind="stable")
     ordered = tokens[order]
     same = ordered[1:] == ordered[:-1]
-    keep = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
-    del order, ordered, same
+    keep = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(tokens) > 1 else order[:0]
     tokens, run = tokens[keep], run[keep]
     ref = run_ref[run]
     order = np.lexsort((ref, tokens))
@@ -252,9 +262,14 @@ def signatures(docs: DataFrame, words: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_set(t, words, seed) for t in batch["text"]]
-            sigs = [signature(s) if len(s) else None for s in sets]
-            yield pd.DataFrame({"id": batch["id"], "n": [len(s) for s in sets], "sig": sigs, "ref": pd.array([reference(s) if s else None for s in sigs], dtype="Int64")})
+            sizes, sigs = [], []
+            for text in batch["text"]:
+                own = shingle_set(text, words, seed)
+                sizes.append(len(own))
+                sigs.append(signature(own) if len(own) else None)
+            yield pd.DataFrame({"id": batch["id"], "n": sizes, "sig": sigs, "ref": pd.array([reference(s) if s else None for s in sigs], dtype="Int64")})
+            del batch
+            hand_back()
 
     return materialise(docs.mapInPandas(run, f"id {kind}, n long, sig binary, ref long"), "signatures")
 
@@ -277,6 +292,8 @@ def shared_sets(docs: DataFrame, words: int, percent: int, seed: int, ranges: in
                     gathered, size, seen = [], 0, set()
         if gathered:
             yield _deal(gathered, ranges)
+        del gathered, seen
+        hand_back()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[bytes]] = {}
@@ -284,7 +301,8 @@ def shared_sets(docs: DataFrame, words: int, percent: int, seed: int, ranges: in
             for to, block in zip(batch["to"], batch["block"], strict=True):
                 held.setdefault(to, []).append(block)
         for number in sorted(held):
-            yield _shared(held.pop(number), number, ranges)
+            yield from _shared(held.pop(number), number, ranges)
+            hand_back()
 
     def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list] = {}
@@ -293,6 +311,7 @@ def shared_sets(docs: DataFrame, words: int, percent: int, seed: int, ranges: in
                 held.setdefault(to, []).append((number, block))
         for to in sorted(held):
             yield from _prefixes(held.pop(to), percent)
+            hand_back()
 
     dealt = docs.select("text").mapInPandas(deal, "to int, block binary").repartitionById(ranges, F.col("to"))
     back = dealt.mapInPandas(count, "to int, number int, block binary").repartitionById(ranges, F.col("to"))

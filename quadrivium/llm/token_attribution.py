@@ -79,8 +79,8 @@ def _newlines(text: str) -> Iterator[int]:
 def attribute(starts: np.ndarray, ends: np.ndarray, left: np.ndarray, right: np.ndarray, rule: str) -> tuple[np.ndarray, float]:
     """Tokens per section, and those outside all; sections sorted and disjoint."""
     counts, outside = np.zeros(len(left)), 0.0
-    if not len(starts):
-        return counts, outside
+    if not len(starts) or not len(left):
+        return counts, float(len(starts))
     at = lambda p: np.where((k := np.searchsorted(left, p, "right") - 1) >= 0, np.where(p < right[np.maximum(k, 0)], k, -1), -1)
     if rule in ("start", "end"):
         k = at(starts if rule == "start" else ends - 1)
