@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import deadlines, ledger, store
+from . import deadlines, ledger, lifecycle, store
 
-QUERIES = ledger.QUERIES | store.QUERIES | deadlines.QUERIES
-SQL = ledger.SQL | store.SQL | deadlines.SQL
+QUERIES = ledger.QUERIES | store.QUERIES | deadlines.QUERIES | lifecycle.QUERIES
+SQL = ledger.SQL | store.SQL | deadlines.SQL | lifecycle.SQL
