@@ -17,7 +17,7 @@ def _joined(rows: DataFrame, text: str, mark: str) -> DataFrame:
 
 def excerpts(chunks: DataFrame, documents: DataFrame, query: list[float], courses: DataFrame, top_k: int = TOP_K_PER_COURSE) -> DataFrame:
     """(course_id, rank, part) of the retrieved chunks; summaries are dropped after the ranking, so fewer may stay."""
-    own = chunks.withColumn("course_id", F.col("metadata.course_id")).join(F.broadcast(courses.select("course_id").distinct()), "course_id", "left_semi")
+    own = chunks.withColumn("course_id", F.col("metadata.course_id")).join(courses.select("course_id").distinct(), "course_id", "left_semi")
     hits = search_each(own, query, "course_id", top_k).where(~(F.coalesce(F.col("metadata.content_type"), F.lit("")) == "course_summary"))
     return title_of(hits, documents).select("course_id", "rank", F.concat(F.lit("[Relevant excerpt from "), F.col("doc_title"), F.lit("]\n"), F.col("text")).alias("part"))
 

@@ -48,7 +48,7 @@ def bucketed(deadlines: DataFrame, start: Column, end: Column) -> DataFrame:
 def manual(adds: DataFrame, courses: DataFrame) -> DataFrame:
     """Manual entries as bucketed deadlines: confidence 5, their date resolved like an extracted one."""
     value = lambda c: o.edit(c)
-    rows = adds.withColumn("course_id", course_of_id("id")).join(F.broadcast(courses.select("course_id", F.col("course_name").alias("__name"))), "course_id", "left")
+    rows = adds.withColumn("course_id", course_of_id("id")).join(courses.select("course_id", F.col("course_name").alias("__name")), "course_id", "left")
     due = dates.resolved_date(value("due_date_resolved"))
     rows = rows.select(
         "id", "course_id", F.coalesce("__name", "course_id").alias("course_name"), F.coalesce(value("title"), F.lit("Untitled")).alias("title"), F.coalesce(value("type"), F.lit("manual")).alias("type"), F.lit("").alias("due_date_raw"),
@@ -69,7 +69,7 @@ def aggregate(assignments: DataFrame, overrides: DataFrame, courses: DataFrame,
 
 def from_summaries(summaries: DataFrame, overrides: DataFrame, courses: DataFrame, start: Column, end: Column) -> DataFrame:
     """Summaries (course_id, summary) to deadlines; a course without a name goes by its id."""
-    named = summaries.join(F.broadcast(courses.select("course_id", "course_name")), "course_id", "left").withColumn("course_name", F.coalesce("course_name", "course_id"))
+    named = summaries.join(courses.select("course_id", "course_name"), "course_id", "left").withColumn("course_name", F.coalesce("course_name", "course_id"))
     return aggregate(markdown.parse_assignments(named), overrides, courses, start, end)
 
 
@@ -94,7 +94,7 @@ def colours(courses: DataFrame, course: str = "course_id") -> DataFrame:
 
 def calendar(deadlines: DataFrame, palette: DataFrame) -> DataFrame:
     """Calendar events of resolved deadlines that have a start; a value with a ``T`` is timed."""
-    rows = deadlines.where((F.col("bucket") == "resolved") & filled("due_date_resolved").isNotNull()).join(F.broadcast(palette), "course_id", "left")
+    rows = deadlines.where((F.col("bucket") == "resolved") & filled("due_date_resolved").isNotNull()).join(palette, "course_id", "left")
     colour = F.coalesce("colour", F.lit(COLOURS[0]))
     return rows.select("id", "title", F.col("due_date_resolved").alias("start"), (~F.contains("due_date_resolved", F.lit("T"))).alias("allDay"), colour.alias("backgroundColor"), colour.alias("borderColor"), F.struct("course_id", "course_name", "type", "confidence_score", "source_link").alias("extendedProps"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine, dot, norm, unit, usable
 
 TOP_K, TOP_K_PER_COURSE = 8, 10
+MOST_QUERIES = 10_000
 
 
 def scored(chunks: DataFrame, query: list[float], vector: str = "embedding") -> DataFrame:
@@ -31,7 +32,9 @@ def search_each(chunks: DataFrame, query: list[float], group: str, top_k: int =
 
 
 def search_many(chunks: DataFrame, queries: DataFrame, top_k: int = TOP_K, key: str = "id", vector: str = "embedding") -> DataFrame:
-    """Top-k for a table of (query_id, query) vectors of a few rows: they are broadcast, the chunks are read once."""
+    """Top-k for a table of (query_id, query) vectors, at most ``MOST_QUERIES``: they are broadcast, the chunks are read once."""
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} query vectors: search in several calls")
     pairs = chunks.where(usable(vector)).join(F.broadcast(queries.where(usable("query"))))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return pairs.withColumn("score", cosine(vector, "query")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
