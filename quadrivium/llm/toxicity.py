@@ -8,7 +8,8 @@ Learning, over at most ``SAMPLE_ROWS`` labelled training rows:
 2. on the other half, trees are fitted on dense features (lexicon densities,
    distance of lexicon words to second-person words, capitals, punctuation,
    obfuscation rates);
-3. isotonic calibration on a fifth of that half, which the trees do not see.
+3. isotonic calibration of cross-fitted scores: each part of that half is
+   scored by trees of the other part.
 
 With fewer than ``LEAST_POSITIVES`` toxic training rows every part uses all rows.
 
@@ -51,13 +52,14 @@ UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SYMBOLS = b"#$%&*+@^_|~<>=\\"
 NEAR = 50
-NAMES = ("log_words", "seed", "strong", "weak", "hits", "hidden", "nearest", "near_hits", "second", "capitals", "shouted", "bangs", "questions", "punctuation", "symbols", "digits", "mixed", "stretched", "word_length", "non_ascii", "peak")
+NAMES = ("log_words", "seed", "strong", "weak", "hits", "hidden", "nearest", "near_hits", "second", "capitals", "shouted", "bangs", "questions", "punctuation", "symbols", "digits", "mixed", "stretched", "word_length", "non_ascii", "peak", "stems", "stem_hits")
 
 
 @dataclass(frozen=True)
 class Lexicon:
     strong: frozenset
     weak: frozenset
+    stems: frozenset = frozenset()
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
@@ -74,6 +76,8 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     hits = [i for i, w in enumerate(words) if w in strong]
     seeds = sum(words[i] in SEED_WORDS for i in hits)
     soft = sum(w in weak for w in words)
+    stems = lexicon.stems
+    stemmed = sum(len(w) > 6 and (w[:5] in stems or w[:6] in stems) for w in words) if stems else 0
     second = [i for i, w in enumerate(words) if w in SECOND_PERSON]
     nearest, near_hits, peak = NEAR, 0, 0
     if hits:
@@ -91,7 +95,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     return [
         float(np.log1p(len(words))), seeds / n, len(hits) / n, soft / n, float(np.log1p(len(hits))), float(hidden), float(NEAR - nearest), near_hits / n, len(second) / n,
         without(UPPER) / size, shouted / n, raw.count(b"!") / size, raw.count(b"?") / size, without(PUNCTUATION) / size, without(SYMBOLS) / size, without(DIGITS) / size,
-        len(mixed) / n, sum(1 for _ in STRETCHED.finditer(text)) / n, size / n, 1 - len(text) / size, float(peak),
+        len(mixed) / n, sum(1 for _ in STRETCHED.finditer(text)) / n, size / n, 1 - len(text) / size, float(peak), stemmed / n, float(np.log1p(stemmed)),
     ]
 
 
@@ -115,7 +119,8 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
         for batch in batches:
             seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
             for text, y in zip(batch["text"], batch["y"], strict=True):
-                seen[y > 0].update({w for w in WORD.findall(text.lower()) if 3 <= len(w) <= 24})
+                found = {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= 24}
+                seen[y > 0].update(found | {w[:k] + "*" for w in found if len(w) > 6 for k in (5, 6)})
             words = list(seen[True])  # a word that no toxic row of the batch has adds only to the clean side
             rest = [w for w in seen[False] if w not in seen[True]]
             yield pd.DataFrame({"word": words + rest, "toxic": [seen[True][w] for w in words] + [0] * len(rest), "clean": [seen[False][w] for w in words + rest]})
@@ -129,8 +134,10 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     best = counts.withColumn("z", z).where("z >= 2").orderBy(F.desc("z"), "word").limit(LEXICON_WORDS).collect()
     # Strong: at least a fiftieth of the toxic rows have the word and nearly no clean row does.
+    stems = frozenset(r["word"][:-1] for r in best if r["word"][-1] == "*" and r["z"] >= 4 and r["a"] >= max(4, toxic / 50))
+    best = [r for r in best if r["word"][-1] != "*"]
     strong = {r["word"] for r in best if r["z"] >= 2.5 and r["a"] >= max(4, toxic / 50) and r["b"] * 20 * toxic <= r["a"] * clean}
-    return Lexicon(frozenset(strong) | SEED_WORDS, frozenset(r["word"] for r in best) - strong)
+    return Lexicon(frozenset(strong) | SEED_WORDS, frozenset(r["word"] for r in best) - strong, stems)
 
 
 def train(documents: DataFrame, labels: DataFrame, train_rows: Column, text_col: str = "text", id_col: str = "doc_id", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -147,10 +154,13 @@ def train(documents: DataFrame, labels: DataFrame, train_rows: Column, text_col:
     part = (rows.where("half >= 5") if apart else rows).select("half", "y", "text").mapInPandas(dense, "half long, y double, x array<double>").toPandas()
     x = np.array(part["x"].tolist(), dtype=float).reshape(len(part), len(NAMES))
     y, fold = part["y"].to_numpy(float), part["half"].to_numpy()
-    held = fold == 9 if apart else np.ones(len(part), bool)
-    fitted = ~held if apart else held
-    forest = gbt.fit(x[fitted], y[fitted])
-    return Model(lexicon, forest, gbt.isotonic(forest.probability(x[held]), y[held]))
+    forest = gbt.fit(x, y)
+    # Calibration needs scores of rows that the scoring trees have not seen: each part is scored by trees of the other.
+    raw = forest.probability(x)
+    if apart:
+        for part_ in (fold < 7, fold >= 7):
+            raw[part_] = gbt.fit(x[~part_], y[~part_]).probability(x[part_])
+    return Model(lexicon, forest, gbt.isotonic(raw, y))
 
 
 def score(documents: DataFrame, model: Model, text_col: str = "text") -> Column:
