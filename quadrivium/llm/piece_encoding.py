@@ -7,6 +7,11 @@ pair-compatible with the last token of the shorter prefix, that is, the two
 pieces encode to themselves when they stand next to each other.  Ids are then
 recovered backwards from the end of the table.  Work is linear in the text.
 
+The pair test walks the two pieces' merges backwards from the latest, and asks
+at every step whether what touches at the boundary would have merged earlier.
+It needs merges to come in the order of their rank; the few pieces built
+otherwise (runs of spaces, which share one score) are tested by merging.
+
 No piece of the vocabulary has a space mark after another character (checked
 when the model is loaded), so no merge crosses such a place and the text is cut
 there; segments repeat, and those of up to ``CACHED_CHARS`` are kept in a bounded cache.
@@ -36,7 +41,9 @@ from .common import table
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
-CACHED_CHARS, CACHED_SEGMENTS, CACHED_PAIRS = 64, 150_000, 400_000
+CACHED_CHARS, CACHED_SEGMENTS, CACHED_PAIRS = 64, 300_000, 200_000
+#: Tables of segment beginnings of so many characters are kept too: a prefix's entry does not depend on what follows.
+HEAD_CHARS, CACHED_HEADS = 8, 100_000
 #: Characters of text encoded before a batch of results is passed on.
 BATCH_CHARS = 1 << 20
 
@@ -62,64 +69,125 @@ class PieceEncoder:
             self.score[piece], self.id[piece] = sp.get_score(i), i
             self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
+        self.splits: dict[str, tuple] = {}
         self.pairs: dict[int, bool] = {}
+        self.heads: dict[str, list[int]] = {}
+        self.shift = len(self.piece).bit_length()
+        self.length = [len(p) for p in self.piece]
+        # Two generations: a full young one replaces the old one, and what is used again moves back.
         self.segments: dict[str, array] = {}
+        self.older: dict[str, array] = {}
 
     def merged(self, text: str) -> list[str]:
         """The defining merge loop, used only on the few characters of one or two pieces."""
-        parts = list(text)
+        return [p for p, *_ in self._merge(text)[0]]
+
+    def _merge(self, text: str) -> tuple[list[tuple[str, float, bool]], tuple | None]:
+        """Parts as (text, rank of the merge that made it, out of order), and the last merge."""
+        parts, last = [(c, -1.0, False) for c in text], None
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
-                score = self.score.get(parts[i] + parts[i + 1])
+                score = self.score.get(parts[i][0] + parts[i + 1][0])
                 if score is not None and (best is None or score > best):
                     best, at = score, i
             if at < 0:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+            left, right = parts[at : at + 2]
+            odd = left[2] or right[2] or max(left[1], right[1]) >= -best
+            last = (left[0], right[0])
+            parts[at : at + 2] = [(left[0] + right[0], -best, odd)]
+        return parts, last
+
+    def split(self, piece: str) -> tuple[float, str, str, bool, bool]:
+        """(rank, left part, right part, merges out of order, encodes to itself); rank -1: a single character."""
+        found = self.splits.get(piece)
+        if found is None:
+            parts, last = self._merge(piece)
+            whole = len(parts) == 1
+            found = self.splits[piece] = (parts[0][1] if whole else -1.0, *(last if whole and last else (piece, piece)), whole and parts[0][2], whole)
+        return found
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two pieces, side by side, encode to themselves; ``left`` -1: nothing or an unknown character."""
-        key = (left + 1) << 32 | right
+        key = (left + 1) << self.shift | right
         found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) >= CACHED_PAIRS:
                 self.pairs.clear()
-            b = self.piece[right]
-            expected = [b] if left < 0 else [self.piece[left], b]
-            found = self.pairs[key] = self.merged("".join(expected)) == expected
+            found = self.pairs[key] = self.split(self.piece[right])[4] if left < 0 else self._stand(self.piece[left], self.piece[right])
         return found
 
+    def _stand(self, x: str, y: str) -> bool:
+        own, other = self.split(x), self.split(y)
+        if not (own[4] and other[4]):
+            return False
+        if own[3] or other[3]:
+            return self.merged(x + y) == [x, y]
+        limit, also_equal, score = float("inf"), False, self.score
+        while True:
+            crossing = score.get(x + y)
+            if crossing is not None and (-crossing < limit or also_equal and -crossing == limit):
+                return False
+            if own[0] < 0 and other[0] < 0:
+                return True
+            # Undo the later merge; of equal ones the right one came later, and a crossing merge would have come before it.
+            if own[0] > other[0]:
+                limit, also_equal, x = own[0], False, own[2]
+                own = self.split(x)
+            else:
+                limit, also_equal, y = other[0], True, other[1]
+                other = self.split(y)
+
     def segment(self, text: str) -> array:
         size = len(text)
-        last, width = [-1] * (size + 1), [1] * (size + 1)  # -1 and 1: a character outside the vocabulary
+        head = text[:HEAD_CHARS] if size > HEAD_CHARS else None
+        known = self.heads.get(head) if head else None
+        if known is None:
+            last, done = [-1] * (size + 1), 0
+        else:
+            last, done = known + [-1] * (size - HEAD_CHARS), HEAD_CHARS
+        pairs, test, shift = self.pairs, self.compatible, self.shift
         for end, (token, length) in self.automaton.iter(text):
+            if end < done:
+                continue
             end += 1
-            if last[end] < 0 and self.compatible(last[end - length] if end > length else -1, token):
-                last[end], width[end] = token, length
-        out, at = [], size
+            if last[end] < 0:  # else found already; -1 stays for a character outside the vocabulary
+                before = last[end - length]
+                fits = pairs.get((before + 1) << shift | token)
+                if test(before, token) if fits is None else fits:
+                    last[end] = token
+        if head and known is None:
+            if len(self.heads) >= CACHED_HEADS:
+                self.heads.clear()
+            self.heads[head] = last[: HEAD_CHARS + 1]
+        out, at, width = [], size, self.length
         while at:
-            if last[at] >= 0:
-                out.append(last[at])
+            token = last[at]
+            if token >= 0:
+                out.append(token)
+                at -= width[token]
             else:
                 out += [self.byte[b] for b in reversed(text[at - 1].encode("utf-8"))]
-            at -= width[at]
+                at -= 1
         return array("i", out[::-1])
 
+    def fetch(self, piece: str) -> array:
+        """A segment that the young generation does not hold."""
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.segment(piece)
+        if len(piece) <= CACHED_CHARS:
+            if len(self.segments) >= CACHED_SEGMENTS:
+                self.older, self.segments = self.segments, {}
+            self.segments[piece] = ids
+        return ids
+
     def encode(self, text: str) -> array:
         out = array("i")
         if text:
-            cache = self.segments
             for piece in SEGMENT.findall(SPACE + text.replace(" ", SPACE)):
-                ids = cache.get(piece)
-                if ids is None:
-                    ids = self.segment(piece)
-                    if len(piece) <= CACHED_CHARS:
-                        if len(cache) >= CACHED_SEGMENTS:
-                            cache.clear()
-                        cache[piece] = ids
-                out.extend(ids)
+                out.extend(self.segments.get(piece) or self.fetch(piece))
         out.append(self.end)
         return out
 
