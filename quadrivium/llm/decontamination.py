@@ -54,8 +54,8 @@ def windows(benchmark: DataFrame, text_col: str, item_col: str, size: int) -> Da
     return found.withColumn("window", F.sha2(F.array_join("words", " ").cast("binary"), 256))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text: str = "text", item_col: str = "item_id", window: int = WINDOW, per: int = 20) -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated) of every document."""
+def judged(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text: str = "text", item_col: str = "item_id", window: int = WINDOW, per: int = 20) -> DataFrame:
+    """(id, fp, n_words, n_hit, n_items, items_sha256, contaminated) of every document; fp is the xxhash64 of its text."""
     found = materialise(windows(benchmark, item_text, item_col, window), "windows")
     n_windows = found.count()
     lengths = sorted(r[0] for r in found.select(F.least(F.size("words"), F.lit(SHINGLE))).distinct().collect())  # at most SHINGLE numbers
@@ -88,7 +88,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "t
     counted = docs.select("id", "fp", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     nothing = F.sha2(F.lit("").cast("binary"), 256)
     if hits is None:
-        out = counted.select("id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), nothing.alias("items_sha256"))
+        out = counted.select("id", "fp", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), nothing.alias("items_sha256"))
     else:
         marked = hits.join(small(found.select("window", "items"), n_windows, 256), "window")
         spans = F.array_sort(F.collect_set(F.struct("start", "len")))
@@ -102,8 +102,14 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "t
 
         per_doc = per_doc.select("id", "fp", F.aggregate("spans", zero, cover)["n"].alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
         out = counted.alias("d").join(per_doc.alias("h"), F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.fp") == F.col("h.fp")), "left")
-        out = out.select("d.id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", nothing).alias("items_sha256"))
-    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & (F.col("n_hit") * per >= F.col("n_words"))).alias("contaminated"))
+        out = out.select("d.id", "d.fp", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", nothing).alias("items_sha256"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * per >= F.col("n_words")))
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text: str = "text", item_col: str = "item_id", window: int = WINDOW, per: int = 20) -> DataFrame:
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated) of every document."""
+    out = judged(documents, benchmark, text_col, id_col, item_text, item_col, window, per)
+    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,9 +117,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: contaminated documents go; columns stay as they are."""
-    found = materialise(decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
-    return docs.join(small(found, found.count(), 16), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """Pipeline stage: contaminated documents go, each judged by its own id and text; columns stay as they are."""
+    found = judged(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("id").alias("__gone"), F.col("fp").alias("__fp"))
+    found = materialise(found.distinct(), "contaminated")
+    return docs.join(small(found, found.count(), 24), F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.xxhash64("text") == F.col("__fp")), "left_anti")
 
 
 SQL = r"""

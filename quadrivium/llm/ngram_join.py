@@ -48,7 +48,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import hand_back, materialise, partitions, small, table
@@ -257,21 +258,24 @@ def _prefixes(blobs: list[tuple[int, bytes]], percent: int) -> Iterator[pd.DataF
 
 
 def signatures(docs: DataFrame, words: int, seed: int) -> DataFrame:
-    """(id, n, sig, ref) of every row; sig and ref are null for empty sets."""
-    kind = docs.schema["id"].dataType.simpleString()
+    """(n, sig, ref) of every row beside its columns other than the text; sig and ref are null for empty sets."""
+    carried = [c for c in docs.columns if c != "text"]
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # Arrow: pandas would round large ids beside null ones
         for batch in batches:
             sizes, sigs = [], []
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 own = shingle_set(text, words, seed)
                 sizes.append(len(own))
                 sigs.append(signature(own) if len(own) else None)
-            yield pd.DataFrame({"id": batch["id"], "n": sizes, "sig": sigs, "ref": pd.array([reference(s) if s else None for s in sigs], dtype="Int64")})
+            refs = pa.array([reference(s) if s else None for s in sigs], pa.int64())
+            own = [batch.column(c) for c in carried]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), refs], [*carried, "n", "sig", "ref"])
             del batch
             hand_back()
 
-    return materialise(docs.mapInPandas(run, f"id {kind}, n long, sig binary, ref long"), "signatures")
+    return materialise(docs.mapInArrow(run, f"{kinds}, n long, sig binary, ref long"), "signatures")
 
 
 def shared_sets(docs: DataFrame, words: int, percent: int, seed: int, ranges: int) -> DataFrame:
@@ -463,11 +467,13 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
-def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, n_shingles, component_id) of every row; component_id is the least id reachable by links."""
-    spark = documents.sparkSession
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ranges = partitions(spark)
+def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(n, root, component) of every row beside its columns other than the text.
+
+    ``docs`` has id, text and what else is to be carried.  Rows that are linked or have equal sets share their root; it
+    is null for a row that has no other such row.  component is the root's least id.
+    """
+    ranges = partitions(docs.sparkSession)
     for seed in range(8):
         rows = signatures(docs, words, seed)
         classes = materialise(rows.where("n > 0").groupBy("sig", "ref").agg(F.min("id").alias("least"), F.count("*").alias("rows")), "classes")
@@ -481,8 +487,8 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     groups = materialise(sets.groupBy("g").agg(F.count("*").alias("members"), F.first("prefix").alias("prefix")), "groups")
     posted = materialise(postings(groups), "postings")
     least = posted.groupBy("token").agg(F.min("g").alias("h"), F.count("*").alias("k")).where("k > 1").select("token", "h")
-    joined = posted.join(least, "token").select(F.col("g").alias("a"), F.col("h").alias("b"))
-    cluster = components(joined).select(F.col("node").alias("g"), F.col("root").alias("cluster"))
+    meet = posted.join(least, "token").select(F.col("g").alias("a"), F.col("h").alias("b"))
+    cluster = components(meet).select(F.col("node").alias("g"), F.col("root").alias("cluster"))
     alone = groups.where("members > 1").select("g").join(cluster, "g", "left_anti").select("g", F.col("g").alias("cluster"))
     clustered = materialise(sets.join(cluster.unionByName(alone), "g"), "clustered")
 
@@ -493,9 +499,14 @@ def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PER
     final = components(links)
     named = classes.select("ref", "sig", "least", "rows").join(final.select(F.col("node").alias("ref"), "root"), "ref", "left")
     lowest = named.where("root is not null").groupBy("root").agg(F.min("least").alias("lowest"))
-    named = named.join(lowest, "root", "left").where("rows > 1 or root is not null").select("ref", F.coalesce("lowest", "least").alias("component"))
+    named = named.join(lowest, "root", "left").where("rows > 1 or root is not null").select("ref", F.coalesce("root", "ref").alias("root"), F.coalesce("lowest", "least").alias("component"))
     named = materialise(named, "components")
-    out = rows.join(named, "ref", "left")
+    return rows.join(named, "ref", "left").drop("ref", "sig")
+
+
+def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, n_shingles, component_id) of every row; component_id is the least id reachable by links."""
+    out = joined(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), words, percent)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
@@ -504,9 +515,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with its id stays; columns stay as they are."""
-    gone = materialise(near_duplicates(docs).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")).distinct(), "near")
-    return docs.join(small(gone, gone.count(), 16), F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """Pipeline stage: of each component one row stays, whatever ids are null or repeated; columns stay as they are.
+
+    It is a row with the least id; of several texts with that id, the one of the least hash.  Rows are told apart by id
+    and hash of the text; of rows equal in both, any one stays.
+    """
+    rows = joined(docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("fp"))).where("root is not null")
+    rows = materialise(rows.groupBy("root", "id", "fp").agg(F.count("*").alias("rows")), "near")
+    best = materialise(rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "fp")).alias("best")), "near-best")
+    rows = rows.join(small(best, best.count(), 64), "root").withColumn("stays", F.col("id").eqNullSafe(F.col("best.id")) & (F.col("fp") == F.col("best.fp")))
+    rows = materialise(rows.select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), "rows", "stays"), "near-decided")
+    gone, again = rows.where("not stays").select("__id", "__fp"), rows.where("stays and rows > 1").select("__id", "__fp")
+    own = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__fp"))
+    kept = docs.join(small(gone, gone.count(), 24), own, "left_anti")
+    n_again = again.count()
+    if not n_again:
+        return kept
+    again = small(again, n_again, 24)
+    text = F.xxhash64("text")
+    one = kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", text).orderBy(text))).where("__n = 1").drop("__n")
+    return kept.join(again, own, "left_anti").unionByName(one.join(again, own, "left_semi"))
 
 
 SQL = r"""

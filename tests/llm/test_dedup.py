@@ -126,6 +126,35 @@ def test_near_edges(spark, edges, nothing):
     assert kept.columns == edges.columns and kept.where("doc_id = 5").count() == 0
 
 
+def test_near_stage_judges_rows(spark):
+    """Null and repeated ids: one row of every component stays, and rows that have no partner all do."""
+    rng = np.random.default_rng(11)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10_000, 60))
+    near = lambda t, k: t + f" end{k}"
+    a, b, c, d, e, f = (text() for _ in range(6))
+    big = 2**60 + 1
+    alone = [(None, text()), (None, text()), (big, text()), (1, text()), (None, None), (None, None), (7, ""), (7, " ")]
+    groups = [
+        [(1, a), (None, near(a, 1)), (None, near(a, 2)), (9, near(a, 3))],  # nulls beside ids
+        [(None, near(b, k)) for k in range(4)],  # null ids alone
+        [(2, near(c, k)) for k in range(3)] + [(3, c)],  # several texts with the least id
+        [(4, d), (4, d), (4, d), (5, d)],  # repeated rows
+        [(None, e), (None, e), (None, near(e, 1))],
+        [(big, f), (big + 1, near(f, 1)), (None, near(f, 2))],
+    ]
+    docs = spark.createDataFrame([(*r, str(i)) for i, r in enumerate(sum(groups, alone))], "doc_id long, text string, lang string")
+    got = [tuple(r) for r in ngram_join.stage(spark, docs, "").select("doc_id", "text").collect()]
+    left = list(got)
+    for r in alone:
+        left.remove(r)
+    for group in groups:
+        own = [r for r in left if r in group]
+        least = min((i for i, _ in group if i is not None), default=None)
+        assert len(own) == 1 and own[0][0] == least, (group[0][0], own)
+        left.remove(own[0])
+    assert not left
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.sampled_from(["a", "B", "ab", "Éa", "éa", "ba", "🙂", "x" * 70]), max_size=14))
 def test_shingle_sets(words):
@@ -212,3 +241,12 @@ def test_decontamination_edges(spark, edges, nothing):
     assert len(got) == len(EDGES) and sum(r.contaminated for r in got) == 3
     assert {r.n_hit for r in decontamination.decontaminate(edges, bench.where("false")).collect()} == {0}
     assert decontamination.decontaminate(nothing, bench).count() == 0
+
+
+def test_decontamination_stage_judges_rows(spark, tmp_path):
+    """Null and repeated ids: only the contaminated rows of an id go."""
+    spark.createDataFrame([(1, "one passage of the benchmark that is long enough to be found again in any document")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    bad = "One passage of the benchmark that is long enough to be found again in any document!"
+    rows = [(None, bad), (None, "clean text of a row without an id"), (None, "another clean one"), (None, None), (4, bad), (4, "clean text of a repeated id"), (4, bad), (5, "clean"), (5, "clean"), (6, bad)]
+    got = [tuple(r) for r in decontamination.stage(spark, frame(spark, rows), str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted((r for r in rows if r[1] != bad), key=str)
