@@ -146,12 +146,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha"))
     own = F.sha2(normalised("text").cast("binary"), 256)
     ids = found.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    both = found.where(~F.col("kept")).join(found.where("kept").select("doc_id", "text_sha256"), ["doc_id", "text_sha256"], "left_semi").limit(1).count()
+    both = found.groupBy("doc_id", "text_sha256").agg(F.min("kept").alias("all"), F.max("kept").alias("any")).where("any and not all").limit(1).count()  # null ids are grouped too
     if ids or both:  # ids that repeat within a group: one row for each kept (id, text)
         kept = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-        marked = docs.withColumn("__own", own).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
         longest = Window.partitionBy("doc_id", "__own").orderBy(F.desc(F.length(F.coalesce("text", F.lit("")))))
-        return marked.withColumn("__n", F.row_number().over(longest)).where("__n = 1").select(*docs.columns)
+        # Before the join, so that the rank filter leaves a row of each key and task to be dealt, however hot the key.
+        firsts = docs.withColumn("__own", own).withColumn("__n", F.row_number().over(longest)).where("__n = 1")
+        return firsts.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi").select(*docs.columns)
     gone = small(gone, gone.count(), 96)
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (own == F.col("__sha")), "left_anti")
 

@@ -66,6 +66,15 @@ def test_exact_edges(spark, edges, nothing):
     assert exact_dedup.stage(spark, frame(spark, corpus(3, 60)), "").count() == len({SPACE.sub("", t) for _, t in corpus(3, 60)})
 
 
+def test_exact_stage_of_null_ids(spark):
+    """All rows of a group have null ids, and no other id repeats: one row stays, the longest."""
+    rows = [(None, "no id here"), (None, "no  id here"), (None, "no id here"), (1, "with an id"), (2, "with an id"), (3, "alone")]
+    got = [tuple(r) for r in exact_dedup.stage(spark, frame(spark, rows), "").collect()]
+    assert sorted(got, key=str) == [(1, "with an id"), (3, "alone"), (None, "no  id here")]
+    hot = [(None, "hot text")] * 200 + [(i, f"text {i}") for i in range(400)]
+    assert exact_dedup.stage(spark, frame(spark, hot), "").count() == 401
+
+
 # --- near copies -------------------------------------------------------------------------------
 
 
