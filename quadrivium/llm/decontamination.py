@@ -90,7 +90,9 @@ def judged(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     if hits is None:
         out = counted.select("id", "fp", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), nothing.alias("items_sha256"))
     else:
-        marked = hits.join(small(found.select("window", "items"), n_windows, 256), "window")
+        ids = found.select("window", "items")  # as many ids as items share a text, so bytes are counted and not rows
+        bytes_ = ids.agg(F.sum(F.octet_length(F.array_join("items", " ")) + 16 * F.size("items") + 256)).first()[0]
+        marked = hits.join(F.broadcast(ids) if bytes_ <= BROADCAST_BYTES else ids, "window")
         spans = F.array_sort(F.collect_set(F.struct("start", "len")))
         per_doc = marked.groupBy("id", "fp").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
         zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))

@@ -259,3 +259,15 @@ def test_decontamination_stage_judges_rows(spark, tmp_path):
     rows = [(None, bad), (None, "clean text of a row without an id"), (None, "another clean one"), (None, None), (4, bad), (4, "clean text of a repeated id"), (4, bad), (5, "clean"), (5, "clean"), (6, bad)]
     got = [tuple(r) for r in decontamination.stage(spark, frame(spark, rows), str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted((r for r in rows if r[1] != bad), key=str)
+
+
+def test_decontamination_of_items_with_one_text(spark, monkeypatch):
+    """Few windows with very many ids each: not broadcast, whatever the number of windows."""
+    items = [(i, "one text that all of these items have") for i in range(2000)] + [(5000, "omega pi rho")]
+    docs = [(1, "see: one text that all of these items have"), (2, "omega pi rho sigma"), (None, "nothing of it")]
+    seen, real = [], decontamination.F.broadcast
+    monkeypatch.setattr(decontamination.F, "broadcast", lambda df: (seen.append(df.columns), real(df))[1])
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 8192)
+    got = [tuple(r) for r in decontamination.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted(brute_hits(docs, items), key=str)
+    assert seen and not any("items" in columns for columns in seen)
