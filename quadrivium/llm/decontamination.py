@@ -8,17 +8,27 @@ shingle.  A document position holding that shingle fixes where the window
 would start (positional bound) and whether it fits (length bound); what is left
 is verified word by word over exactly that item-sized document window.
 
-The window index is broadcast only while its measured size is small; beyond
-that the narrow shingle positions are shuffled and candidates are verified
-after joining the documents again.
+Documents are read twice, and each time split once, whatever the lengths of the
+items: first to count the tokens of the windows, then to find prefix tokens.
+In both, a bit table of the wanted tokens (at most ``MOST_BITS`` bits, however
+many tokens there are) thins out the positions inside the row, so that the few
+left, and not all of a text, become rows; the joins that follow are exact.
+A document goes through the second reading in pieces of ``PIECE`` positions and
+a found position carries the words around it only, so time and memory are in
+proportion to the length of a text and no text is joined with itself again.
+
+What an item list costs does not grow with the documents that have it: equal
+item texts are one text, windows of the same texts one class, and the list of
+ids is made once for every set of classes that some document has.
 
 Words are taken from a byte view of the text (its UTF-8 bytes read as Latin-1),
 in which the JVM's lower-casing changes A-Z and maps the bytes of other letters
 one to one, so word equality is that of the ASCII-lowered text.
 
 Edge cases: null and empty texts have no words and no hits; items without words
-give no window; repeated items and rows are judged each on its own; no
-benchmark rows means nothing is contaminated.
+give no window; repeated items and rows are judged each on its own; words that
+only items with a null id have are hit, but such items are not counted or
+listed; no benchmark rows means nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -30,9 +40,12 @@ from .common import BROADCAST_BYTES, materialise, small, table
 
 WINDOW = 13
 SHINGLE = 3
+#: Word positions of a document that are gone through at a time.
+PIECE = 4096
+#: Bits for every wanted token, and most bits in all (256 KB in the plan); more tokens let more positions through to the exact join.
+BITS_EACH, MOST_BITS = 32, 1 << 21
 #: What separates words, in the byte view after lower-casing.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text_col: str) -> Column:
@@ -45,66 +58,130 @@ def shingles(array: str, k: int) -> Column:
     return F.transform(F.col(array), lambda w, i: F.xxhash64(w, *[F.get(F.col(array), i + j) for j in range(1, k)]))
 
 
-def windows(benchmark: DataFrame, text_col: str, item_col: str, size: int) -> DataFrame:
-    """(window, words, items): every distinct window with the ids of the items that have it."""
+class Bits:
+    """A bit table of tokens as one literal of the plan: may say yes to a token that is not there, never no to one that is."""
+
+    def __init__(self, tokens: DataFrame, bound: int):
+        self.words = 1
+        while self.words * 64 < min(MOST_BITS, BITS_EACH * bound):
+            self.words *= 2
+        at, bit = self.place(F.col("token"))
+        rows = tokens.groupBy(at.alias("at")).agg(F.bit_or(bit).alias("bits")).collect()  # at most MOST_BITS / 64 numbers
+        held = [0] * self.words
+        for row in rows:
+            held[row["at"]] = row["bits"]
+        self.table = F.split(F.lit(",".join(map(str, held))), ",").cast("array<bigint>")  # folded to one literal
+
+    def place(self, token: Column) -> tuple[Column, Column]:
+        return F.shiftrightunsigned(token, 6).bitwiseAND(F.lit(self.words - 1)).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), token.bitwiseAND(F.lit(63)).cast("int"))
+
+    def may_have(self, token: Column) -> Column:
+        at, bit = self.place(token)
+        return F.get(self.table, at).bitwiseAND(bit) != 0
+
+
+def item_texts(benchmark: DataFrame, text_col: str, item_col: str) -> DataFrame:
+    """(text, item, w): every item with the key of its words; items of equal words share it."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), words(text_col).alias("w")).where(F.size("w") > 0)
+    return items.select(F.sha2(F.array_join("w", " ").cast("binary"), 256).alias("text"), "item", "w")
+
+
+def windows(texts: DataFrame, size: int) -> DataFrame:
+    """(window, words, text): every distinct window of a distinct text."""
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))
-    rows = items.select("item", "w", F.explode(starts).alias("at")).select("item", F.slice("w", F.col("at") + 1, F.lit(size)).alias("words"))
-    found = rows.groupBy("words").agg(F.collect_set("item").alias("items"))
-    return found.withColumn("window", F.sha2(F.array_join("words", " ").cast("binary"), 256))
+    rows = texts.select("text", "w").dropDuplicates(["text"]).select("text", "w", F.explode(starts).alias("at")).select("text", F.slice("w", F.col("at") + 1, F.lit(size)).alias("words"))
+    return rows.distinct().withColumn("window", F.sha2(F.array_join("words", " ").cast("binary"), 256))
+
+
+def window_index(split: DataFrame, own: DataFrame, lengths: list[int], n_windows: int, size: int) -> DataFrame:
+    """(k, token, window, len, offset, own): the rarest shingle of every window, by its count in the whole corpus."""
+    tokens = None
+    for k in lengths:
+        part = own.where(F.least(F.size("words"), F.lit(SHINGLE)) == k)
+        part = part.select(F.lit(k).alias("k"), "window", F.size("words").alias("len"), F.posexplode(F.slice(shingles("words", k), F.lit(1), F.size("words") - (k - 1))).alias("offset", "token"))
+        tokens = part if tokens is None else tokens.unionByName(part)
+    tokens = materialise(tokens, "window-tokens")
+    vocabulary = tokens.select("k", "token").distinct()
+    bits = Bits(vocabulary, n_windows * size)
+    wanted = lambda k: F.transform(F.filter(shingles("w", k), bits.may_have), lambda t: F.struct(F.lit(k).alias("k"), t.alias("token")))
+    found = F.concat(*[wanted(k) for k in lengths])
+    counted = split.select(F.explode(found).alias("t")).select("t.*").groupBy("k", "token").agg(F.count("*").alias("df"))
+    counted = vocabulary.join(counted, ["k", "token"], "left")
+    rarest = F.min(F.struct(F.coalesce("df", F.lit(0)), "token", "offset")).alias("best")
+    prefix = tokens.join(small(counted, n_windows * size, 24), ["k", "token"]).groupBy("k", "window", "len").agg(rarest)
+    prefix = prefix.select("k", "window", "len", F.col("best.token").alias("token"), F.col("best.offset").alias("offset"))
+    return materialise(prefix.join(own.select("window", F.col("words").alias("own")), "window"), "prefix")
+
+
+def marked(split: DataFrame, index: DataFrame, lengths: list[int], n_windows: int, size: int) -> DataFrame:
+    """(id, fp, lead, n_words, found) of every piece of a document, ``lead`` the first: places of possible prefix tokens with the words around them."""
+    bits = Bits(index.select("token").distinct(), n_windows)
+    around = size - 1
+    n = F.size("w")
+    # A piece has the words before and after its positions that a window over one of them may need.
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(PIECE)),
+        lambda a: F.struct(F.greatest(a - around, F.lit(0)).alias("first"), F.least(a, F.lit(around)).alias("skip"), (a == 0).alias("lead"), n.cast("long").alias("n_words"), F.slice("w", F.greatest(a - around, F.lit(0)) + 1, F.least(a, F.lit(around)) + PIECE + around).alias("piece")),
+    )
+    rows = split.select("id", "fp", F.inline(pieces))
+    start = lambda x: F.greatest(x["at"] - around, F.lit(0))
+
+    def places(k: int) -> Column:
+        at = F.transform(shingles("piece", k), lambda t, i: F.struct(i.alias("at"), t.alias("token")))
+        at = F.filter(at, lambda x: (x["at"] >= F.col("skip")) & (x["at"] < F.col("skip") + PIECE) & bits.may_have(x["token"]))
+        near = lambda x: F.slice("piece", start(x) + 1, F.lit(2 * around + 1)).alias("near")
+        return F.transform(at, lambda x: F.struct(F.lit(k).alias("k"), x["token"].alias("token"), (F.col("first") + x["at"]).alias("at"), (F.col("first") + start(x)).alias("first"), near(x)))
+
+    kinds = [places(k) for k in lengths]
+    return rows.select("id", "fp", "lead", "n_words", F.concat(*kinds).alias("found"))
 
 
 def judged(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", item_text: str = "text", item_col: str = "item_id", window: int = WINDOW, per: int = 20) -> DataFrame:
     """(id, fp, n_words, n_hit, n_items, items_sha256, contaminated) of every document; fp is the xxhash64 of its text."""
-    found = materialise(windows(benchmark, item_text, item_col, window), "windows")
-    n_windows = found.count()
-    lengths = sorted(r[0] for r in found.select(F.least(F.size("words"), F.lit(SHINGLE))).distinct().collect())  # at most SHINGLE numbers
-    docs = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("fp"))
-    split = docs.select("id", "fp", words("text").alias("w"))
-
-    hits = None
-    for k in lengths:
-        own = found.where(F.least(F.size("words"), F.lit(SHINGLE)) == k)
-        tokens = own.select("window", F.size("words").alias("len"), F.posexplode(F.slice(shingles("words", k), F.lit(1), F.size("words") - (k - 1))).alias("offset", "token"))
-        places = split.select("id", "fp", "w", F.posexplode(shingles("w", k)).alias("at", "token"))
-        vocabulary = tokens.select("token").distinct()
-        counted = places.select("token").join(small(vocabulary, n_windows * window, 16), "token").groupBy("token").agg(F.count("*").alias("df"))
-        rarest = F.min(F.struct(F.coalesce("df", F.lit(0)), "token", "offset")).alias("best")
-        prefix = tokens.join(counted, "token", "left").groupBy("window", "len").agg(rarest).select("window", "len", F.col("best.token").alias("token"), F.col("best.offset").alias("offset"))
-        index = materialise(prefix.join(own.select("window", F.col("words").alias("own")), "window"), f"prefix-{k}")
-        bytes_ = index.agg(F.sum(F.octet_length(F.array_join("own", " ")) + 160)).first()[0] or 0
-        start = F.col("at") - F.col("offset")
-        fits = (start >= 0) & (start + F.col("len") <= F.size("w"))
-        same = F.slice("w", F.col("start") + 1, F.col("len")) == F.col("own")
-        if bytes_ <= BROADCAST_BYTES:
-            part = places.join(F.broadcast(index), "token").where(fits).withColumn("start", start).where(same)
-        else:
-            narrow = places.select("id", "fp", "at", "token").join(index.drop("own"), "token").where(start >= 0).select("id", "fp", start.alias("start"), "len", "window").distinct()
-            again = narrow.alias("c").join(split.alias("d"), F.col("c.id").eqNullSafe(F.col("d.id")) & (F.col("c.fp") == F.col("d.fp"))).select("c.*", "w")
-            part = again.join(index.select("window", "own"), "window").where(same)
-        part = part.select("id", "fp", "start", "len", "window")
-        hits = part if hits is None else hits.unionByName(part)
-
-    counted = docs.select("id", "fp", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    texts = materialise(item_texts(benchmark, item_text, item_col), "item-texts")
+    found = materialise(windows(texts, window), "windows")
+    own = materialise(found.select("window", "words").distinct(), "window-words")
+    n_windows = own.count()
+    lengths = sorted(r[0] for r in own.select(F.least(F.size("words"), F.lit(SHINGLE))).distinct().collect())  # at most SHINGLE numbers
+    split = documents.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("fp"), words(text_col).alias("w"))
     nothing = F.sha2(F.lit("").cast("binary"), 256)
-    if hits is None:
-        out = counted.select("id", "fp", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), nothing.alias("items_sha256"))
-    else:
-        ids = found.select("window", "items")  # as many ids as items share a text, so bytes are counted and not rows
-        bytes_ = ids.agg(F.sum(F.octet_length(F.array_join("items", " ")) + 16 * F.size("items") + 256)).first()[0]
-        marked = hits.join(F.broadcast(ids) if bytes_ <= BROADCAST_BYTES else ids, "window")
-        spans = F.array_sort(F.collect_set(F.struct("start", "len")))
-        per_doc = marked.groupBy("id", "fp").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-        zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
-
-        def cover(acc: Column, span: Column) -> Column:
-            end = span["start"] + span["len"]
-            new = F.greatest(end - F.greatest(acc["end"], span["start"]), F.lit(0))
-            return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["n"] + new).alias("n"))
-
-        per_doc = per_doc.select("id", "fp", F.aggregate("spans", zero, cover)["n"].alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
-        out = counted.alias("d").join(per_doc.alias("h"), F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.fp") == F.col("h.fp")), "left")
-        out = out.select("d.id", "d.fp", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", nothing).alias("items_sha256"))
+    if not lengths:
+        out = split.select("id", "fp", F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), nothing.alias("items_sha256"))
+        return out.withColumn("contaminated", F.lit(False))
+
+    index = window_index(split, own, lengths, n_windows, window)
+    bytes_ = index.agg(F.sum(F.octet_length(F.array_join("own", " ")) + 160)).first()[0]
+    marks = materialise(marked(split, index, lengths, n_windows, window), "marks")
+    places = marks.select("id", "fp", F.inline("found"))
+    start = F.col("at") - F.col("offset")
+    same = F.slice("near", start - F.col("first") + 1, F.col("len")) == F.col("own")
+    hits = places.join(F.broadcast(index) if bytes_ <= BROADCAST_BYTES else index, ["k", "token"]).where(start >= 0).where(same)
+    hits = materialise(hits.select("id", "fp", start.alias("start"), "len", "window").distinct(), "hits")
+
+    # Windows of the same texts are one class; a document's set of classes decides its list of items.
+    sums = found.groupBy("window").agg(F.count("*").alias("n"), F.sum(F.xxhash64("text").cast("decimal(20,0)")).alias("a"), F.sum(F.xxhash64(F.lit("b"), "text").cast("decimal(20,0)")).alias("b"))
+    classes = materialise(sums.select("window", F.sha2(F.concat_ws(" ", "n", "a", "b"), 256).alias("class")), "window-classes")
+    zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def cover(acc: Column, span: Column) -> Column:
+        end = span["start"] + span["len"]
+        new = F.greatest(end - F.greatest(acc["end"], span["start"]), F.lit(0))
+        return F.struct(F.greatest(acc["end"], end).alias("end"), (acc["n"] + new).alias("n"))
+
+    # Both gather at most as many numbers as a document has words, beside a text that is a row already.
+    spans = hits.groupBy("id", "fp").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans"))
+    spans = spans.select("id", "fp", F.aggregate("spans", zero, cover)["n"].alias("n_hit"))
+    sets = hits.select("id", "fp", "window").distinct().join(small(classes, n_windows, 160), "window").groupBy("id", "fp").agg(F.array_sort(F.collect_set("class")).alias("classes"))
+    sets = materialise(sets.withColumn("set", F.sha2(F.array_join("classes", " "), 256)), "class-sets")
+    one = classes.groupBy("class").agg(F.min("window").alias("window"))
+    listed = sets.select("set", "classes").dropDuplicates(["set"]).select("set", F.explode("classes").alias("class")).join(one, "class").join(found.select("window", "text"), "window")
+    listed = listed.select("set", "text").distinct().join(texts.select("text", "item").distinct(), "text").groupBy("set").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    listed = listed.select("set", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
+    per_doc = sets.select("id", "fp", "set").join(listed, "set", "left").alias("s").join(spans.alias("h"), F.col("s.id").eqNullSafe(F.col("h.id")) & (F.col("s.fp") == F.col("h.fp")))
+    per_doc = materialise(per_doc.select("s.id", "s.fp", "n_hit", "n_items", "items_sha256"), "contamination")
+
+    counted = marks.where("lead").alias("d").join(small(per_doc, per_doc.count(), 128).alias("h"), F.col("d.id").eqNullSafe(F.col("h.id")) & (F.col("d.fp") == F.col("h.fp")), "left")
+    out = counted.select("d.id", "d.fp", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", nothing).alias("items_sha256"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * per >= F.col("n_words")))
 
 
