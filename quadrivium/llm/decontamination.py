@@ -124,13 +124,14 @@ def marked(split: DataFrame, index: DataFrame, lengths: list[int], n_windows: in
         lambda a: F.struct(F.greatest(a - around, F.lit(0)).alias("first"), F.least(a, F.lit(around)).alias("skip"), (a == 0).alias("lead"), n.cast("long").alias("n_words"), F.slice("w", F.greatest(a - around, F.lit(0)) + 1, F.least(a, F.lit(around)) + PIECE + around).alias("piece")),
     )
     rows = split.select("id", "fp", F.inline(pieces))
-    start = lambda x: F.greatest(x["at"] - around, F.lit(0))
+    inside = lambda i: (i >= F.col("skip")) & (i < F.col("skip") + PIECE)
 
     def places(k: int) -> Column:
-        at = F.transform(shingles("piece", k), lambda t, i: F.struct(i.alias("at"), t.alias("token")))
-        at = F.filter(at, lambda x: (x["at"] >= F.col("skip")) & (x["at"] < F.col("skip") + PIECE) & bits.may_have(x["token"]))
-        near = lambda x: F.slice("piece", start(x) + 1, F.lit(2 * around + 1)).alias("near")
-        return F.transform(at, lambda x: F.struct(F.lit(k).alias("k"), x["token"].alias("token"), (F.col("first") + x["at"]).alias("at"), (F.col("first") + start(x)).alias("first"), near(x)))
+        at = F.array_compact(F.transform(shingles("piece", k), lambda t, i: F.when(bits.may_have(t) & inside(i), i)))
+        token = lambda i: F.xxhash64(*[F.get("piece", i + j) for j in range(k)]).alias("token")
+        start = lambda i: F.greatest(i - around, F.lit(0))
+        near = lambda i: F.slice("piece", start(i) + 1, F.lit(2 * around + 1)).alias("near")
+        return F.transform(at, lambda i: F.struct(F.lit(k).alias("k"), token(i), (F.col("first") + i).alias("at"), (F.col("first") + start(i)).alias("first"), near(i)))
 
     kinds = [places(k) for k in lengths]
     return rows.select("id", "fp", "lead", "n_words", F.concat(*kinds).alias("found"))
