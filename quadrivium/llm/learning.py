@@ -22,6 +22,9 @@ def labelled_sample(labels: DataFrame, label: str, id_col: str, train: Column, b
 
 
 def with_text(documents: DataFrame, sample: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """(id, text, y) of the sampled documents; the sample side is bounded and broadcast."""
+    """(id, text, y) of the sampled documents, one row per id: of an id with several texts the least one.
+
+    The sample side is bounded and broadcast; the bound on labels is one on rows, however often an id repeats.
+    """
     docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return docs.join(F.broadcast(sample), "id")
+    return docs.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))

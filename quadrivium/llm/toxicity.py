@@ -1,17 +1,19 @@
 """Toxicity: boosted trees over dense lexical features, calibrated isotonically.
 
-Learning, over at most ``SAMPLE_ROWS`` labelled training rows:
+Learning, over at most about ``SAMPLE_ROWS`` labelled training rows dealt to
+``PARTS`` parts by a hash of their id, alike at every size:
 
-1. a *lexicon* is learned on one half of them: words whose document frequency
-   among toxic rows exceeds that among clean rows by a smoothed log-odds
-   z-score, in a strong and a weak tier, joined to a short fixed list;
-2. on the other half, trees are fitted on dense features (lexicon densities,
-   distance of lexicon words to second-person words, capitals, punctuation,
-   obfuscation rates);
-3. isotonic calibration of cross-fitted scores: each part of that half is
-   scored by trees of the other part.
+1. a *lexicon* is learned for each part from the other parts: words whose
+   document frequency among toxic rows exceeds that among clean rows by a
+   smoothed log-odds z-score, in a strong and a weak tier, joined to a short
+   fixed list; one more from all rows is the one that texts are scored with;
+2. dense features (lexicon densities, distance of lexicon words to
+   second-person words, capitals, punctuation, obfuscation rates) are made of
+   every row with the lexicon of its part, so that no row is described by words
+   learned from itself, and trees are fitted on them;
+3. isotonic calibration of scores that each part gets from trees of the others.
 
-With fewer than ``LEAST_POSITIVES`` toxic training rows every part uses all rows.
+A lexicon keeps its ``LEXICON_WORDS`` best words at most: the size of the model.
 
 Edge cases: null and empty texts get the score of an all-zero feature row;
 texts of any length are read whole; repeated rows score alike; with no
@@ -31,12 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import id_fold, table
+from .common import id_fold, materialise, table
 from .learning import labelled_sample, with_text
 
 SAMPLE_ROWS = 40_000
-LEAST_POSITIVES = 60
-LEXICON_WORDS = 2_000
+PARTS = 5
+#: Words a lexicon keeps, and toxic rows that a word must be in.
+LEXICON_WORDS, LEAST_ROWS = 2_000, 4
 FOLDS = 5
 
 # Everyday insults used as the seed lexicon, whatever the labels say.
@@ -112,55 +115,73 @@ class Model:
         return self.calibrate(self.forest.probability(x))
 
 
-def learn_lexicon(rows: DataFrame) -> Lexicon:
-    """Words told apart by class; counted per batch on the executors, then summed by Spark."""
+def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
+    """Of (part, text, y), a lexicon for each part from the rows of the others, and last one from all rows.
+
+    Words are counted per batch on the executors, then summed by Spark; a part's counts are taken off the whole.
+    """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
-            for text, y in zip(batch["text"], batch["y"], strict=True):
+            seen: dict[str, list[int]] = {}
+            for part, text, y in zip(batch["part"], batch["text"], batch["y"], strict=True):
                 found = {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= 24}
-                seen[y > 0].update(found | {w[:k] + "*" for w in found if len(w) > 6 for k in (5, 6)})
-            words = list(seen[True])  # a word that no toxic row of the batch has adds only to the clean side
-            rest = [w for w in seen[False] if w not in seen[True]]
-            yield pd.DataFrame({"word": words + rest, "toxic": [seen[True][w] for w in words] + [0] * len(rest), "clean": [seen[False][w] for w in words + rest]})
-
-    size = rows.groupBy().agg(F.sum("y").alias("t"), F.count("*").alias("n")).first()
-    toxic, clean = float(size["t"] or 0), float(size["n"] - (size["t"] or 0))
+                for w in found | {w[:k] + "*" for w in found if len(w) > 6 for k in (5, 6)}:
+                    seen.setdefault(w, [0] * (2 * PARTS))[2 * part + (y > 0)] += 1
+            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+
+    sizes = {r["part"]: (float(r["t"]), float(r["n"] - r["t"])) for r in rows.groupBy("part").agg(F.sum("y").alias("t"), F.count("*").alias("n")).collect()}
+    every = [F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(2 * PARTS)]
+    toxic_rows = sum((F.col(f"n{2 * p + 1}") for p in range(PARTS)), F.lit(0))
+    counts = rows.select("part", "text", "y").mapInPandas(count, "word string, n array<long>").groupBy("word").agg(*every).where(toxic_rows >= LEAST_ROWS)
+    total = [sum((F.col(f"n{2 * p + side}") for p in range(PARTS)), F.lit(0)) for side in (0, 1)]
+    counts = materialise(counts.select("word", *[(total[side] - (F.col(f"n{2 * p + side}") if p < PARTS else 0)).alias(f"{'ba'[side]}{p}") for p in range(PARTS + 1) for side in (0, 1)]), "words")
+    out = []
+    for p in range(PARTS + 1):
+        toxic, clean = (sum(x[side] for part, x in sizes.items() if part != p) for side in (0, 1))
+        out.append(_lexicon(counts.select("word", F.col(f"a{p}").alias("a"), F.col(f"b{p}").alias("b")), toxic, clean))
+    return out
+
+
+def _lexicon(counts: DataFrame, toxic: float, clean: float) -> Lexicon:
+    """The lexicon of (word, a, b): in how many of ``toxic`` and ``clean`` rows a word is."""
     if not toxic or not clean:
         return Lexicon(SEED_WORDS, frozenset())
-    counts = rows.select("text", "y").mapInPandas(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")).where("a >= 4")
     odds = F.log((F.col("a") + 0.5) / (toxic - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (clean - F.col("b") + 0.5))
     z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    best = counts.withColumn("z", z).where("z >= 2").orderBy(F.desc("z"), "word").limit(LEXICON_WORDS).collect()
+    best = counts.where(F.col("a") >= LEAST_ROWS).withColumn("z", z).where("z >= 2").orderBy(F.desc("z"), "word").limit(LEXICON_WORDS).collect()
     # Strong: at least a fiftieth of the toxic rows have the word and nearly no clean row does.
-    stems = frozenset(r["word"][:-1] for r in best if r["word"][-1] == "*" and r["z"] >= 4 and r["a"] >= max(4, toxic / 50))
+    enough = max(LEAST_ROWS, toxic / 50)
+    stems = frozenset(r["word"][:-1] for r in best if r["word"][-1] == "*" and r["z"] >= 4 and r["a"] >= enough)
     best = [r for r in best if r["word"][-1] != "*"]
-    strong = {r["word"] for r in best if r["z"] >= 2.5 and r["a"] >= max(4, toxic / 50) and r["b"] * 20 * toxic <= r["a"] * clean}
+    strong = {r["word"] for r in best if r["z"] >= 2.5 and r["a"] >= enough and r["b"] * 20 * toxic <= r["a"] * clean}
     return Lexicon(frozenset(strong) | SEED_WORDS, frozenset(r["word"] for r in best) - strong, stems)
 
 
+def cross_fitted(x: np.ndarray, y: np.ndarray, part: np.ndarray, parts: int = PARTS) -> np.ndarray:
+    """A score of every row by trees that were fitted on the other parts."""
+    raw = np.zeros(len(y))
+    for p in range(parts):
+        own = part == p
+        if own.any():
+            raw[own] = gbt.fit(x[~own], y[~own]).probability(x[own])
+    return raw
+
+
 def train(documents: DataFrame, labels: DataFrame, train_rows: Column, text_col: str = "text", id_col: str = "doc_id", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     sample = labelled_sample(labels, label, id_col, train_rows, sample_rows)
-    rows = with_text(documents, sample, text_col, id_col).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(10)))
-    positives = sample.agg(F.sum("y")).first()[0] or 0
-    apart = positives >= LEAST_POSITIVES
-    lexicon = learn_lexicon(rows.where("half < 5") if apart else rows)
+    rows = with_text(documents, sample, text_col, id_col).select(F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(PARTS)).cast("int").alias("part"), "text", "y")
+    rows = materialise(rows, "training-rows")
+    lexicons = learn_lexicons(rows)
 
     def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"half": batch["half"], "y": batch["y"], "x": [features(t, lexicon) for t in batch["text"]]})
-
-    part = (rows.where("half >= 5") if apart else rows).select("half", "y", "text").mapInPandas(dense, "half long, y double, x array<double>").toPandas()
-    x = np.array(part["x"].tolist(), dtype=float).reshape(len(part), len(NAMES))
-    y, fold = part["y"].to_numpy(float), part["half"].to_numpy()
-    forest = gbt.fit(x, y)
-    # Calibration needs scores of rows that the scoring trees have not seen: each part is scored by trees of the other.
-    raw = forest.probability(x)
-    if apart:
-        for part_ in (fold < 7, fold >= 7):
-            raw[part_] = gbt.fit(x[~part_], y[~part_]).probability(x[part_])
-    return Model(lexicon, forest, gbt.isotonic(raw, y))
+            yield pd.DataFrame({"part": batch["part"], "y": batch["y"], "x": [features(t, lexicons[p]) for t, p in zip(batch["text"], batch["part"], strict=True)]})
+
+    got = rows.mapInPandas(dense, "part int, y double, x array<double>").toPandas()
+    x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(NAMES))
+    y, part = got["y"].to_numpy(float), got["part"].to_numpy()
+    return Model(lexicons[-1], gbt.fit(x, y), gbt.isotonic(cross_fitted(x, y, part), y))
 
 
 def score(documents: DataFrame, model: Model, text_col: str = "text") -> Column:

@@ -86,3 +86,73 @@ def test_fold_of_ids(spark):
 
     got = spark.range(20).select("id", id_fold("id", 5).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got)
+
+
+# --- against brute force -----------------------------------------------------------------------
+
+
+def test_isotonic_against_the_min_max_formula():
+    """The isotonic fit at i is the greatest over starts of the least over ends of the means: computed in full."""
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 60):
+        p = np.sort(rng.choice(1000, n, replace=False)) / 1000
+        y = (rng.random(n) < p).astype(float)
+        want = [max(min(y[a : b + 1].mean() for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        fit = gbt.isotonic(p, y)
+        blocks = [np.flatnonzero(np.isclose(want, v)) for v in sorted(set(np.round(want, 9)))]
+        assert fit.y == pytest.approx([want[b[0]] for b in blocks]) and fit.x == pytest.approx([p[b].mean() for b in blocks])
+
+
+def test_first_split_is_the_best_of_all():
+    """A stump's split and leaves, found by trying every feature and threshold."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 12, (300, 3)).astype(float)
+    y = (x[:, 1] + rng.normal(0, 3, 300) > 6).astype(float)
+    forest = gbt.fit(x, y, trees=1, depth=1, rate=1.0, bins=64, least=1)
+    base = y.mean()
+    g, h = base - y, np.full(300, base * (1 - base))
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1.0)
+    gains = {(j, t): score(x[:, j] <= t) + score(x[:, j] > t) for j in range(3) for t in np.unique(x[:, j])[:-1]}
+    feature, cut = max(gains, key=gains.get)
+    assert forest.feature[0, 0] == feature and ((x[:, feature] <= forest.threshold[0, 0]) == (x[:, feature] <= cut)).all()
+    leaf = lambda m: -g[m].sum() / (h[m].sum() + 1.0)
+    assert forest.value[0, 1:] == pytest.approx([leaf(x[:, feature] <= cut), leaf(x[:, feature] > cut)])
+
+
+def test_features_counted_by_hand():
+    plain = toxicity.Lexicon(toxicity.SEED_WORDS, frozenset({"bad"}))
+    got = dict(zip(toxicity.NAMES, toxicity.features("YOU idiot, bad bad idea! Are you?? é", plain)))
+    size, n = len("YOU idiot, bad bad idea! Are you?? é".encode()), 8
+    want = {"log_words": np.log1p(n), "seed": 1 / n, "strong": 1 / n, "weak": 2 / n, "near_hits": 1 / n, "second": 2 / n, "nearest": toxicity.NEAR - 1, "capitals": 4 / size, "bangs": 1 / size, "questions": 2 / size, "punctuation": 4 / size, "digits": 0, "shouted": 1 / n, "peak": 1, "non_ascii": 1 / size}
+    assert {k: got[k] for k in want} == pytest.approx(want)
+    got = dict(zip(quality.NAMES, quality.features("The cat sat.\nThe cat sat.\n\nA 12 | dog")))
+    want = {"log_words": np.log1p(10), "unique": 7 / 10, "digits": 2 / 37, "pipes": 1 / 10, "stops": 2 / 10, "lines": np.log1p(3), "ended": 2 / 3, "double_lines": 1 / 3, "double_share": 2 / 3, "top_word": 2 / 10, "longest": np.log1p(4), "pair_share": 7 / 9}
+    assert {k: got[k] for k in want} == pytest.approx(want)
+
+
+def test_every_part_has_words_of_the_others_only(spark):
+    rows = [(i % toxicity.PARTS, f"common filler text number{i} " + ("slurword" if y else "kindword") + (" onlyhere" if y and i % toxicity.PARTS == 0 else ""), float(y)) for i in range(100) for y in (0, 1)]
+    lexicons = toxicity.learn_lexicons(spark.createDataFrame(rows, "part int, text string, y double"))
+    assert len(lexicons) == toxicity.PARTS + 1 and all("slurword" in x.strong and "kindword" not in x.strong | x.weak for x in lexicons)
+    assert ["onlyhere" in x.strong | x.weak for x in lexicons] == [False] + [True] * toxicity.PARTS
+
+
+def test_cross_fitted_scores_come_from_other_parts():
+    rng = np.random.default_rng(8)
+    x, part = rng.normal(size=(500, 2)), np.arange(500) % 5
+    y = (x[:, 0] > 0).astype(float)
+    got = toxicity.cross_fitted(x, y, part)
+    for p in range(5):
+        assert got[part == p] == pytest.approx(gbt.fit(x[part != p], y[part != p]).probability(x[part == p]))
+    assert toxicity.cross_fitted(x[:3], y[:3], part[:3]).shape == (3,) and len(toxicity.cross_fitted(x[:0], y[:0], part[:0])) == 0
+
+
+def test_sample_has_a_row_per_id_however_often_it_repeats(spark):
+    from pyspark.sql import functions as F
+
+    from quadrivium.llm.learning import labelled_sample, with_text
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "b"), (None, "c"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (3, 1)], "doc_id long, toxic int")
+    got = with_text(docs, labelled_sample(labels, "toxic", "doc_id", F.lit(True), 100), "text", "doc_id").collect()
+    assert sorted(tuple(r) for r in got) == [(1, "text 0", 1.0), (2, "b", 0.0), (3, "", 1.0)]
