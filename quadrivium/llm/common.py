@@ -14,7 +14,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Largest table, in bytes, that an operator broadcasts after measuring it.
@@ -22,13 +22,20 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a private one is set only where none is configured."""
+    """The folder all executors see.
+
+    Where none is configured: in local mode a private temporary folder, on a
+    cluster one below the warehouse, never a disk of this machine alone.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="quadrivium-")
+        if spark.sparkContext.master.startswith("local"):
+            root = "file://" + tempfile.mkdtemp(prefix="quadrivium-")
+        else:
+            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -58,7 +65,42 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.quadrivium_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing will read again."""
+    for df in tables:
+        delete(df.sparkSession, df.quadrivium_path)
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str, total: str | None = None) -> DataFrame:
+    """Adds ``rank``, from 0, of every row of a key in an order; with ``total`` also ``before``, its sum over the earlier rows.
+
+    ``order`` should end in a column that tells equal rows apart.  Rows are
+    dealt by ranges of (keys, order), so a key with very many rows is spread
+    over tasks; within a range rows are numbered, and each range of a key
+    starts where the ranges before it end: a small table of (key, range).
+    """
+    spark = rows.sparkSession
+    dealt = materialise(rows.repartitionByRange(partitions(spark), *keys, *order).withColumn("__range", F.spark_partition_id()), name)
+    value = F.col(total) if total else F.lit(0)
+    parts = dealt.groupBy(*keys, "__range").agg(F.count("*").alias("__n"), F.sum(value).alias("__t"))
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # Only keys that go over a border of ranges need a start other than 0, at most two a range.
+    starts = materialise(parts.withColumns({"__n0": F.sum("__n").over(earlier), "__t0": F.sum("__t").over(earlier)}).where("__n0 is not null").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__range").alias("__at"), "__n0", "__t0"), f"{name}-starts")
+    same = F.col("__range") == F.col("__at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    within = Window.partitionBy(*keys, "__range").orderBy(*order)
+    sums = F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, -1))
+    out = dealt.withColumns({"__i": F.row_number().over(within), "__s": sums}).join(small(starts, starts.count(), 64 * (len(keys) + 3)), same, "left")
+    found = {"rank": (F.coalesce("__n0", F.lit(0)) + F.col("__i") - 1).cast("long")}
+    if total:
+        found["before"] = (F.coalesce("__t0", F.lit(0)) + F.coalesce("__s", F.lit(0))).cast("long")
+    return out.select(*rows.columns, *[c.alias(n) for n, c in found.items()])
 
 
 def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

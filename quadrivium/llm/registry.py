@@ -21,5 +21,6 @@ SQL = {
     "op3_warc": warc.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
     "op8_ngram_join": ngram_join.SQL,
+    "op9_sharding": sharding.SQL,
     "op10_chat_rotation": chat_rotation.SQL,
 }

@@ -1,24 +1,43 @@
 """Sharding, WARC archives, chat formatting and the pipeline."""
 
 import gzip
+import heapq
 import io
 import json
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quadrivium.llm import chat_rotation, sharding, warc
+from quadrivium.llm import chat_rotation, common, sharding, warc
 from tests.llm.conftest import EDGES, corpus
 
 
 # --- sharding ----------------------------------------------------------------------------------
 
 
-def test_schedule_is_longest_first():
-    assert sharding.schedule([(5, "a"), (4, "b"), (3, "c"), (3, "d"), (3, "e")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0, "e": 1}
-    assert sharding.schedule([], 3) == {}
+def longest_first(sizes, shards):
+    """One group after the other through a heap; the loads and the groups of every size in each shard."""
+    heap, given = [(0, s) for s in range(shards)], Counter()
+    for size in sorted(sizes, reverse=True):
+        load, shard = heapq.heappop(heap)
+        given[size, shard] += 1
+        heapq.heappush(heap, (load + size, shard))
+    return given
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 40), st.integers(1, 60)), max_size=12, unique_by=lambda x: x[0]), st.integers(1, 5))
+def test_schedule_against_a_heap_of_groups(classes, shards):
+    got = Counter()
+    for size, up_to in sharding.schedule(sorted(classes, reverse=True), shards):
+        for shard, (a, b) in enumerate(zip([0] + up_to, up_to)):
+            got[size, shard] += b - a
+    assert +got == longest_first([s for s, n in classes for _ in range(n)], shards)
 
 
 def check_shards(rows, texts, shards):
@@ -39,7 +58,17 @@ def test_shards(spark, edges, nothing):
     load = Counter()
     for r in rows:
         load[r.shard] += r.size
-    assert max(load.values()) - min(load.values()) <= max(150 * 37, 2000)
+    groups = Counter()
+    for _, t in texts:
+        groups[t] += len(t.encode()) + 1
+    want, held = [0] * 4, defaultdict(set)
+    for (size, shard), n in longest_first(groups.values(), 4).items():
+        want[shard] += size * n
+    assert [load[s] for s in range(4)] == want, "the loads of longest-first over whole groups"
+    names = dict(texts)
+    for r in rows:
+        held[names[r.doc_id]].add(r.shard)
+    assert all(len(s) == 1 for s in held.values())
     check_shards(sharding.lpt_shards(edges).collect(), EDGES, 16)
     assert sharding.lpt_shards(nothing).count() == 0
 
@@ -52,6 +81,19 @@ def test_shard_files(spark, tmp_path):
     assert sorted((r.doc_id, r.shard, r.slot) for r in back.collect()) == sorted((r.doc_id, r.shard, r.slot) for r in placed.collect())
 
 
+def test_ranks_in_ranges(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(k) if k else None, int(o), i, int(v)) for i, (k, o, v) in enumerate(zip(np.minimum(rng.integers(0, 9, 400), 4), rng.integers(0, 20, 400), rng.integers(0, 50, 400)))]
+    df = spark.createDataFrame(rows, "k long, o long, i long, v long")
+    got = {r.i: (r["rank"], r.before) for r in common.ranked(df, ["k"], ["o", "i"], "test", total="v").collect()}
+    for k in {r[0] for r in rows}:
+        before = 0
+        for n, (_, _, i, v) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: r[1:3])):
+            assert got[i] == (n, before)
+            before += v
+    assert common.ranked(df.where("false"), ["k"], ["o", "i"], "none").count() == 0
+
+
 # --- WARC --------------------------------------------------------------------------------------
 
 PAGES = [(1, "http://a/", "<p>é</p>"), (2, "http://b/ x\r\ny", "<p>é</p>"), (3, None, None), (4, "http://c/", ""), (5, "http://d/", "z" * 300_000), (0, "http://e/", "last"), (None, "http://f/", "last"), (5, "http://d/", "z" * 300_000)]
