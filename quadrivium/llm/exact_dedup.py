@@ -3,14 +3,15 @@
 Keys are 64-bit hashes of whitespace-free texts.  The *directory* maps the
 leading bits of a hash to a bucket: starting from one bucket, an overfull
 bucket is split by one more bit and the directory doubles whenever a bucket
-reaches its depth.  Rows are dealt to the *owner task* of their bucket, where
-equal hashes form a chain and nodes of a chain are told apart by comparing the
-texts themselves.  The nodes (one per distinct text) are written to the shared
+reaches its depth.  Every *owner task* has a range of keys, the buckets next to
+each other in the directory with about an even share of the keys; rows are
+dealt to the owner of their bucket, where equal hashes form a chain and nodes
+of a chain are told apart by comparing the texts themselves.  The nodes (one per distinct text) are written to the shared
 folder as the index.
 
 Hot texts: a chain with more rows than ``rows / (8 x partitions)`` is spread
-over pages of that many rows, so no owner gets more than a small multiple of
-the mean; at most ``8 x partitions`` chains can be that long, which bounds the
+over pages of that many rows, each with the owner one further on, so no owner
+gets more than a small multiple of the mean; at most ``8 x partitions`` chains can be that long, which bounds the
 broadcast of their hashes.  Nodes of one chain from several pages (or with
 several lengths) are merged afterwards by their bytes.
 
@@ -72,9 +73,23 @@ class Directory:
             full += [b for b in (bucket, new) if held[b] > capacity]
         return self
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        """(prefix, bucket): at most 2**MAX_DEPTH rows of two numbers."""
-        return spark.createDataFrame(list(enumerate(self.slots)), "prefix long, bucket int")
+    def owners(self, counts: dict[int, int], fine: int, tasks: int) -> list[int]:
+        """The owner of every slot: a bucket goes to the task in whose even share of the keys its first key falls."""
+        held = [0] * len(self.local)
+        for p, n in counts.items():
+            held[self.slots[p >> (fine - self.depth)]] += n
+        total, before, out = max(1, sum(held)), 0, []
+        for i, bucket in enumerate(self.slots):
+            if i and bucket == self.slots[i - 1]:
+                out.append(out[-1])
+                continue
+            out.append(min(tasks - 1, before * tasks // total))
+            before += held[bucket]
+        return out
+
+    def frame(self, spark: SparkSession, owners: list[int]) -> DataFrame:
+        """(prefix, bucket, owner): at most 2**MAX_DEPTH rows of three numbers."""
+        return spark.createDataFrame(list(zip(range(len(self.slots)), self.slots, owners, strict=True)), "prefix long, bucket int, owner int")
 
 
 def leading(h: str, bits: int) -> Column:
@@ -107,13 +122,13 @@ def exact_dedup(documents: DataFrame, text_col: str = "text", id_col: str = "doc
     dealt = (
         rows.join(F.broadcast(hot), "h", "left")
         .withColumn("prefix", leading("h", directory.depth))
-        .join(F.broadcast(directory.frame(spark)), "prefix")
+        .join(F.broadcast(directory.frame(spark, directory.owners(counts, fine, parts))), "prefix")
         .withColumn("page", F.when(F.col("pages").isNull(), 0).otherwise(F.pmod(F.xxhash64("id", "size"), F.col("pages"))).cast("int"))
-        .select("bucket", "page", "h", "norm", "size", "id")
-        .repartition(parts, "bucket", "page")
+        .select("bucket", "page", "h", "norm", "size", "id", F.pmod(F.col("owner") + F.col("page"), F.lit(parts)).alias("owner"))
+        .repartitionById(parts, F.col("owner"))
     )
     # One node per distinct text of a chain: the grouping key is the text, so equality is of bytes.
-    nodes = materialise(dealt.groupBy("bucket", "page", "h", "norm", "size").agg(F.count("*").alias("n"), F.min("id").alias("first")), "index")
+    nodes = materialise(dealt.groupBy("owner", "bucket", "page", "h", "norm", "size").agg(F.count("*").alias("n"), F.min("id").alias("first")), "index")
 
     chained = nodes.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
     chained = materialise(chained, "chained")
@@ -128,11 +143,12 @@ def exact_dedup(documents: DataFrame, text_col: str = "text", id_col: str = "doc
     found = entries.join(groups, ["h", "sha"], "left")
     stays = F.col("n").isNull() | (F.col("id").eqNullSafe(F.col("keep")) & (F.col("size") == F.col("top")))
     found = found.select("id", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), stays.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "row")
-    if entries.groupBy("id").count().where("count > 1").limit(1).count():
-        # Repeated ids: of several rows that could stay, the first written one does.
-        first = found.where("kept").groupBy("id", "text_sha256").agg(F.min("row").alias("first_row"))
-        found = found.alias("f").join(first.alias("s"), F.col("f.id").eqNullSafe(F.col("s.id")) & (F.col("f.text_sha256") == F.col("s.text_sha256")), "left")
-        found = found.select("f.id", "keep_id", "group_size", (F.col("kept") & (F.col("row") == F.col("first_row"))).alias("kept"), F.col("f.text_sha256").alias("text_sha256"), "row")
+    # Several rows of a group that are equal in id and length could stay: the first written one does.
+    again = found.where("kept and group_size > 1").groupBy("id", "text_sha256").agg(F.min("row").alias("first_row"), F.count("*").alias("rows")).where("rows > 1")
+    again = materialise(again.select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha"), "first_row"), "several")
+    if n_again := again.count():
+        found = found.join(small(again, n_again, 96), F.col("id").eqNullSafe(F.col("__id")) & (F.col("text_sha256") == F.col("__sha")), "left")
+        found = found.withColumn("kept", F.col("kept") & (F.col("first_row").isNull() | (F.col("row") == F.col("first_row"))))
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", "kept", "text_sha256")
 
 

@@ -42,8 +42,18 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def store(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if uri.startswith("/") else uri.replace("file:/", "file:///", 1))
+def store(uri: str):
+    """The file system and path of a folder as Hadoop names it: what ``pyarrow`` calls otherwise is mapped to it."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon:
+        return fs.FileSystem.from_uri(f"file://{uri}")
+    if scheme in ("s3a", "s3n"):
+        scheme = "s3"
+    elif scheme == "dbfs":  # mounted in the local tree of every worker
+        scheme, rest = "file", "///dbfs/" + rest.lstrip("/")
+    elif scheme == "file":
+        rest = "///" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{scheme}:{rest}")
 
 
 def digest(payload: bytes) -> str:

@@ -32,6 +32,12 @@ def test_directory(counts, capacity):
         own = [i for i, b in enumerate(d.slots) if b == bucket]
         assert len(own) == 2 ** (d.depth - local) and own == list(range(own[0], own[0] + len(own)))
         assert held[bucket] <= capacity or local == 8
+    owners = d.owners(counts, 8, 5)
+    assert owners == sorted(owners) and (not owners or 0 <= owners[0] and owners[-1] < 5), "ranges of keys"
+    share, most = defaultdict(int), max(held.values(), default=0)
+    for bucket, n in held.items():
+        share[owners[d.slots.index(bucket)]] += n
+    assert all(n <= sum(held.values()) / 5 + most for n in share.values())
 
 
 def brute_exact(rows):
