@@ -6,34 +6,41 @@ similarity of their sets is at least ``percent``.  Steps:
 
 1. Documents with equal sets form a *class*; only classes go on.
 2. Document frequency of every shingle over all classes: shingles are dealt by
-   hash in packed blocks (six bytes each beside a reference per document), and
+   their hash to ranges, in packed blocks beside a reference per document, and
    only those that two or more classes share come back to their classes.
 3. Each class orders its shingles by (frequency, hash).  Its *prefix* is the
    first ``n - ceil(n * percent) + 1`` of them; unshared shingles come first and
    cannot meet a partner, so a class that has enough of them is done.
 4. Classes of identical prefix and size collapse into one *group*; prefix
-   tokens are posted for groups.  Groups that share a token, directly or through
-   others, form a *cluster*: every candidate pair lies within one.
-5. All members of a cluster are verified against one pivot, the class with the
-   smallest share of shingles of its own.  What links to it is connected.
-6. Members left over are verified against each other and against the rest of
-   their cluster in *cells* of two blocks of bounded size: in a cell, group
-   pairs must share a prefix token and pass the size filter, then expand to
-   their members, whose shared shingles are intersected.
-
-Only connectivity is asked for, so pairs between two members that the pivot
-already connects are left out and a cell reports a spanning forest of its
-links; no link between components is lost.
+   tokens are posted for groups.  Tokens that the same groups have are one
+   *list*, named by the first of them; every candidate pair is in the list of
+   its first common prefix token.
+5. *Stars*: in each list all members are verified against one pivot, the class
+   with the smallest share of shingles of its own, and in a second round against
+   one of those left over.  Pairs must pass the size and positional filters.
+6. In lists whose members are not yet in one component, those outside the
+   pivot's component are verified against each other and against the rest in
+   *cells* of two blocks of bounded size: group pairs must have no common prefix
+   token before the list's, and pass the size and positional filters, then
+   expand to their members, whose shared shingles are intersected.
+
+Only connectivity is asked for, so pairs within a component already found are
+left out and a cell reports a spanning forest of its links; no link between
+components is lost.
+
+Memory: a range has about ``RANGE_TOKENS`` shingles, however many there are in
+all and whatever the number of partitions, of which each goes through its
+ranges one by one.  Blocks are dealt to at most ``FAN`` coarse ranges at a time;
+beyond ``FAN`` ranges a second dealing splits the coarse ones.
 
 Hot keys: a copy's set is shipped once per task and collapses in its class;
 frequencies, pivots and components are sums and minima with map-side
-combination; joins on cluster or component keys are plain sort-merge joins,
+combination; joins on list or component keys are plain sort-merge joins,
 whose large partitions adaptive execution splits; a cell never holds more than
-two blocks, whatever the size of its cluster.
+two blocks, whatever the size of its list.
 
-Shingles are compared by hashes of 64 bits (48 bits and a range number while
-shared ones are found): two different shingles of one pair of documents
-collide with a probability below 1e-9.
+Shingles are compared by hashes of 64 bits: that two different shingles of a
+pair of documents of 20,000 words collide has a probability below 1e-10.
 
 Edge cases: null, empty and blank texts have empty sets, are linked with
 nothing and keep their own id; repeated rows are one class; rows with null ids
@@ -49,17 +56,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hand_back, materialise, partitions, small, table
+from .common import discard, hand_back, materialise, partitions, small, table
 
 WORDS, PERCENT = 5, 80
 #: Shingles gathered in a task before they are dealt, and text hashed at a time.
 BLOCK_TOKENS, BLOCK_BYTES = 1 << 19, 1 << 17
+#: Shingles of a range, and ranges that blocks are dealt to at a time.
+RANGE_TOKENS, FAN = 1 << 22, 4096
 CAP = 65_535
-#: Classes in a block of a cell: about half a partition's share, within these bounds.
-BLOCK_LEAST, BLOCK_MOST = 64, 1024
+#: Classes in a block of a cell: about half a partition's share, within these bounds; and shingles, about.
+BLOCK_LEAST, BLOCK_MOST, BLOCK_SHINGLES = 64, 1024, 1 << 21
+SEEDS = 8
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -142,111 +152,106 @@ def need(n: np.ndarray | int, percent: int = PERCENT):
 # --- packed blocks ---------------------------------------------------------------------------
 
 
-def pack(refs: np.ndarray, sizes: np.ndarray, counts: np.ndarray, tokens: np.ndarray, df: np.ndarray | None = None) -> bytes:
-    """Runs of 48-bit tokens, one run per reference."""
-    low, high = (tokens & _U(0xFFFFFFFF)).astype(np.uint32), ((tokens >> _U(32)) & _U(0xFFFF)).astype(np.uint16)
-    parts = [np.array([len(refs), len(tokens)], dtype=np.int64), refs.astype(np.int64), sizes.astype(np.uint32), counts.astype(np.uint32), low, high]
+def stretches(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where stretches of equal rows begin and end."""
+    n = len(columns[0])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0))))
+    return first, np.append(first[1:], n)
+
+
+def pack(refs: np.ndarray, tokens: np.ndarray, df: np.ndarray | None = None) -> bytes:
+    """Tokens in runs of one reference: (reference, length up to ``CAP``) of every run, then the tokens and their frequencies."""
+    first, end = stretches(refs)
+    counts = end - first
+    pieces = -(-counts // CAP)
+    lengths = np.full(pieces.sum(), CAP)
+    lengths[np.cumsum(pieces) - 1] = counts - (pieces - 1) * CAP
+    parts = [np.array([len(lengths), len(tokens)], dtype=np.int64), np.repeat(refs[first], pieces).astype(np.int64), lengths.astype(np.uint16), tokens.astype(np.uint64)]
     if df is not None:
         parts.append(df.astype(np.uint16))
     return b"".join(x.tobytes() for x in parts)
 
 
 def unpack(blob: bytes, with_df: bool = False) -> tuple[np.ndarray, ...]:
+    """(reference, token[, frequency]) of every token."""
     runs, n = np.frombuffer(blob, dtype=np.int64, count=2)
     at, out = 16, []
-    for kind, size in ((np.int64, runs), (np.uint32, runs), (np.uint32, runs), (np.uint32, n), (np.uint16, n), *([(np.uint16, n)] if with_df else [])):
+    for kind, size in ((np.int64, runs), (np.uint16, runs), (np.uint64, n), *([(np.uint16, n)] if with_df else [])):
         out.append(np.frombuffer(blob, dtype=kind, count=size, offset=at))
         at += out[-1].nbytes
-    refs, sizes, counts, low, high, *df = out
-    return (refs, sizes, counts, low.astype(np.uint64) | (high.astype(np.uint64) << _U(32)), *df)
+    return (np.repeat(out[0], out[1]), *out[2:])
+
 
+def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """The range, from 0, of 64-bit hashes, by their upper half; ``ranges`` is below 2**32."""
+    return (((keys.astype(np.uint64) >> _U(32)) * _U(ranges)) >> _U(32)).astype(np.int64)
 
-def range_of(tokens: np.ndarray, ranges: int) -> np.ndarray:
-    return ((tokens >> _U(48)) * _U(ranges)) >> _U(16)
 
+def ref_range(refs: np.ndarray, ranges: int) -> np.ndarray:
+    return range_of(mix(refs.astype(np.int64).view(np.uint64)), ranges)
 
-def _deal(gathered: list[tuple[int, np.ndarray]], ranges: int) -> pd.DataFrame:
-    """Blocks of one task's shingles, a row per range."""
-    lengths = np.array([len(t) for _, t in gathered])
-    tokens = np.concatenate([t for _, t in gathered])
-    doc = np.repeat(np.arange(len(gathered)), lengths)
-    refs = np.array([r for r, _ in gathered], dtype=np.int64)
-    to = range_of(tokens, ranges).astype(np.int64)
+
+def cut(to: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
+    """A packed block for every range that occurs in ``to``."""
     order = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[order], np.arange(ranges + 1))
-    rows = []
-    for r in range(ranges):
-        part = order[cuts[r] : cuts[r + 1]]
-        if len(part):
-            own = doc[part]
-            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            rows.append((r, pack(refs[own[first]], lengths[own[first]], np.diff(np.append(first, len(own))), tokens[part])))
+    to = to[order]
+    rows = [(int(to[a]), pack(*(c[order[a:b]] for c in columns))) for a, b in zip(*stretches(to), strict=True)]
     return pd.DataFrame(rows, columns=["to", "block"])
 
 
-def _shared(blobs: list[bytes], number: int, ranges: int) -> Iterator[pd.DataFrame]:
-    """Of one range, the shingles of two or more classes, sent back to the ranges of their references.
+def by_range(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list]]:
+    """(range, its rows) of rows sorted by range, one range at a time."""
+    number, held = None, []
+    for batch in batches:
+        for row in batch.itertuples(index=False, name=None):
+            if row[0] != number and held:
+                yield number, held
+                held = []
+            number = row[0]
+            held.append(row[1:])
+    if held:
+        yield number, held
 
-    The range is gone through in parts by the tokens' low bits, so that only a part is sorted at a time.
-    """
-    runs = [unpack(b) for b in blobs]
-    tokens = np.concatenate([x[3] for x in runs])
-    run_ref, run_size = np.concatenate([x[0] for x in runs]), np.concatenate([x[1] for x in runs])
-    run = np.repeat(np.arange(len(run_ref), dtype=np.int32), np.concatenate([x[2] for x in runs]))
-    del runs, blobs
-    parts = _U(1 + len(tokens) // BLOCK_TOKENS)
-    part_of = (tokens % parts).astype(np.uint16) if parts > 1 else None
-    for k in range(int(parts)):
-        own = slice(None) if part_of is None else part_of == k
-        yield _shared_part(tokens[own], run[own], run_ref, run_size, number, ranges)
-
-
-def _shared_part(tokens: np.ndarray, run: np.ndarray, run_ref: np.ndarray, run_size: np.ndarray, number: int, ranges: int) -> pd.DataFrame:
+
+def _shared(ref: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(reference, token, frequency) of the tokens of two or more references, each pair once."""
     order = np.argsort(tokens, kind="stable")
     ordered = tokens[order]
     same = ordered[1:] == ordered[:-1]
     keep = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))] if len(tokens) > 1 else order[:0]
-    tokens, run = tokens[keep], run[keep]
-    ref = run_ref[run]
+    del ordered, same, order
+    tokens, ref = tokens[keep], ref[keep]
     order = np.lexsort((ref, tokens))
-    tokens, ref, run = tokens[order], ref[order], run[order]
-    new = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (ref[1:] != ref[:-1]))) if len(tokens) else np.zeros(0, bool)
-    tokens, ref, run = tokens[new], ref[new], run[new]
-    _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-    df = counts[inverse] if len(tokens) else counts
+    tokens, ref = tokens[order], ref[order]
+    new, _ = stretches(tokens, ref)
+    tokens, ref = tokens[new], ref[new]
+    first, end = stretches(tokens)
+    df = np.repeat(end - first, end - first)
     many = df > 1
-    tokens, ref, size, df = tokens[many], ref[many], run_size[run[many]], np.minimum(df[many], CAP)
-    to = ref.astype(np.uint64) % _U(ranges)
-    order = np.lexsort((ref, to))
-    tokens, ref, size, df, to = (x[order] for x in (tokens, ref, size, df, to))
-    cuts = np.searchsorted(to, np.arange(ranges + 1, dtype=np.uint64))
-    rows = []
-    for r in range(ranges):
-        a, b = cuts[r], cuts[r + 1]
-        if a < b:
-            own = ref[a:b]
-            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            rows.append((r, number, pack(own[first], size[a:b][first], np.diff(np.append(first, b - a)), tokens[a:b], df[a:b])))
-    return pd.DataFrame(rows, columns=["to", "number", "block"])
+    return ref[many], tokens[many], np.minimum(df[many], CAP)
 
 
-def _prefixes(blobs: list[tuple[int, bytes]], percent: int) -> Iterator[pd.DataFrame]:
+def _prefixes(blocks: list[bytes], sizes: list[bytes], percent: int) -> Iterator[pd.DataFrame]:
     """(ref, n, single, tokens, prefix) of every class with a shingle in its prefix that another class shares."""
-    runs = [(number, *unpack(b, True)) for number, b in blobs]
-    tokens = np.concatenate([x[4] | (_U(x[0]) << _U(48)) for x in runs])
-    run = np.repeat(np.arange(sum(len(x[1]) for x in runs)), np.concatenate([x[3] for x in runs]))
-    ref, size, df = np.concatenate([x[1] for x in runs])[run], np.concatenate([x[2] for x in runs])[run].astype(np.int64), np.concatenate([x[5] for x in runs])
-    del runs, run
+    runs = [unpack(b, True) for b in blocks]
+    if not runs:
+        return
+    ref, tokens, df = (np.concatenate([x[i] for x in runs]) for i in range(3))
+    del runs
+    known = np.concatenate([np.frombuffer(x, dtype=np.int64).reshape(2, -1) for x in sizes], axis=1)
+    known = known[:, np.argsort(known[0], kind="stable")]
     order = np.lexsort((tokens, df, ref))
-    tokens, ref, size = tokens[order], ref[order], size[order]
-    first = np.flatnonzero(np.concatenate(([True], ref[1:] != ref[:-1])))
+    tokens, ref = tokens[order], ref[order]
+    first, end = stretches(ref)
+    size = known[1, np.searchsorted(known[0], ref[first])]
     rows = []
-    for a, b in zip(first, np.append(first[1:], len(ref)), strict=True):
-        n = int(size[a])
-        single = n - (b - a)
+    for a, b, n in zip(first, end, size.tolist(), strict=True):
+        single = n - int(b - a)
         k = n - need(n, percent) + 1 - single
         if k > 0:
-            rows.append((int(ref[a]), n, int(single), np.sort(tokens[a:b]).tobytes(), tokens[a : a + k].tobytes()))
+            rows.append((int(ref[a]), n, single, np.sort(tokens[a:b]).tobytes(), tokens[a : a + k].tobytes()))
             if len(rows) >= 2000:
                 yield pd.DataFrame(rows, columns=["ref", "n", "single", "tokens", "prefix"])
                 rows = []
@@ -278,10 +283,46 @@ def signatures(docs: DataFrame, words: int, seed: int) -> DataFrame:
     return materialise(docs.mapInArrow(run, f"{kinds}, n long, sig binary, ref long"), "signatures")
 
 
-def shared_sets(docs: DataFrame, words: int, percent: int, seed: int, ranges: int) -> DataFrame:
+def in_ranges(blocks: DataFrame, parts: int) -> DataFrame:
+    """Rows of (to, ...) with every range in one partition, the ranges of a partition one after the other."""
+    return blocks.repartitionById(parts, F.pmod("to", F.lit(parts)).cast("int")).sortWithinPartitions("to")
+
+
+def finer(blocks: DataFrame, ranges: int, step: int, parts: int, with_df: bool) -> DataFrame:
+    """Blocks of coarse ranges, of ``step`` ranges each, split into blocks of ranges."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def split(held: list) -> pd.DataFrame:
+            columns = [np.concatenate([x[i] for x in held]) for i in range(2 + with_df)]
+            return cut(ref_range(columns[0], ranges) if with_df else range_of(columns[1], ranges), *columns)
+
+        held, size, number = [], 0, None
+        for batch in batches:
+            for to, block in zip(batch["to"], batch["block"], strict=True):
+                if held and (to != number or size >= BLOCK_TOKENS):
+                    yield split(held)
+                    held, size = [], 0
+                number = to
+                held.append(unpack(block, with_df))
+                size += len(held[-1][0])
+        if held:
+            yield split(held)
+
+    return in_ranges(blocks, parts).mapInPandas(run, "to long, block binary") if step > 1 else blocks
+
+
+def shared_sets(docs: DataFrame, classes: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
     """Steps 2 and 3: classes that may have a partner, with their shared shingles and prefix."""
+    parts = partitions(docs.sparkSession)
+    ranges = max(parts, (classes.agg(F.sum("n")).first()[0] or 0) // RANGE_TOKENS + 1)
+    step = -(-ranges // FAN)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def blocks(gathered: list) -> pd.DataFrame:
+            tokens = np.concatenate([t for _, t in gathered])
+            refs = np.repeat(np.array([r for r, _ in gathered], dtype=np.int64), [len(t) for _, t in gathered])
+            return cut(range_of(tokens, ranges) // step, refs, tokens)
+
         gathered, size, seen = [], 0, set()
         for batch in batches:
             for text in batch["text"]:
@@ -292,38 +333,46 @@ def shared_sets(docs: DataFrame, words: int, percent: int, seed: int, ranges: in
                 gathered.append((ref, tokens))
                 size += len(tokens)
                 if size >= BLOCK_TOKENS:
-                    yield _deal(gathered, ranges)
+                    yield blocks(gathered)
                     gathered, size, seen = [], 0, set()
         if gathered:
-            yield _deal(gathered, ranges)
+            yield blocks(gathered)
         del gathered, seen
         hand_back()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[bytes]] = {}
-        for batch in batches:
-            for to, block in zip(batch["to"], batch["block"], strict=True):
-                held.setdefault(to, []).append(block)
-        for number in sorted(held):
-            yield from _shared(held.pop(number), number, ranges)
+        for _, rows in by_range(batches):
+            runs = [unpack(block) for (block,) in rows]
+            rows.clear()
+            ref, tokens = (np.concatenate([x[i] for x in runs]) for i in range(2))
+            del runs
+            ref, tokens, df = _shared(ref, tokens)
+            yield cut(ref_range(ref, ranges) // step, ref, tokens, df)
             hand_back()
 
-    def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {}
+    def sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for to, number, block in zip(batch["to"], batch["number"], batch["block"], strict=True):
-                held.setdefault(to, []).append((number, block))
-        for to in sorted(held):
-            yield from _prefixes(held.pop(to), percent)
+            ref, n = batch["ref"].to_numpy(np.int64), batch["n"].to_numpy(np.int64)
+            to = ref_range(ref, ranges)
+            order = np.argsort(to, kind="stable")
+            ref, n, to = ref[order], n[order], to[order]
+            rows = [(int(to[a]), None, np.concatenate((ref[a:b], n[a:b])).tobytes()) for a, b in zip(*stretches(to), strict=True)]
+            yield pd.DataFrame(rows, columns=["to", "block", "sizes"])
+
+    def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, rows in by_range(batches):
+            yield from _prefixes([b for b, _ in rows if b is not None], [x for _, x in rows if x is not None], percent)
             hand_back()
 
-    dealt = docs.select("text").mapInPandas(deal, "to int, block binary").repartitionById(ranges, F.col("to"))
-    back = dealt.mapInPandas(count, "to int, number int, block binary").repartitionById(ranges, F.col("to"))
-    return materialise(back.mapInPandas(order, "ref long, n long, single long, tokens binary, prefix binary"), "sets")
+    dealt = finer(docs.select("text").mapInPandas(deal, "to long, block binary"), ranges, step, parts, False)
+    back = finer(in_ranges(dealt, parts).mapInPandas(count, "to long, block binary"), ranges, step, parts, True)
+    own = classes.select("ref", "n").mapInPandas(sizes, "to long, block binary, sizes binary")
+    both = in_ranges(back.withColumn("sizes", F.lit(None).cast("binary")).unionByName(own), parts)
+    return materialise(both.mapInPandas(order, "ref long, n long, single long, tokens binary, prefix binary"), "sets")
 
 
 def postings(groups: DataFrame) -> DataFrame:
-    """(token, g) of every group's prefix."""
+    """(token, g, at) of every group's prefix, ``at`` the token's place in it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -331,31 +380,68 @@ def postings(groups: DataFrame) -> DataFrame:
                 part = batch.iloc[at : at + 1000]
                 tokens = [np.frombuffer(p, dtype=np.int64) for p in part["prefix"]]
                 lengths = [len(t) for t in tokens]
-                yield pd.DataFrame({"token": np.concatenate(tokens), "g": np.repeat(part["g"].to_numpy(), lengths)})
+                yield pd.DataFrame({"token": np.concatenate(tokens), "g": np.repeat(part["g"].to_numpy(), lengths), "at": np.concatenate([np.arange(n) for n in lengths])})
 
-    return groups.select("g", "prefix").mapInPandas(run, "token long, g long")
+    return groups.select("g", "prefix").mapInPandas(run, "token long, g long, at long")
 
 
-def with_pivot(clustered: DataFrame, percent: int) -> DataFrame:
-    """(cluster, ref, pivot, linked) of every class but the pivots; a cluster's pivot is the class with the least share of unshared shingles."""
+def candidate_lists(sets: DataFrame) -> DataFrame:
+    """Step 4: (list, ref, g, n, pos, share, at) of every class in every list of two classes or more.
+
+    ``pos``: how many shingles the class has before the list's token, ``at``: how many of those are shared.
+    """
+    groups = materialise(sets.groupBy("g").agg(F.count("*").alias("members"), F.first("prefix").alias("prefix")), "groups")
+    posted = materialise(postings(groups).join(groups.select("g", "members"), "g"), "postings")
+    # Equal sums of two hashes: the same groups.  Of their tokens the first in the order of any of the groups is kept.
+    number = lambda *c: F.sum(F.xxhash64(*c, "g").cast("decimal(20,0)"))
+    tokens = posted.groupBy("token").agg(F.sum("members").alias("classes"), number().alias("a"), number(F.lit("b")).alias("b"), F.min(F.struct("g", "at"))["at"].alias("at")).where("classes > 1")
+    lists = tokens.groupBy("classes", "a", "b").agg(F.min(F.struct("at", "token"))["token"].alias("list")).select("list")
+    kept = posted.join(lists, F.col("token") == F.col("list")).select("list", "g", "at")
+    narrow = sets.select("g", "ref", "n", "single", (F.col("single") / F.col("n")).alias("share"))
+    out = materialise(kept.join(narrow, "g").select("list", "ref", "g", "n", (F.col("single") + F.col("at")).alias("pos"), "share", "at"), "lists")
+    discard(groups, posted)
+    return out
+
+
+def may_link(n: str, pos: str, m: str, other: str, percent: int) -> Column:
+    """Size filter, and positional filter for a pair whose first common shingle has ``pos`` and ``other`` shingles before it."""
+    a, b, x, y = F.col(n), F.col(m), F.col(pos), F.col(other)
+    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (F.least(a - x, b - y) * (100 + percent) >= percent * (a + b))
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of classes, those whose sets are similar enough."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             links = np.zeros(len(batch), dtype=bool)
-            for i, (x, y, n, m) in enumerate(zip(batch["tokens"], batch["other"], batch["n"], batch["m"], strict=True)):
+            for i, (x, y, n, m) in enumerate(zip(batch["x"], batch["y"], batch["n"], batch["m"], strict=True)):
                 both = np.concatenate((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)))
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 links[i] = 100 * common >= percent * (n + m - common)
-            yield batch[["cluster", "ref", "pivot"]].assign(linked=links)
+            yield batch.loc[links, ["a", "b"]]
+
+    left, right = sets.select(F.col("ref").alias("a"), F.col("n"), F.col("tokens").alias("x")), sets.select(F.col("ref").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInPandas(run, "a long, b long")
+
 
-    central = clustered.groupBy("cluster").agg(F.min(F.struct((F.col("single") / F.col("n")).alias("share"), "ref")).alias("p")).select("cluster", F.col("p.ref").alias("ref"))
-    pivots = clustered.join(central, ["cluster", "ref"], "left_semi").select("cluster", F.col("ref").alias("pivot"), F.col("n").alias("m"), F.col("tokens").alias("other"))
-    pairs = clustered.select("cluster", "ref", "n", "tokens").join(pivots, "cluster").where("ref <> pivot")
-    return pairs.mapInPandas(run, "cluster long, ref long, pivot long, linked boolean")
+def with_roots(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Adds ``root``, the component of the class so far, and ``main``, that of the list's pivot; lists of one component go."""
+    rows = lists.withColumn("root", F.col("ref")) if roots is None else lists.join(roots.select(F.col("node").alias("ref"), F.col("root").alias("__root")), "ref", "left").withColumn("root", F.coalesce("__root", "ref")).drop("__root")
+    main = rows.groupBy("list").agg(F.min(F.struct("share", "ref", "root"))["root"].alias("main"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("list", "main")
+    return rows.join(main, "list")
 
 
-def cell_links(refs: list[int], groups: list[int], sizes: np.ndarray, tokens: list[np.ndarray], prefixes: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def star_links(rooted: DataFrame, sets: DataFrame, percent: int, of_main: bool) -> DataFrame:
+    """Step 5: links of every member with its list's pivot, the least of the main component or of the others."""
+    own = (F.col("root") == F.col("main")) == F.lit(of_main)
+    pivot = rooted.where(own).groupBy("list").agg(F.min(F.struct("share", "ref", "root", "n", "pos")).alias("p")).select("list", F.col("p.ref").alias("b"), F.col("p.root").alias("to"), F.col("p.n").alias("m"), F.col("p.pos").alias("other"))
+    pairs = rooted.join(pivot, "list").where((F.col("root") != F.col("to")) & may_link("n", "pos", "m", "other", percent)).select(F.col("ref").alias("a"), "b").distinct()
+    return linked(pairs, sets, percent)
+
+
+def cell_links(refs: list[int], groups: list[int], roots: np.ndarray, sizes: np.ndarray, places: np.ndarray, tokens: list[np.ndarray], before: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between rows ``left`` and rows ``right`` of a cell."""
     root = list(range(len(refs)))
 
@@ -370,26 +456,30 @@ def cell_links(refs: list[int], groups: list[int], sizes: np.ndarray, tokens: li
     own = [ids[cuts[i] : cuts[i + 1]] for i in range(len(tokens))]
     # Groups of the right side, each by its first member.
     first: dict[int, int] = {}
+    heads: list[int] = []
     for i in right:
-        first.setdefault(groups[i], len(first))
+        if groups[i] not in first:
+            first[groups[i]] = len(heads)
+            heads.append(i)
     of = np.array([first[groups[i]] for i in right])
-    heads = [right[int(np.argmax(of == k))] for k in range(len(first))] if len(first) < len(right) else list(right)
-    head_ids = [np.searchsorted(values, prefixes[i]) for i in heads]
-    head_cuts = np.concatenate(([0], np.cumsum([len(x) for x in head_ids])))[:-1]
-    head_all, head_sizes = np.concatenate(head_ids), sizes[heads]
+    head_ids = [np.searchsorted(values, before[i]) for i in heads]
+    lengths = np.array([len(x) for x in head_ids])
+    head_of, head_all = np.repeat(np.arange(len(heads)), lengths), np.concatenate(head_ids)
+    head_sizes, head_places = sizes[heads], places[heads]
     mark = np.zeros(len(values), dtype=bool)
     met: dict[int, np.ndarray] = {}
     out = []
     for x in left:
         rows = met.get(groups[x])
-        if rows is None:  # the group's partners: a common prefix token, and sizes that allow the similarity
-            at = np.searchsorted(values, prefixes[x])
+        if rows is None:  # the group's partners: no earlier common token, sizes and places that allow the similarity
+            at = np.searchsorted(values, before[x])
             mark[at] = True
-            shares = np.logical_or.reduceat(mark[head_all], head_cuts)
+            earlier = np.bincount(head_of[mark[head_all]], minlength=len(heads)) > 0
             mark[at] = False
-            fits = shares & (100 * np.minimum(head_sizes, sizes[x]) >= percent * np.maximum(head_sizes, sizes[x]))
+            n, m = sizes[x], head_sizes
+            fits = ~earlier & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (np.minimum(n - places[x], m - head_places) * (100 + percent) >= percent * (n + m))
             rows = met[groups[x]] = right[fits[of]]
-        partners = rows[rows != x]
+        partners = rows[roots[rows] != roots[x]]
         if not len(partners):
             continue
         mark[own[x]] = True
@@ -405,23 +495,24 @@ def cell_links(refs: list[int], groups: list[int], sizes: np.ndarray, tokens: li
     return out
 
 
-def in_cells(clustered: DataFrame, state: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) of the members that their pivot left over, with each other and with the rest of their cluster."""
-    sizes = state.groupBy("cluster").agg(F.count_if(~F.col("linked")).alias("rest"), F.count_if(F.col("linked")).alias("held"))
-    sizes = sizes.where("rest > 0 and rest + held > 1").select("cluster", F.ceil(F.col("rest") / block).cast("int").alias("ni"), F.ceil(F.col("held") / block).cast("int").alias("nj"))
-    rows = clustered.select("cluster", "ref", "g", "n", "tokens", "prefix").join(state.select("cluster", "ref", "linked"), ["cluster", "ref"]).join(sizes, "cluster")
-    own = F.when(F.col("linked"), F.pmod(F.xxhash64("ref"), F.col("nj"))).otherwise(F.pmod(F.xxhash64("ref"), F.col("ni"))).cast("int")
-    rows = rows.withColumn("block", own)
+def in_cells(rooted: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Step 6: links (a, b) of members outside their list's main component, with each other and with the rest of the list."""
+    rooted = rooted.withColumn("held", F.col("root") == F.col("main"))
+    blocks = lambda side: F.ceil(F.greatest(F.count_if(side) / block, F.sum(F.when(side, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
+    sizes = rooted.groupBy("list").agg(blocks(~F.col("held")).alias("ni"), blocks(F.col("held")).alias("nj"))
+    rows = rooted.join(sizes, "list")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("ref"), F.when(F.col("held"), F.col("nj")).otherwise(F.col("ni"))).cast("int"))
     up_to = lambda n: F.sequence(F.lit(0), n - 1)
     cell = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
     b, none = F.col("block"), F.array().cast("array<struct<i: int, j: int, side: int>>")
-    # Cells (i, j) of two blocks left over have j >= 0; (i, -1 - j) pairs a block left over with one that is connected.
+    # Cells (i, j) of two blocks outside have j >= 0; (i, -1 - j) pairs a block outside with one of the main component.
     among = F.transform(up_to(F.col("ni")), lambda k: F.struct(F.least(k, b).alias("i"), F.greatest(k, b).alias("j"), F.when(k >= b, 0).otherwise(1).alias("side")))
     aside = F.when(F.col("nj") > 0, F.transform(up_to(F.greatest("nj", F.lit(1))), lambda k: cell(b, -1 - k, 0))).otherwise(none)
     held = F.transform(up_to(F.col("ni")), lambda k: cell(k, -1 - b, 1))
-    cells = F.when(F.col("linked"), held).otherwise(F.concat(among, aside))
-    dealt = rows.select("cluster", "ref", "g", "n", "tokens", "prefix", F.explode(cells).alias("c")).select("cluster", "c.i", "c.j", "c.side", "ref", "g", "n", "tokens", "prefix")
-    dealt = dealt.repartition(partitions(clustered.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+    cells = F.when(F.col("held"), held).otherwise(F.concat(among, aside))
+    dealt = rows.select("list", F.explode(cells).alias("c"), "ref", "g", "root", "n", "pos", "at").select("list", "c.i", "c.j", "c.side", "ref", "g", "root", "n", "pos", "at")
+    dealt = dealt.join(sets.select("ref", "tokens", "prefix"), "ref").select("list", "i", "j", "side", "ref", "g", "root", "n", "pos", "tokens", F.substring("prefix", 1, 8 * F.col("at")).alias("before"))
+    dealt = dealt.repartition(partitions(rooted.sparkSession), "list", "i", "j").sortWithinPartitions("list", "i", "j")
 
     def solve(rows: list) -> list[tuple[int, int]]:
         side = np.array([r[3] for r in rows])
@@ -430,8 +521,9 @@ def in_cells(clustered: DataFrame, state: DataFrame, percent: int, block: int) -
         left, right = (every, every) if same else (every[side == 0], every[side == 1])
         if not len(left) or not len(right) or len(rows) < 2:
             return []
-        words = [np.frombuffer(r[7], dtype=np.uint64) for r in rows]
-        return cell_links([r[4] for r in rows], [r[5] for r in rows], np.array([r[6] for r in rows], dtype=np.int64), words, [np.frombuffer(r[8], dtype=np.uint64) for r in rows], left, right, percent)
+        number = lambda k: np.array([r[k] for r in rows], dtype=np.int64)
+        words = lambda k: [np.frombuffer(r[k], dtype=np.uint64) for r in rows]
+        return cell_links([r[4] for r in rows], [r[5] for r in rows], number(6), number(7), number(8), words(9), words(10), left, right, percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
@@ -459,7 +551,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = materialise(large, "large-star")
         down = large.groupBy("v").agg(F.min("u").alias("w"))
         small_ = large.join(down, "v").select(F.explode(F.array(F.struct(F.col("w").alias("u"), F.col("v")), F.struct(F.col("w").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = materialise(small_, "small-star")
+        done, edges = edges, materialise(small_, "small-star")
+        discard(done, large)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -473,34 +566,33 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     ``docs`` has id, text and what else is to be carried.  Rows that are linked or have equal sets share their root; it
     is null for a row that has no other such row.  component is the root's least id.
     """
-    ranges = partitions(docs.sparkSession)
-    for seed in range(8):
+    for seed in range(SEEDS):
         rows = signatures(docs, words, seed)
-        classes = materialise(rows.where("n > 0").groupBy("sig", "ref").agg(F.min("id").alias("least"), F.count("*").alias("rows")), "classes")
+        classes = materialise(rows.where("n > 0").groupBy("sig", "ref").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.first("n").alias("n")), "classes")
         if not classes.groupBy("ref").count().where("count > 1").limit(1).count():
-            break  # else two classes share a reference: hash anew
+            break
+        discard(rows, classes)  # two classes share a reference: hash anew
+    else:
+        raise ValueError(f"classes share a reference with each of {SEEDS} seeds")
 
-    sets = shared_sets(docs, words, percent, seed, ranges)
-    # Step 4: identical prefix and size; a class with unshared shingles in its prefix is alone in its group.
+    sets = shared_sets(docs, classes, words, percent, seed)
+    # Identical prefix and size; a class with unshared shingles in its prefix is alone in its group.
     key = F.when(F.col("single") == 0, F.xxhash64("n", "prefix")).otherwise(F.xxhash64("ref", F.lit("own")))
     sets = sets.withColumn("g", key)
-    groups = materialise(sets.groupBy("g").agg(F.count("*").alias("members"), F.first("prefix").alias("prefix")), "groups")
-    posted = materialise(postings(groups), "postings")
-    least = posted.groupBy("token").agg(F.min("g").alias("h"), F.count("*").alias("k")).where("k > 1").select("token", "h")
-    meet = posted.join(least, "token").select(F.col("g").alias("a"), F.col("h").alias("b"))
-    cluster = components(meet).select(F.col("node").alias("g"), F.col("root").alias("cluster"))
-    alone = groups.where("members > 1").select("g").join(cluster, "g", "left_anti").select("g", F.col("g").alias("cluster"))
-    clustered = materialise(sets.join(cluster.unionByName(alone), "g"), "clustered")
-
-    # Steps 5 and 6.
-    state = materialise(with_pivot(clustered, percent), "pivoted")
-    block = min(BLOCK_MOST, max(BLOCK_LEAST, clustered.count() // (2 * ranges)))
-    links = state.where("linked").select(F.col("pivot").alias("a"), F.col("ref").alias("b")).unionByName(in_cells(clustered, state, percent, block))
-    final = components(links)
+    lists = candidate_lists(sets)
+    found, roots = [], None
+    for of_main in (True, False):
+        found.append(materialise(star_links(with_roots(lists, roots), sets, percent, of_main), "stars"))
+        links = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+        roots = components(links)
+    rooted = materialise(with_roots(lists, roots), "open-lists")
+    block = min(BLOCK_MOST, max(BLOCK_LEAST, rooted.count() // (2 * partitions(docs.sparkSession))))
+    final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(in_cells(rooted, sets, percent, block)))
     named = classes.select("ref", "sig", "least", "rows").join(final.select(F.col("node").alias("ref"), "root"), "ref", "left")
     lowest = named.where("root is not null").groupBy("root").agg(F.min("least").alias("lowest"))
     named = named.join(lowest, "root", "left").where("rows > 1 or root is not null").select("ref", F.coalesce("root", "ref").alias("root"), F.coalesce("lowest", "least").alias("component"))
     named = materialise(named, "components")
+    discard(lists, rooted, *found)
     return rows.join(named, "ref", "left").drop("ref", "sig")
 
 

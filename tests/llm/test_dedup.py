@@ -277,3 +277,54 @@ def test_decontamination_of_items_with_one_text(spark, monkeypatch):
     got = [tuple(r) for r in decontamination.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()]
     assert sorted(got, key=str) == sorted(brute_hits(docs, items), key=str)
     assert seen and not any("items" in columns for columns in seen)
+
+
+def test_near_of_pooled_paragraphs(spark, monkeypatch):
+    """Documents put together from shared paragraphs: one web of shared shingles, in which only some pairs link."""
+    rng = np.random.default_rng(21)
+    pool = [" ".join(f"p{k}w{i}" for i in range(rng.integers(6, 40))) for k in range(30)]
+    rows = [(i, " ".join(pool[k] for k in rng.choice(30, rng.integers(2, 9), replace=False))) for i in range(120)]
+    for i in range(120, 170):  # one paragraph of another document changed, left out or added
+        words = rows[int(rng.integers(0, i))][1].split(" ")
+        at = int(rng.integers(0, len(words)))
+        rows.append((i, " ".join(words[:at] + pool[rng.integers(0, 30)].split(" ")[: rng.integers(1, 8)] + words[at + int(rng.integers(0, 4)) :])))
+    want = sorted(brute_near(rows))
+    assert 5 < sum(d != c for d, _, c in want) < 100
+    for most, tokens, fan in ((1024, 1 << 22, 4096), (3, 40, 3)):  # many ranges, dealt twice, and small cells
+        monkeypatch.setattr(ngram_join, "BLOCK_LEAST", min(most, 64))
+        monkeypatch.setattr(ngram_join, "BLOCK_MOST", most)
+        monkeypatch.setattr(ngram_join, "RANGE_TOKENS", tokens)
+        monkeypatch.setattr(ngram_join, "FAN", fan)
+        assert sorted(tuple(r) for r in ngram_join.near_duplicates(frame(spark, rows)).collect()) == want
+
+
+def test_stars_leave_the_rest_to_cells(spark, monkeypatch):
+    """Without any star the cells alone find all links."""
+    rows = near_rows(3)
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(ngram_join, "star_links", lambda *_: none)
+    assert sorted(tuple(r) for r in ngram_join.near_duplicates(frame(spark, rows)).collect()) == sorted(brute_near(rows))
+
+
+def test_seeds_that_clash_are_an_error(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(ngram_join, "SEEDS", 2)
+    same = ngram_join.signatures
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ngram_join, "signatures", lambda *a: ngram_join.materialise(same(*a).withColumn("ref", F.lit(1).cast("long")), "clash"))
+    with pytest.raises(ValueError, match="reference"):
+        ngram_join.near_duplicates(frame(spark, corpus(1, 9)))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(-3, 3), st.integers(0, 2**64 - 1), st.integers(1, 9)), max_size=40), st.integers(1, 4))
+def test_packed_blocks(rows, cap):
+    old, ngram_join.CAP = ngram_join.CAP, cap
+    try:
+        ref, tokens, df = (np.array([r[i] for r in rows], dtype=t) for i, t in enumerate((np.int64, np.uint64, np.int64)))
+        assert [x.tolist() for x in ngram_join.unpack(ngram_join.pack(ref, tokens, df), True)] == [ref.tolist(), tokens.tolist(), df.tolist()]
+        assert (ngram_join.range_of(tokens, 7) < 7).all() and (ngram_join.ref_range(ref, 7) >= 0).all()
+    finally:
+        ngram_join.CAP = old
