@@ -22,7 +22,10 @@ similarity of their sets is at least ``percent``.  Steps:
    pivot's component are verified against each other and against the rest in
    *cells* of two blocks of bounded size: group pairs must have no common prefix
    token before the list's, and pass the size and positional filters, then
-   expand to their members, whose shared shingles are intersected.
+   expand to their members, whose shared shingles are intersected.  Before the
+   sets are shipped, a pass over the same cells with only a *sketch* of each
+   class (how many of its shared shingles fall into each of ``BUCKETS`` buckets,
+   which bounds any overlap from above) leaves out rows that have no partner.
 
 Only connectivity is asked for, so pairs within a component already found are
 left out and a cell reports a spanning forest of its links; no link between
@@ -52,6 +55,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -70,6 +74,8 @@ CAP = 65_535
 #: Classes in a block of a cell: about half a partition's share, within these bounds; and shingles, about.
 BLOCK_LEAST, BLOCK_MOST, BLOCK_SHINGLES = 64, 1024, 1 << 21
 SEEDS = 8
+#: Buckets of a sketch; a count of ``CAP`` stands for that many or more.
+BUCKETS = 64
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -233,8 +239,18 @@ def _shared(ref: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ref[many], tokens[many], np.minimum(df[many], CAP)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((tokens % _U(BUCKETS)).astype(np.int64), minlength=BUCKETS), CAP).astype(np.uint16).tobytes()
+
+
+def sketches(blobs: list[bytes]) -> np.ndarray:
+    """Counts by row and bucket; the sum of the lesser counts of two rows is at least their overlap."""
+    counts = np.frombuffer(b"".join(blobs), dtype=np.uint16).reshape(-1, BUCKETS).astype(np.int64)
+    return np.where(counts == CAP, 1 << 40, counts)
+
+
 def _prefixes(blocks: list[bytes], sizes: list[bytes], percent: int) -> Iterator[pd.DataFrame]:
-    """(ref, n, single, tokens, prefix) of every class with a shingle in its prefix that another class shares."""
+    """(ref, n, single, tokens, prefix, sketch) of every class with a shingle in its prefix that another class shares."""
     runs = [unpack(b, True) for b in blocks]
     if not runs:
         return
@@ -251,12 +267,12 @@ def _prefixes(blocks: list[bytes], sizes: list[bytes], percent: int) -> Iterator
         single = n - int(b - a)
         k = n - need(n, percent) + 1 - single
         if k > 0:
-            rows.append((int(ref[a]), n, single, np.sort(tokens[a:b]).tobytes(), tokens[a : a + k].tobytes()))
+            rows.append((int(ref[a]), n, single, np.sort(tokens[a:b]).tobytes(), tokens[a : a + k].tobytes(), sketch(tokens[a:b])))
             if len(rows) >= 2000:
-                yield pd.DataFrame(rows, columns=["ref", "n", "single", "tokens", "prefix"])
+                yield pd.DataFrame(rows, columns=["ref", "n", "single", "tokens", "prefix", "sketch"])
                 rows = []
     if rows:
-        yield pd.DataFrame(rows, columns=["ref", "n", "single", "tokens", "prefix"])
+        yield pd.DataFrame(rows, columns=["ref", "n", "single", "tokens", "prefix", "sketch"])
 
 
 # --- distributed steps -----------------------------------------------------------------------
@@ -368,7 +384,7 @@ def shared_sets(docs: DataFrame, classes: DataFrame, words: int, percent: int, s
     back = finer(in_ranges(dealt, parts).mapInPandas(count, "to long, block binary"), ranges, step, parts, True)
     own = classes.select("ref", "n").mapInPandas(sizes, "to long, block binary, sizes binary")
     both = in_ranges(back.withColumn("sizes", F.lit(None).cast("binary")).unionByName(own), parts)
-    return materialise(both.mapInPandas(order, "ref long, n long, single long, tokens binary, prefix binary"), "sets")
+    return materialise(both.mapInPandas(order, "ref long, n long, single long, tokens binary, prefix binary, sketch binary"), "sets")
 
 
 def postings(groups: DataFrame) -> DataFrame:
@@ -495,6 +511,24 @@ def cell_links(refs: list[int], groups: list[int], roots: np.ndarray, sizes: np.
     return out
 
 
+def cells_of(batches: Iterator[pd.DataFrame]) -> Iterator[list]:
+    """The rows of one cell (list, i, j) after the other, of rows sorted by cell."""
+    held: list = []
+    for batch in batches:
+        for row in batch.itertuples(index=False, name=None):
+            if held and held[0][:3] != row[:3]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def in_frames(rows: Iterator[tuple], columns: list[str], size: int = 5000) -> Iterator[pd.DataFrame]:
+    while part := list(islice(rows, size)):
+        yield pd.DataFrame(part, columns=columns)
+
+
 def in_cells(rooted: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
     """Step 6: links (a, b) of members outside their list's main component, with each other and with the rest of the list."""
     rooted = rooted.withColumn("held", F.col("root") == F.col("main"))
@@ -510,9 +544,32 @@ def in_cells(rooted: DataFrame, sets: DataFrame, percent: int, block: int) -> Da
     aside = F.when(F.col("nj") > 0, F.transform(up_to(F.greatest("nj", F.lit(1))), lambda k: cell(b, -1 - k, 0))).otherwise(none)
     held = F.transform(up_to(F.col("ni")), lambda k: cell(k, -1 - b, 1))
     cells = F.when(F.col("held"), held).otherwise(F.concat(among, aside))
-    dealt = rows.select("list", F.explode(cells).alias("c"), "ref", "g", "root", "n", "pos", "at").select("list", "c.i", "c.j", "c.side", "ref", "g", "root", "n", "pos", "at")
-    dealt = dealt.join(sets.select("ref", "tokens", "prefix"), "ref").select("list", "i", "j", "side", "ref", "g", "root", "n", "pos", "tokens", F.substring("prefix", 1, 8 * F.col("at")).alias("before"))
-    dealt = dealt.repartition(partitions(rooted.sparkSession), "list", "i", "j").sortWithinPartitions("list", "i", "j")
+    kept = ["list", "i", "j", "side", "ref", "g", "root", "n", "pos"]
+    dealt = rows.join(sets.select("ref", "sketch"), "ref").select("list", F.explode(cells).alias("c"), "ref", "g", "root", "n", "pos", "at", "sketch").select("list", "c.i", "c.j", "c.side", "ref", "g", "root", "n", "pos", "at", "sketch")
+    in_order = lambda df: df.repartition(partitions(df.sparkSession), "list", "i", "j").sortWithinPartitions("list", "i", "j")
+    names = [*kept, "at"]
+
+    def partnered(rows: list) -> list[tuple]:
+        number = lambda k: np.array([r[k] for r in rows], dtype=np.int64)
+        side, root, n, pos, shared = number(3), number(6), number(7), number(8), sketches([r[10] for r in rows])
+        same = rows[0][1] == rows[0][2]
+        right = np.arange(len(rows)) if same else np.flatnonzero(side == 1)
+        has = np.zeros(len(rows), dtype=bool)
+        for x in np.arange(len(rows)) if same else np.flatnonzero(side == 0):
+            m = n[right]
+            least = np.minimum(n[x] - pos[x], m - pos[right])
+            own = right[(root[right] != root[x]) & (100 * np.minimum(n[x], m) >= percent * np.maximum(n[x], m)) & (least * (100 + percent) >= percent * (n[x] + m))]
+            own = own[np.minimum(shared[own], shared[x]).sum(1) * (100 + percent) >= percent * (n[x] + n[own])]
+            has[own] = True
+            has[x] |= len(own) > 0
+        return [r[:10] for r, ok in zip(rows, has, strict=True) if ok]
+
+    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from in_frames((row for held in cells_of(batches) for row in partnered(held)), names)
+
+    dealt = in_order(dealt).mapInPandas(thin, "list long, i int, j int, side int, ref long, g long, root long, n long, pos long, at long")
+    dealt = materialise(dealt, "partnered")
+    dealt = in_order(dealt.join(sets.select("ref", "tokens", "prefix"), "ref").select(*kept, "tokens", F.substring("prefix", 1, 8 * F.col("at")).alias("before")))
 
     def solve(rows: list) -> list[tuple[int, int]]:
         side = np.array([r[3] for r in rows])
@@ -526,16 +583,7 @@ def in_cells(rooted: DataFrame, sets: DataFrame, percent: int, block: int) -> Da
         return cell_links([r[4] for r in rows], [r[5] for r in rows], number(6), number(7), number(8), words(9), words(10), left, right, percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list = []
-        for batch in batches:
-            links: list[tuple[int, int]] = []
-            for row in batch.itertuples(index=False, name=None):
-                if held and held[0][:3] != row[:3]:
-                    links += solve(held)
-                    held = []
-                held.append(row)
-            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-        yield pd.DataFrame(solve(held) if held else [], columns=["a", "b"], dtype="int64")
+        yield from in_frames((link for held in cells_of(batches) for link in solve(held)), ["a", "b"])
 
     return dealt.mapInPandas(run, "a long, b long")
 
@@ -582,7 +630,9 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     lists = candidate_lists(sets)
     found, roots = [], None
     for of_main in (True, False):
-        found.append(materialise(star_links(with_roots(lists, roots), sets, percent, of_main), "stars"))
+        rooted = materialise(with_roots(lists, roots), "rooted")
+        found.append(materialise(star_links(rooted, sets, percent, of_main), "stars"))
+        discard(rooted)
         links = found[0] if len(found) == 1 else found[0].unionByName(found[1])
         roots = components(links)
     rooted = materialise(with_roots(lists, roots), "open-lists")

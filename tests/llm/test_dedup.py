@@ -328,3 +328,15 @@ def test_packed_blocks(rows, cap):
         assert (ngram_join.range_of(tokens, 7) < 7).all() and (ngram_join.ref_range(ref, 7) >= 0).all()
     finally:
         ngram_join.CAP = old
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=60), st.sets(st.integers(0, 300), max_size=200), st.sets(st.integers(0, 300), max_size=200), st.sampled_from([2, 65_535]))
+def test_sketches_bound_the_overlap(both, one, two, cap):
+    old, ngram_join.CAP = ngram_join.CAP, cap
+    try:
+        a, b = (np.array(sorted(both | own), dtype=np.uint64) for own in (one, two))
+        x = ngram_join.sketches([ngram_join.sketch(a), ngram_join.sketch(b)])
+        assert np.minimum(x[0], x[1]).sum() >= len(set(a.tolist()) & set(b.tolist()))
+    finally:
+        ngram_join.CAP = old
