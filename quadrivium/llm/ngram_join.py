@@ -442,18 +442,20 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def with_roots(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Adds ``root``, the component of the class so far, and ``main``, that of the list's pivot; lists of one component go."""
+def with_roots(lists: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, int]:
+    """Adds ``root``, the component of the class so far, and ``main``, that of the list's pivot; lists of one component go. And how many lists stay."""
     rows = lists.withColumn("root", F.col("ref")) if roots is None else lists.join(roots.select(F.col("node").alias("ref"), F.col("root").alias("__root")), "ref", "left").withColumn("root", F.coalesce("__root", "ref")).drop("__root")
     main = rows.groupBy("list").agg(F.min(F.struct("share", "ref", "root"))["root"].alias("main"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("list", "main")
-    return rows.join(main, "list")
+    main = materialise(main, "mains")
+    n_lists = main.count()
+    return materialise(rows.join(small(main, n_lists, 32), "list"), "rooted"), n_lists
 
 
-def star_links(rooted: DataFrame, sets: DataFrame, percent: int, of_main: bool) -> DataFrame:
+def star_links(rooted: DataFrame, n_lists: int, sets: DataFrame, percent: int, of_main: bool) -> DataFrame:
     """Step 5: links of every member with its list's pivot, the least of the main component or of the others."""
     own = (F.col("root") == F.col("main")) == F.lit(of_main)
     pivot = rooted.where(own).groupBy("list").agg(F.min(F.struct("share", "ref", "root", "n", "pos")).alias("p")).select("list", F.col("p.ref").alias("b"), F.col("p.root").alias("to"), F.col("p.n").alias("m"), F.col("p.pos").alias("other"))
-    pairs = rooted.join(pivot, "list").where((F.col("root") != F.col("to")) & may_link("n", "pos", "m", "other", percent)).select(F.col("ref").alias("a"), "b").distinct()
+    pairs = rooted.join(small(pivot, n_lists, 64), "list").where((F.col("root") != F.col("to")) & may_link("n", "pos", "m", "other", percent)).select(F.col("ref").alias("a"), "b").distinct()
     return linked(pairs, sets, percent)
 
 
@@ -529,12 +531,12 @@ def in_frames(rows: Iterator[tuple], columns: list[str], size: int = 5000) -> It
         yield pd.DataFrame(part, columns=columns)
 
 
-def in_cells(rooted: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+def in_cells(rooted: DataFrame, n_lists: int, sets: DataFrame, percent: int, block: int) -> DataFrame:
     """Step 6: links (a, b) of members outside their list's main component, with each other and with the rest of the list."""
     rooted = rooted.withColumn("held", F.col("root") == F.col("main"))
     blocks = lambda side: F.ceil(F.greatest(F.count_if(side) / block, F.sum(F.when(side, F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("int")
     sizes = rooted.groupBy("list").agg(blocks(~F.col("held")).alias("ni"), blocks(F.col("held")).alias("nj"))
-    rows = rooted.join(sizes, "list")
+    rows = rooted.join(small(sizes, n_lists, 32), "list")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("ref"), F.when(F.col("held"), F.col("nj")).otherwise(F.col("ni"))).cast("int"))
     up_to = lambda n: F.sequence(F.lit(0), n - 1)
     cell = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
@@ -630,14 +632,14 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     lists = candidate_lists(sets)
     found, roots = [], None
     for of_main in (True, False):
-        rooted = materialise(with_roots(lists, roots), "rooted")
-        found.append(materialise(star_links(rooted, sets, percent, of_main), "stars"))
+        rooted, n_lists = with_roots(lists, roots)
+        found.append(materialise(star_links(rooted, n_lists, sets, percent, of_main), "stars"))
         discard(rooted)
         links = found[0] if len(found) == 1 else found[0].unionByName(found[1])
         roots = components(links)
-    rooted = materialise(with_roots(lists, roots), "open-lists")
+    rooted, n_lists = with_roots(lists, roots)
     block = min(BLOCK_MOST, max(BLOCK_LEAST, rooted.count() // (2 * partitions(docs.sparkSession))))
-    final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(in_cells(rooted, sets, percent, block)))
+    final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(in_cells(rooted, n_lists, sets, percent, block)))
     named = classes.select("ref", "sig", "least", "rows").join(final.select(F.col("node").alias("ref"), "root"), "ref", "left")
     lowest = named.where("root is not null").groupBy("root").agg(F.min("least").alias("lowest"))
     named = named.join(lowest, "root", "left").where("rows > 1 or root is not null").select("ref", F.coalesce("root", "ref").alias("root"), F.coalesce("lowest", "least").alias("component"))
