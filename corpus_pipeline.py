@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrivium.llm import decontamination, exact_dedup, ngram_join, piece_encoding, toxicity
-from quadrivium.llm.common import materialise, table
+from quadrivium.llm.common import discard, materialise, table
 
 #: (name, stage): a stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
 STAGES = [
@@ -21,7 +21,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if read is not None:
+            discard(read)  # what the stage before wrote has been used up
+        read = docs
     return STAGES[-1][1](spark, docs, sf_dir)
