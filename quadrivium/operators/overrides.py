@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import filled
+from ..functions.text import filled, strip
 
 EDITABLE = ("title", "due_date_resolved", "type", "notes")
 EDITS = "array<struct<field: string, value: string>>"
@@ -106,81 +103,89 @@ def overrides_block(items: DataFrame, courses: DataFrame) -> DataFrame:
     return by_course.groupBy().agg(parts.alias("parts")).where(F.size("parts") > 0).select(F.concat(F.lit(heading), F.array_join("parts", "\n\n"), F.lit("\n")).alias("text"))
 
 
-# --- markdown rewriting ----------------------------------------------------------------------
-
-LINE = {"title": "Name", "due_date_resolved": "Due Date Resolved", "type": "Type", "notes": "User notes"}
-START = re.compile(r"### Assignment\s*\n", re.IGNORECASE)
-NAME = re.compile(r"\*\*Name:\*\*\s*(.+)")
-
-
-def block_spans(markdown: str):
-    """(start, end, lower-case name) of the assignment blocks; a block ends only at the next ``###`` line."""
-    for m in START.finditer(markdown):
-        stop = markdown.find("\n###", m.end())
-        end = len(markdown) if stop < 0 else stop + 1
-        name = NAME.search(markdown, m.start(), end)
-        yield m.start(), end, name.group(1).strip().lower() if name else None
-
-
-def find_block(markdown: str, *titles: str) -> tuple[int, int] | None:
-    """The first block named as the first title that names any."""
-    for title in dict.fromkeys(titles):
-        for start, end, name in block_spans(markdown):
-            if name is not None and name == title.lower().strip():
-                return start, end
-    return None
-
-
-def set_field(block: str, field: str, value: str) -> str:
-    label = LINE.get(field)
-    if label is None:
-        return block
-    if field == "notes" and f"**{label}:**" not in block:
-        return block.rstrip("\n") + f"\n- **{label}:** {value}\n"
-    return re.sub(rf"(\*\*{label}:\*\*\s*).+", lambda m: m.group(1) + value, block)
-
-
-def manual_block(item: dict) -> str:
-    fields = [("Name", item.get("title") or "Untitled"), ("Type", item.get("type") or "manual"), ("Due Date", "(user-added)"), ("Due Date Resolved", item.get("due_date_resolved") or "UNRESOLVED"), ("Weight", "not specified"), ("Confidence", "5")]
-    if item.get("notes"):
-        fields.append(("User notes", item["notes"]))
-    return "### Assignment\n" + "".join(f"- **{k}:** {v}\n" for k, v in fields)
-
-
-def rewrite(markdown: str, items: list[dict]) -> str:
-    """Items in order: dismissed ones lose their block, edited ones get new lines, manual ones not yet there are added."""
-    for item in items:
-        title = item.get("title") or ""
-        original = next((e["value"] for e in item.get("ai_original") if e["field"] == "title"), None) if item.get("user_edited") and item.get("ai_original") is not None else None
-        span = find_block(markdown, original or title, title)
-        if item.get("manual_add") and not item.get("dismissed"):
-            if span is None:
-                section = re.search(r"(## ASSIGNMENTS.*?)(\n## |\Z)", markdown, re.DOTALL | re.IGNORECASE)
-                if section:
-                    at = section.end(1)
-                    markdown = markdown[:at] + "\n" + manual_block(item) + markdown[at:]
-                else:
-                    markdown = markdown.rstrip("\n") + "\n\n" + manual_block(item)
-        elif span is not None:
-            block = markdown[span[0] : span[1]]
-            if item.get("dismissed"):
-                block = ""
-            elif item.get("user_edited"):
-                for field in item.get("user_edited_fields"):
-                    if item.get(field) is not None:
-                        block = set_field(block, field, str(item[field]))
-            markdown = markdown[: span[0]] + block + markdown[span[1] :]
-    return markdown
+# --- overrides in the summaries ------------------------------------------------------------
 
+# The labels of a block's lines, and the lines of a block added by hand.
+LABELS = {"title": "Name", "due_date_resolved": "Due Date Resolved", "type": "Type", "notes": "User notes"}
+BY_HAND = ["### Assignment", "- **Name:** {title}", "- **Type:** {type}", "- **Due Date:** (user-added)", "- **Due Date Resolved:** {due_date_resolved}", "- **Weight:** not specified", "- **Confidence:** 5"]
+ABSENT = {"title": "Untitled", "type": "manual", "due_date_resolved": "UNRESOLVED"}
+ASSIGNMENT = r"(?i)### Assignment\s*\n"
+SECTION_END = r"(?is)\A(.*?## ASSIGNMENTS.*?)(?=\n## |\z)"
+
+
+def joined(order: str, text: Column | str, mark: str = "") -> Column:
+    """The texts of a group in order, as one."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, (F.col(text) if isinstance(text, str) else text).alias("t")))), lambda x: x["t"]), mark)
+
+
+def literal(replacement: Column | str) -> Column:
+    """A replacement text in which no character is special."""
+    return F.regexp_replace(replacement, r"([\\$])", r"\\$1")
+
+
+def block_table(summaries: DataFrame) -> DataFrame:
+    """(course_id, at, piece, name, nth): the pieces whose concatenation is a summary.
+
+    A piece begins at an assignment heading or a line that begins with ``###``; one that begins with an assignment
+    heading is a block and has a name (lower case, trimmed), ``nth`` of its course from 1.
+    """
+    pieces = summaries.select("course_id", F.posexplode(F.split("summary", rf"{ASSIGNMENT.replace('(?i)', '(?i)(?=')})|(?<=\n)(?=###)")).alias("at", "piece"))
+    name = F.when(F.col("piece").rlike(r"\A" + ASSIGNMENT), filled(F.lower(strip(F.regexp_extract("piece", r"\*\*Name:\*\*\s*([^\n]+)", 1)))))
+    same = Window.partitionBy("course_id", "name").orderBy("at")
+    return pieces.withColumn("name", name).withColumn("nth", F.when(F.col("name").isNotNull(), F.row_number().over(same)))
+
+
+def assigned(blocks: DataFrame, items: DataFrame) -> DataFrame:
+    """Overridden items with ``at``, the piece each one is about, null where there is none.
+
+    An item goes by the title it was extracted with, or by its own where no block has that.  Of several blocks of a
+    name it takes the first that is still there and still so named: each earlier item that dismisses or renames one
+    moves on by one.  Names are those of the summary as it was; those given by edits are not looked for.
+    """
+    plain = lambda c: F.lower(strip(F.coalesce(c, F.lit(""))))
+    first = F.get(F.filter("ai_original", lambda e: e["field"] == "title"), 0)["value"]
+    rows = items.where("user_edited or dismissed or manual_add").withColumns({"__own": plain(F.col("title")), "__first": F.when(F.col("user_edited"), plain(filled(first)))})
+    known = blocks.where("name is not null").select("course_id", F.col("name").alias("__first"), F.lit(True).alias("__known")).distinct()
+    rows = rows.join(known, ["course_id", "__first"], "left").withColumn("name", F.when(F.col("__known"), F.col("__first")).otherwise(F.col("__own")))
+    renames = F.col("user_edited") & ~F.col("manual_add") & F.array_contains("user_edited_fields", "title") & (F.col("__own") != F.col("name"))
+    earlier = Window.partitionBy("course_id", "name").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("nth", F.coalesce(F.sum((F.col("dismissed") | renames).cast("int")).over(earlier), F.lit(0)).cast("int") + 1)
+    return rows.join(blocks.where("name is not null").select("course_id", "name", "nth", "at"), ["course_id", "name", "nth"], "left")
+
+
+def edited(piece: str, new: dict[str, str]) -> Column:
+    """A block with new values in its lines; notes are added where it has no line for them."""
+    text = F.col(piece)
+    for field, column in new.items():
+        label, value = LABELS[field], F.col(column)
+        changed = F.regexp_replace(text, F.lit(rf"(\*\*{label}:\*\*\s*)[^\n]+"), F.concat(F.lit("$1"), literal(value)))
+        if field == "notes":
+            changed = F.when(F.contains(text, F.lit(f"**{label}:**")), changed).otherwise(F.concat(F.regexp_replace(text, r"\n+\z", ""), F.lit(f"\n- **{label}:** "), value, F.lit("\n")))
+        text = F.when(value.isNull(), text).otherwise(changed)
+    return text
 
-def apply_to_markdown(summaries: DataFrame, items: DataFrame) -> DataFrame:
-    """(course_id, summary) with the overridden items of each course worked in, in ``pos`` order."""
-    used = ["pos", "title", "type", "due_date_resolved", "notes", "dismissed", "user_edited", "manual_add", "user_edited_fields", "ai_original"]
-    chosen = items.where("user_edited or dismissed or manual_add").select("course_id", F.struct(*used).alias("item"))
-    lists = chosen.groupBy("course_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
-    @F.pandas_udf("string")
-    def rewritten(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or i is None else rewrite(t, [dict(x) for x in i]) for t, i in zip(texts, lists, strict=True)])
+def apply_to_markdown(summaries: DataFrame, items: DataFrame) -> DataFrame:
+    """(course_id, summary) with the overridden items of each course worked in, in ``pos`` order.
 
-    return summaries.join(lists, "course_id", "left").select("course_id", rewritten("summary", "items").alias("summary"))
+    Blocks of dismissed items go, those of edited ones get the new values (of several for one line the last), and
+    items added by hand that no block is named after come at the end of the assignments section, or of a summary
+    without one.  What is joined again is a summary's own pieces and the entries a user made for a course.
+    """
+    blocks = block_table(summaries)
+    rows = assigned(blocks, items)
+    value = lambda f: F.max_by(F.col(f).cast("string"), F.when(F.array_contains("user_edited_fields", f) & F.col(f).isNotNull() & F.col("user_edited") & ~F.col("manual_add") & ~F.col("dismissed"), F.col("pos")))
+    per_piece = rows.where("at is not null").groupBy("course_id", "at").agg(F.bool_or("dismissed").alias("__gone"), *[value(f).alias(f"__{f}") for f in LABELS])
+    changed = blocks.join(per_piece.select("course_id").distinct(), "course_id", "left_semi").join(per_piece, ["course_id", "at"], "left")
+    piece = F.when(F.col("__gone"), "").otherwise(edited("piece", {f: f"__{f}" for f in LABELS}))
+    whole = changed.select("course_id", "at", piece.alias("piece")).groupBy("course_id").agg(joined("at", "piece").alias("__text"))
+
+    line = lambda x: F.concat(*[y for k, part in enumerate(x.replace("}", "{").split("{")) for y in ([F.lit(part)] if k % 2 == 0 else [F.coalesce(filled(F.col(part)), F.lit(ABSENT[part]))])])
+    notes = F.when(filled(F.col("notes")).isNotNull(), F.concat(F.lit(f"- **{LABELS['notes']}:** "), "notes"))
+    made = F.concat(F.concat_ws("\n", *[line(x) for x in BY_HAND], notes), F.lit("\n"))
+    added = rows.where("at is null and manual_add and not dismissed").select("course_id", "pos", made.alias("made")).groupBy("course_id").agg(joined("pos", F.concat(F.lit("\n"), F.col("made"))).alias("__made"))
+    text = F.coalesce("__text", "summary")
+    in_section = F.regexp_replace(text, F.lit(SECTION_END), F.concat(F.lit("$1"), literal("__made")))
+    at_end = F.concat(F.regexp_replace(text, r"\n+\z", ""), F.lit("\n"), F.col("__made"))
+    out = summaries.join(whole, "course_id", "left").join(added, "course_id", "left")
+    return out.select("course_id", F.when(F.col("__made").isNull(), text).when(text.rlike(SECTION_END), in_section).otherwise(at_end).alias("summary"))

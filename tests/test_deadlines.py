@@ -110,15 +110,41 @@ def item(**k):
     return {"title": "", "type": None, "due_date_resolved": None, "notes": None, "dismissed": False, "user_edited": False, "manual_add": False, "user_edited_fields": [], "ai_original": []} | k
 
 
-def test_markdown_rewriting():
-    assert "One" not in overrides.rewrite(MARK, [item(title="one", dismissed=True)])
-    assert overrides.rewrite(MARK, [item(title="Two", dismissed=True)]) == MARK[: MARK.index("### Assignment\n- **Name:** Two")], "the last block takes what follows with it"
+ITEM = f"course_id string, pos int, title string, type string, due_date_resolved string, notes string, dismissed boolean, user_edited boolean, manual_add boolean, user_edited_fields array<string>, ai_original {EDITS}"
+
+
+def rewritten(spark, markdown, items):
+    rows = [("c", i, x.get("title"), x.get("type"), x.get("due_date_resolved"), x.get("notes"), x.get("dismissed", False), x.get("user_edited", False), x.get("manual_add", False), x.get("user_edited_fields", []), [(e["field"], e["value"]) for e in x.get("ai_original", [])]) for i, x in enumerate(items)]
+    s = spark.createDataFrame([("c", markdown)], "course_id string, summary string")
+    return overrides.apply_to_markdown(s, spark.createDataFrame(rows, ITEM)).first()["summary"]
+
+
+def test_markdown_rewriting(spark):
+    assert "One" not in rewritten(spark, MARK, [item(title="one", dismissed=True)])
+    assert rewritten(spark, MARK, [item(title="Two", dismissed=True)]) == MARK[: MARK.index("### Assignment\n- **Name:** Two")], "the last block takes what follows with it"
     edited = item(title="Uno", due_date_resolved="2026-01-01", notes="n", user_edited=True, user_edited_fields=["title", "due_date_resolved", "notes"], ai_original=[{"field": "title", "value": "One"}])
-    out = overrides.rewrite(MARK, [edited])
+    out = rewritten(spark, MARK, [edited])
     assert "- **Name:** Uno" in out and "- **Due Date Resolved:** 2026-01-01" in out and "- **User notes:** n" in out and "Two" in out
-    out = overrides.rewrite(MARK, [item(title="New", manual_add=True)])
-    assert out.index("New") < out.index("## GRADING") and "UNRESOLVED" in out and overrides.rewrite(out, [item(title="New", manual_add=True)]) == out
-    assert overrides.rewrite(MARK, [item(title="None such", dismissed=True)]) == MARK
+    out = rewritten(spark, MARK, [item(title="New", manual_add=True)])
+    assert out.index("New") < out.index("## GRADING") and "UNRESOLVED" in out and rewritten(spark, out, [item(title="New", manual_add=True)]) == out
+    assert rewritten(spark, MARK, [item(title="None such", dismissed=True)]) == MARK
+
+
+def test_markdown_of_equal_names_and_special_characters(spark):
+    block = lambda name, kind="essay": f"### Assignment\n- **Name:** {name}\n- **Type:** {kind}\n"
+    three = "# Head\n" + block("Quiz", "a") + block("QUIZ ", "b") + block("Quiz", "c")
+    renamed = lambda new, **own: item(title=new, user_edited=True, user_edited_fields=["title"], ai_original=[{"field": "title", "value": "Quiz"}], **own)
+    assert rewritten(spark, three, [renamed("A $1 \\x"), renamed("B")]) == "# Head\n" + block("A $1 \\x", "a") + block("B", "b") + block("Quiz", "c"), "a renamed block is not found again"
+    assert rewritten(spark, three, [item(title="quiz", dismissed=True), item(title="quiz", dismissed=True)]) == "# Head\n" + block("Quiz", "c")
+    kind = lambda t: item(title="Quiz", type=t, user_edited=True, user_edited_fields=["type"])
+    assert rewritten(spark, three, [kind("x"), kind("y")]) == "# Head\n" + block("Quiz", "y") + three[three.index("### Assignment\n- **Name:** QUIZ") :], "both are about the first"
+    noted = item(title="Quiz", notes="new", user_edited=True, user_edited_fields=["notes"])
+    assert rewritten(spark, block("Quiz") + "- **User notes:** old\n", [noted]) == block("Quiz") + "- **User notes:** new\n"
+    assert rewritten(spark, block("Quiz") + "\n\n", [noted]) == block("Quiz") + "- **User notes:** new\n"
+    two = [item(title="P", manual_add=True, notes="by $hand"), item(title="Q", manual_add=True, type="exam", due_date_resolved="2026-02-02"), item(title="Gone", manual_add=True, dismissed=True)]
+    made = "### Assignment\n- **Name:** P\n- **Type:** manual\n- **Due Date:** (user-added)\n- **Due Date Resolved:** UNRESOLVED\n- **Weight:** not specified\n- **Confidence:** 5\n- **User notes:** by $hand\n\n### Assignment\n- **Name:** Q\n- **Type:** exam\n- **Due Date:** (user-added)\n- **Due Date Resolved:** 2026-02-02\n- **Weight:** not specified\n- **Confidence:** 5\n"
+    assert rewritten(spark, "text\n\n", two) == "text\n\n" + made and rewritten(spark, "## Assignments\nx\n## Next\ny", two) == "## Assignments\nx\n" + made + "\n## Next\ny"
+    assert rewritten(spark, None, two) is None and rewritten(spark, three, []) == three
 
 
 def test_markdown_per_course(spark):
