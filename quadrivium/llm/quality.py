@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import id_fold, table
+from .common import hand_back, id_fold, table
 from .learning import labelled_sample, with_text
 
 SAMPLE_ROWS = 40_000
@@ -92,6 +92,7 @@ def score(documents: DataFrame, model: Model, text_col: str = "text") -> Column:
         own = shipped.value
         for texts in batches:
             yield pd.Series(own.score(texts))
+            hand_back()
 
     return scored(F.col(text_col))
 

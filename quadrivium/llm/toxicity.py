@@ -33,11 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import id_fold, materialise, table
+from .common import hand_back, id_fold, materialise, table
 from .learning import labelled_sample, with_text
 
 SAMPLE_ROWS = 40_000
-PARTS = 5
+PARTS = 3
 #: Words a lexicon keeps, and toxic rows that a word must be in.
 LEXICON_WORDS, LEAST_ROWS = 2_000, 4
 FOLDS = 5
@@ -123,17 +123,20 @@ def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            seen: dict[str, list[int]] = {}
-            for part, text, y in zip(batch["part"], batch["text"], batch["y"], strict=True):
-                found = {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= 24}
-                for w in found | {w[:k] + "*" for w in found if len(w) > 6 for k in (5, 6)}:
-                    seen.setdefault(w, [0] * (2 * PARTS))[2 * part + (y > 0)] += 1
-            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+            slots = 2 * batch["part"] + (batch["y"] > 0)
+            for at in range(0, len(batch), 500):  # a few texts at a time: their words are many
+                seen: dict[int, Counter] = {}
+                for slot, text in zip(slots[at : at + 500], batch["text"][at : at + 500], strict=True):
+                    found = {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= 24}
+                    seen.setdefault(slot, Counter()).update(found | {w[:k] + "*" for w in found if len(w) > 6 for k in (5, 6)})
+                for slot, counts in seen.items():
+                    yield pd.DataFrame({"word": list(counts), "slot": slot, "n": list(counts.values())})
+            hand_back()
 
     sizes = {r["part"]: (float(r["t"]), float(r["n"] - r["t"])) for r in rows.groupBy("part").agg(F.sum("y").alias("t"), F.count("*").alias("n")).collect()}
-    every = [F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(2 * PARTS)]
+    every = [F.sum(F.when(F.col("slot") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(2 * PARTS)]
     toxic_rows = sum((F.col(f"n{2 * p + 1}") for p in range(PARTS)), F.lit(0))
-    counts = rows.select("part", "text", "y").mapInPandas(count, "word string, n array<long>").groupBy("word").agg(*every).where(toxic_rows >= LEAST_ROWS)
+    counts = rows.select("part", "text", "y").mapInPandas(count, "word string, slot int, n long").groupBy("word").agg(*every).where(toxic_rows >= LEAST_ROWS)
     total = [sum((F.col(f"n{2 * p + side}") for p in range(PARTS)), F.lit(0)) for side in (0, 1)]
     counts = materialise(counts.select("word", *[(total[side] - (F.col(f"n{2 * p + side}") if p < PARTS else 0)).alias(f"{'ba'[side]}{p}") for p in range(PARTS + 1) for side in (0, 1)]), "words")
     out = []
@@ -177,6 +180,7 @@ def train(documents: DataFrame, labels: DataFrame, train_rows: Column, text_col:
     def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"part": batch["part"], "y": batch["y"], "x": [features(t, lexicons[p]) for t, p in zip(batch["text"], batch["part"], strict=True)]})
+            hand_back()
 
     got = rows.mapInPandas(dense, "part int, y double, x array<double>").toPandas()
     x = np.array(got["x"].tolist(), dtype=float).reshape(len(got), len(NAMES))
@@ -193,6 +197,7 @@ def score(documents: DataFrame, model: Model, text_col: str = "text") -> Column:
         own = shipped.value
         for texts in batches:
             yield pd.Series(own.score(texts))
+            hand_back()
 
     return scored(F.col(text_col))
 

@@ -141,7 +141,7 @@ def test_cross_fitted_scores_come_from_other_parts():
     rng = np.random.default_rng(8)
     x, part = rng.normal(size=(500, 2)), np.arange(500) % 5
     y = (x[:, 0] > 0).astype(float)
-    got = toxicity.cross_fitted(x, y, part)
+    got = toxicity.cross_fitted(x, y, part, 5)
     for p in range(5):
         assert got[part == p] == pytest.approx(gbt.fit(x[part != p], y[part != p]).probability(x[part == p]))
     assert toxicity.cross_fitted(x[:3], y[:3], part[:3]).shape == (3,) and len(toxicity.cross_fitted(x[:0], y[:0], part[:0])) == 0
