@@ -27,4 +27,7 @@ def with_text(documents: DataFrame, sample: DataFrame, text_col: str, id_col: st
     The sample side is bounded and broadcast; the bound on labels is one on rows, however often an id repeats.
     """
     docs = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return docs.join(F.broadcast(sample), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    rows = docs.join(F.broadcast(sample), "id")
+    if rows.groupBy("id").count().where("count > 1").limit(1).count():  # a scan of ids alone
+        rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    return rows

@@ -41,9 +41,9 @@ from .common import hand_back, table
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
-CACHED_CHARS, CACHED_SEGMENTS, CACHED_PAIRS = 64, 60_000, 200_000
+CACHED_CHARS, CACHED_SEGMENTS, CACHED_PAIRS = 64, 200_000, 200_000
 #: Tables of segment beginnings of so many characters are kept too: a prefix's entry does not depend on what follows.
-HEAD_CHARS, CACHED_HEADS = 8, 30_000
+HEAD_CHARS, CACHED_HEADS = 8, 60_000
 #: Characters of text encoded before a batch of results is passed on.
 BATCH_CHARS = 1 << 20
 
@@ -230,7 +230,6 @@ def encode_documents(documents: DataFrame, text_col: str = "text", id_col: str =
                     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(ids, dtype=np.int32)))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i + 1 - first), lists, pa.array(decoded, pa.string())], names=[id_col, "ids", "decoded"])
                     ids, offsets, decoded, first, chars = array("i"), [0], [], i + 1, 0
-        own.older = {}  # the worker goes on to other tasks
         hand_back()
 
     kind = docs.schema[id_col].dataType.simpleString()

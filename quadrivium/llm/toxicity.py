@@ -174,7 +174,6 @@ def cross_fitted(x: np.ndarray, y: np.ndarray, part: np.ndarray, parts: int = PA
 def train(documents: DataFrame, labels: DataFrame, train_rows: Column, text_col: str = "text", id_col: str = "doc_id", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     sample = labelled_sample(labels, label, id_col, train_rows, sample_rows)
     rows = with_text(documents, sample, text_col, id_col).select(F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(PARTS)).cast("int").alias("part"), "text", "y")
-    rows = materialise(rows, "training-rows")
     lexicons = learn_lexicons(rows)
 
     def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
