@@ -90,6 +90,24 @@ def week_day(start: Column | str, week: Column | str) -> Column:
     return F.date_add(col(start), ((col(week) - 1) * 7).cast("int"))
 
 
+DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+
+
+def week_resolved(x: Column | str, start: Column | str, meets: Column) -> Column:
+    """The day a text like "Week 3 Friday" means in a semester; null (UNRESOLVED) for a text without a week.
+
+    The weekday named in the text, else the first day the course meets (``meets``, an array of weekday names), else the
+    first day of the week; weeks run for seven days from the day the semester starts.
+    """
+    week = filled(F.regexp_extract(col(x), r"(?i)\bweek\s*(\d+)\b", 1)).cast("int")
+    first = week_day(start, week)
+    index = lambda name: F.nullif(F.array_position(F.array(*[F.lit(d) for d in DAYS]), F.initcap(name)), F.lit(0).cast("long"))
+    after = lambda name: F.pmod(index(name) - 1 - F.weekday(first), F.lit(7)).cast("int")
+    named = filled(F.regexp_extract(col(x), rf"(?i)\b({'|'.join(DAYS)})\b", 1))
+    soonest = F.array_min(F.transform(meets, after))
+    return F.date_add(first, F.coalesce(after(named), soonest, F.lit(0)))
+
+
 def rubric(category: Column | str, on_page: Column) -> Column:
     """Confidence by the form of a date: explicit on the page 5, explicit elsewhere 4, by week 3, vague 2, none 1."""
     c = col(category)

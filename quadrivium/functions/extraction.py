@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 from collections.abc import Callable, Iterator
 from importlib.util import find_spec
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -44,17 +45,21 @@ def native_or_vision(text: Column | str) -> Column:
     return F.when(enough, F.struct(strip(text).alias("text"), F.lit("native_text").alias("method"), F.lit(5).alias("confidence"))).otherwise(F.struct(F.lit(None).cast("string").alias("text"), F.lit("needs_vision").alias("method"), F.lit(0).alias("confidence")))
 
 
+def _need(library: str) -> None:
+    """Missing software must not look like a file without text."""
+    if not find_spec(library):
+        raise ModuleNotFoundError(f"reading this kind of file needs {library}", name=library)
+
+
 def _pages(data: bytes) -> str | None:
-    if not find_spec("pypdf"):
-        return None
+    _need("pypdf")
     from pypdf import PdfReader
 
     return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(data)).pages)
 
 
 def _paragraphs(data: bytes) -> str | None:
-    if not find_spec("docx"):
-        return None
+    _need("docx")
     from docx import Document
 
     return "\n".join(p.text for p in Document(io.BytesIO(data)).paragraphs).strip() or None
@@ -69,10 +74,26 @@ def read_one(kind: str, data: bytes) -> tuple[str | None, str, int]:
     return (plain_text(data) if kind == "plain" else _paragraphs(data)), "native_text", 5
 
 
-def extract_files(files: DataFrame, vision: Callable[[bytes], str | None] | None = None) -> DataFrame:
-    """Adds ``extracted`` (text, method, confidence) to (name, mime, content); unsupported kinds raise.
+MOST_PAGES = 25
+
+
+def seen_text(data: bytes, kind: str, vision: Callable[[bytes], str | None], pages: Callable[[bytes], Iterator[bytes]] | None = None) -> str | None:
+    """What ``vision`` reads from an image or the first ``MOST_PAGES`` page images of a file, a blank line between; a page that fails is passed over."""
+    found = []
+    for page in islice(pages(data) if pages and kind == "pdf" else iter([data]), MOST_PAGES):
+        try:
+            text = vision(page)
+        except Exception:  # noqa: BLE001 - a model may fail in any way
+            continue
+        if text and text.strip():
+            found.append(text.strip())
+    return "\n\n".join(found) or None
+
+
+def extract_files(files: DataFrame, vision: Callable[[bytes], str | None] | None = None, pages: Callable[[bytes], Iterator[bytes]] | None = None) -> DataFrame:
+    """Adds ``extracted`` (text, method, confidence) to (name, mime, content); unsupported kinds and missing libraries raise.
 
-    ``vision``: reads a page image or paged file where native text is missing; its result has confidence 4.
+    ``vision`` reads a page image where native text is missing, ``pages`` makes page images of a paged file; what is read so has confidence 4.
     """
 
     @F.pandas_udf(RESULT)
@@ -84,7 +105,7 @@ def extract_files(files: DataFrame, vision: Callable[[bytes], str | None] | None
                     raise ValueError("unsupported file type")
                 row = read_one(kind, data)
                 if row[1] == "needs_vision" and vision:
-                    seen = vision(data)
+                    seen = seen_text(data, kind, vision, pages)
                     row = (seen, "vision_ocr", 4) if seen else row
                 rows.append(row)
             yield pd.DataFrame(rows, columns=["text", "method", "confidence"])

@@ -119,7 +119,7 @@ def overrides_block(spark, sf_dir):
 
 
 def override_log(spark, sf_dir):
-    """events as a change log per user; the state reached. A state machine has no SQL form; tests fold it by hand."""
+    """events as a change log per user; the state reached."""
     e = table(spark, sf_dir, "events")
     op = F.when(F.col("event_type") == "error", "clear").when(F.col("event_type") == "signup", "dismiss").when(F.col("event_type") == "purchase", "manual").otherwise("set")
     log = e.select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("id"), op.alias("op"), F.when(F.col("event_id") % 3 == 0, "title").otherwise("notes").alias("field"), F.col("event_id").cast("string").alias("value"), F.col("ts").cast("string").alias("at"))
@@ -181,6 +181,16 @@ def week_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.week_day(F.lit("2026-01-14").cast("date"), week).cast("string").alias("due"), dates.rubric(c, F.lit(False)).alias("confidence"))
 
 
+def rubric_branches(spark, sf_dir):
+    """Written dates of every category, on the page and elsewhere, with their weekday in the week named or the next meeting day."""
+    k = F.col("o_orderkey")
+    week = (k % 15 + 1).cast("int")
+    raw = F.element_at(F.array(F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format("o_orderdate", "MMMM d"), F.concat(F.lit("Week "), week, F.lit(" Friday")), F.concat(F.lit("before class, week "), week), F.lit("TBD"), F.lit("none"), F.lit("by Tuesday of week 3"), F.lit("see syllabus")), (k % 8 + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"), dates.date_category(raw).alias("category"))
+    day = dates.week_resolved("raw", F.lit("2026-01-14").cast("date"), F.array(F.lit("Monday"), F.lit("Wednesday")))
+    return rows.select("o_orderkey", "category", dates.rubric("category", k % 2 == 0).alias("confidence"), F.coalesce(day.cast("string"), F.lit("UNRESOLVED")).alias("day"))
+
+
 def router_fail_open(spark, sf_dir):
     known = F.array(*[F.lit(k) for k in KNOWN])
     reply = F.when(F.col("event_type") == "click", F.col("props")).when(F.col("event_type") == "error", "[]").otherwise(F.concat(F.lit('["zz", "'), F.col("event_type"), F.lit('"]')))
@@ -199,7 +209,17 @@ def audit_missing(spark, sf_dir):
 def audit_verdict(spark, sf_dir):
     a = assignments(spark, sf_dir).withColumn("category", dates.date_category("due_date_raw"))
     gaps = audit.missing(a, ["title", "course_id", "due_date_raw"], ["title", "course_id", "due_date_raw"])
-    return audit.verdict_of(audit.histogram(a), gaps, audit.duplicate_groups(a))
+    return audit.verdict_of(audit.histogram(a), gaps, audit.duplicate_pairs(a))
+
+
+def audit_verdict_titles(spark, sf_dir):
+    """Parts as assignments of their brand, some without a title or a date: gaps and similar titles (by edit distance) count."""
+    p = table(spark, sf_dir, "part")
+    raw = F.when(F.col("p_size") % 10 == 0, "").when(F.col("p_size") % 10 < 8, F.concat(F.lit("Oct "), F.col("p_size") % 28 + 1)).otherwise("TBD")
+    a = p.select(F.when(F.col("p_partkey") % 50 == 0, "").otherwise(F.col("p_name")).alias("title"), F.col("p_brand").alias("course_id"), F.col("p_partkey").alias("pos"), raw.alias("due_date_raw"))
+    a = a.withColumn("category", dates.date_category("due_date_raw"))
+    gaps = audit.missing(a, ["title", "course_id", "due_date_raw"], ["title", "course_id", "due_date_raw"])
+    return audit.verdict_of(audit.histogram(a), gaps, audit.duplicate_pairs(a, least=70.0, exact=False))
 
 
 def audit_per_course(spark, sf_dir):
@@ -216,7 +236,7 @@ QUERIES = {
     "deadlines_bucketed": deadlines_bucketed, "deadline_counts": deadline_counts, "attention_groups": attention_groups, "calendar_events": calendar_events, "override_apply": override_apply, "manual_add_anti": manual_add_anti,
     "course_colors": course_colours, "date_anomaly": date_anomaly, "summaries_parsed": summaries_parsed, "summaries_rewritten": summaries_rewritten, "overrides_block": overrides_block, "override_log": override_log, "purge_expired": purge_expired,
     "title_slug_index": title_slug_index, "title_scalars": title_scalars, "fuzzy_titles": fuzzy_titles, "duplicate_pairs": duplicate_pairs, "duplicate_pairs_edit": duplicate_pairs_edit, "date_category_histogram": date_category_histogram,
-    "due_formats": due_formats, "week_dates": week_dates, "router_fail_open": router_fail_open, "audit_missing": audit_missing, "audit_verdict": audit_verdict, "audit_per_course": audit_per_course, "audit_confidence": audit_confidence,
+    "due_formats": due_formats, "week_dates": week_dates, "router_fail_open": router_fail_open, "audit_missing": audit_missing, "audit_verdict": audit_verdict, "audit_verdict_titles": audit_verdict_titles, "rubric_branches": rubric_branches, "audit_per_course": audit_per_course, "audit_confidence": audit_confidence,
 }
 
 _ROWS = """a AS (
@@ -287,6 +307,16 @@ SQL = {
     "router_fail_open": "SELECT event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN event_type ELSE 'click,purchase,signup' END AS courses FROM events",
     "audit_missing": "SELECT unnest(['text', 'lang', 'source', 'quality', 'toxic']) AS field, unnest([count(*) FILTER (coalesce(text, '') = ''), count(*) FILTER (coalesce(lang, '') = ''), count(*) FILTER (coalesce(source, '') = ''), count(*) FILTER (quality IS NULL), count(*) FILTER (toxic IS NULL)]) AS n, unnest([true, false, true, false, false]) AS critical FROM documents LEFT JOIN labels USING (doc_id)",
     "audit_verdict": "WITH o AS (SELECT count(*) AS total, count(*) FILTER (o_orderstatus <> 'P') AS parseable FROM orders) SELECT total, parseable, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS duplicates, CASE WHEN 100.0 * parseable / total >= 80 THEN 'GREEN' WHEN 100.0 * parseable / total >= 60 THEN 'YELLOW' ELSE 'RED' END AS verdict FROM o",
+    "audit_verdict_titles": """
+        WITH a AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 50 = 0 THEN '' ELSE p_name END AS t, p_size % 10 AS m FROM part),
+        d AS (SELECT count(*) AS duplicates FROM a x JOIN a y ON x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey WHERE x.t = y.t OR (x.t <> '' AND y.t <> '' AND 200.0 * least(length(x.t), length(y.t)) >= 70.0 * (length(x.t) + length(y.t)) AND 100.0 * (1 - levenshtein(lower(x.t), lower(y.t)) / greatest(length(x.t), length(y.t))) >= 70.0)),
+        c AS (SELECT count(*) AS total, count(*) FILTER (m BETWEEN 1 AND 7) AS parseable, count(*) FILTER (t = '') + count(*) FILTER (m = 0) AS gaps FROM a)
+        SELECT total, parseable, gaps, duplicates, CASE WHEN 100.0 * parseable / total >= 80 AND gaps = 0 AND duplicates = 0 THEN 'GREEN' WHEN 100.0 * parseable / total >= 60 THEN 'YELLOW' ELSE 'RED' END AS verdict FROM c, d""",
+    "rubric_branches": """
+        WITH r AS (SELECT o_orderkey, o_orderkey % 8 AS k, CAST(o_orderkey % 15 AS INTEGER) AS w, o_orderkey % 2 = 0 AS page FROM orders)
+        SELECT o_orderkey, CASE k WHEN 0 THEN 'iso_date' WHEN 1 THEN 'date_string' WHEN 4 THEN 'vague' WHEN 5 THEN 'missing' WHEN 7 THEN 'vague' ELSE 'relative' END AS category,
+               CASE WHEN k IN (0, 1) THEN CASE WHEN page THEN 5 ELSE 4 END WHEN k IN (2, 3, 6) THEN 3 WHEN k IN (4, 7) THEN 2 ELSE 1 END AS confidence,
+               CASE k WHEN 2 THEN CAST(DATE '2026-01-16' + 7 * w AS VARCHAR) WHEN 3 THEN CAST(DATE '2026-01-14' + 7 * w AS VARCHAR) WHEN 6 THEN '2026-02-03' ELSE 'UNRESOLVED' END AS day FROM r""",
     "audit_per_course": "SELECT CAST(c_custkey AS VARCHAR) AS course_id, count(o_orderkey) AS n, count(o_orderkey) < 5 AS low FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE c_acctbal >= 0 GROUP BY c_custkey",
     "audit_confidence": "SELECT (SELECT count(*) FROM orders) AS n, string_agg(o_orderpriority, ',' ORDER BY o_orderkey) AS first FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 8)",
 }

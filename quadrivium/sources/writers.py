@@ -8,19 +8,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
+from .readers import exists
 
 
 def replace(df: DataFrame, path: str, form: str = "json") -> None:
-    """Readers see the old rows or the new ones; a failed write leaves the old ones."""
-    spark = df.sparkSession
-    staged = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    """Readers that come before or after see the old rows or the new ones; a failed write or rename leaves the old ones.
+
+    The new folder is written beside the old one; the old one is moved aside and deleted only when the new one has its
+    name.  After a crash between the two renames the old rows are in ``<path>.<id>.old``, which ``recover`` puts back.
+    """
+    target, staged = path.rstrip("/"), f"{path.rstrip('/')}.{uuid.uuid4().hex}"
     df.write.format(form).save(staged)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target, new = hadoop.Path(path), hadoop.Path(staged)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    if not fs.rename(new, target):
-        raise OSError(f"cannot rename {staged} to {path}")
+    spark, aside = df.sparkSession, f"{staged}.old"
+    had = exists(spark, target)
+    if had and not _rename(spark, target, aside):
+        _delete(spark, staged)
+        raise OSError(f"cannot move {target} aside")
+    try:
+        if not _rename(spark, staged, target):
+            raise OSError(f"cannot rename {staged} to {target}")
+    except Exception:
+        if had:
+            _rename(spark, aside, target)
+        _delete(spark, staged)
+        raise
+    if had:
+        _delete(spark, aside)
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Put back the rows that a crashed ``replace`` left aside, where the store is missing; whether there were any."""
+    target = path.rstrip("/")
+    if exists(spark, target):
+        return False
+    files, hadoop_path = _files(spark, target)
+    found = files.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}.*.old"))
+    return bool(found) and _rename(spark, found[0].getPath().toString(), target)
+
+
+def _files(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> bool:
+    files, source = _files(spark, old)
+    return files.rename(source, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, target = _files(spark, path)
+    files.delete(target, True)
+
+
+def write_deadlines(deadlines: DataFrame, header: DataFrame, path: str, generated_at: str, source_file: str) -> None:
+    """The deadlines store: its rows by bucket under ``rows``, its counts in one row under ``header``; each replaced as a whole."""
+    replace(deadlines.repartition("bucket").sortWithinPartitions("bucket", "id"), f"{path}/rows", "parquet")
+    replace(header.withColumns({"generated_at": F.lit(generated_at), "source_file": F.lit(source_file)}).coalesce(1), f"{path}/header")
 
 
 def append_ledger(calls: DataFrame, path: str) -> None:

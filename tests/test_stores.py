@@ -216,3 +216,43 @@ def test_entry_points(spark):
 
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names) and entry.entry(spark).count() == 1
+
+
+def test_replace_keeps_the_old_store_when_a_rename_fails(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/store"
+    one, two = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([(2,), (3,)], "x int")
+    writers.replace(one, path)
+    writers.replace(two, path)
+    assert sorted(r.x for r in spark.read.schema("x int").json(path).collect()) == [2, 3]
+    real = writers._rename
+    for fails in (lambda old, new: new == path and not old.endswith(".old"), lambda old, new: old == path):
+        monkeypatch.setattr(writers, "_rename", lambda s, old, new, fails=fails: not fails(old, new) and real(s, old, new))
+        with pytest.raises(OSError):
+            writers.replace(one, path)
+        assert sorted(r.x for r in spark.read.schema("x int").json(path).collect()) == [2, 3]
+        assert [p.name for p in tmp_path.iterdir()] == ["store"], "nothing is left beside it"
+    monkeypatch.setattr(writers, "_rename", real)
+    (tmp_path / "store").rename(tmp_path / "store.abc.old")  # a crash between the renames
+    assert writers.recover(spark, path) and not writers.recover(spark, path)
+    assert spark.read.schema("x int").json(path).count() == 2
+
+
+def test_deadlines_store(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "resolved"), ("b", "dismissed")], "id string, bucket string")
+    writers.write_deadlines(rows, rows.groupBy().agg(F.count("*").alias("total")), f"file://{tmp_path}/deadlines", NOW, "s.json")
+    head = spark.read.json(f"file://{tmp_path}/deadlines/header").first()
+    assert (head.total, head.generated_at, head.source_file) == (2, NOW, "s.json") and spark.read.parquet(f"file://{tmp_path}/deadlines/rows").count() == 2
+
+
+def test_vision_of_pages():
+    from quadrivium.functions import extraction
+
+    def vision(page):
+        if page == b"2":
+            raise RuntimeError("no reply")
+        return f" page {page.decode()} "
+
+    pages = lambda data: (str(i).encode() for i in range(40))
+    text = extraction.seen_text(b"", "pdf", vision, pages)
+    assert text.split("\n\n") == [f"page {i}" for i in range(25) if i != 2] and extraction.seen_text(b"7", "image", vision) == "page 7"
+    assert extraction.seen_text(b"2", "image", vision) is None
