@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, filled, strip
+from .text import col, filled, once, strip
 
 ISO_TIME = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"
 ISO_DATE = r"\b\d{4}-\d{2}-\d{2}\b"
@@ -43,13 +43,15 @@ def outside_window(due: Column | str, start: Column, end: Column) -> Column:
 
 
 def date_category(x: Column | str) -> Column:
-    s = strip(x)
-    return (
-        F.when(col(x).isNull() | F.lower(s).isin("", "none", "null", "n/a"), "missing")
-        .when(s.rlike(ISO_TIME), "iso_datetime").when(s.rlike(ISO_DATE), "iso_date").when(s.rlike(DATE_STRING), "date_string")
-        .when(s.rlike(RELATIVE), "relative")
-        .when(s.rlike(VAGUE), "vague").when(s.rlike(r"\d"), "relative").otherwise("vague")
-    )
+    def of(s: Column) -> Column:
+        return (
+            F.when(s.isNull() | F.lower(F.left(s, F.lit(8))).isin("", "none", "null", "n/a"), "missing")
+            .when(s.rlike(ISO_TIME), "iso_datetime").when(s.rlike(ISO_DATE), "iso_date").when(s.rlike(DATE_STRING), "date_string")
+            .when(s.rlike(RELATIVE), "relative")
+            .when(s.rlike(VAGUE), "vague").when(s.rlike(r"\d"), "relative").otherwise("vague")
+        )
+
+    return once(strip(x), of)
 
 
 def resolved_category(x: Column | str) -> Column:

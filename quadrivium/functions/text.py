@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,9 +32,13 @@ def filled(x: Column | str) -> Column:
     return F.nullif(col(x), F.lit(""))
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(x), use), 0)
+
+
 def contains_any(x: Column | str, needles: list[str]) -> Column:
-    text = col(x)
-    return F.exists(F.array(*[F.lit(n) for n in needles]), lambda n: F.contains(text, n))
+    return once(col(x), lambda text: F.exists(F.array(*[F.lit(n) for n in needles]), lambda n: F.contains(text, n)))
 
 
 def slugify(x: Column | str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..functions.similarity import DUPLICATE, edit_similarity, may_reach, similarity
+from ..functions.similarity import DUPLICATE, edit_similarity, letter_counts, may_reach, may_share, similarity
 from ..functions.text import filled, percent, without_numbers
 
 LOW_COUNT = 5
@@ -45,18 +45,13 @@ def missing(rows: DataFrame, fields: list[str] | None = None, critical: list[str
 def duplicate_pairs(rows: DataFrame, least: float = DUPLICATE, group: str = "course_id", key: str = "pos", title: str = "title", exact: bool = True) -> DataFrame:
     """(group, a, b, similarity) of similar titles of a group, a before b; numbered series are no duplicates.
 
-    Equal titles of a group collapse first and are paired only through their
-    distinct title, so a title repeated n times costs n rows, not n squared.
-    Distinct titles join on the group; the length bound prunes exactly before
-    the similarity is computed.  Row pairs come out only for titles that match.
+    Distinct titles of a group are compared, whatever their number of rows; bounds
+    by length and by letter counts prune exactly before the similarity is
+    computed.  Only then do titles expand to rows: the output is every pair of
+    rows, as many as there are; ``duplicate_total`` counts them without making them.
     """
-    distinct = rows.groupBy(group, title).agg(F.count("*").alias("n")).withColumn("__plain", without_numbers(title))
-    a = distinct.select(group, F.col(title).alias("ta"), F.col("__plain").alias("pa"))
-    b = distinct.select(group, F.col(title).alias("tb"), F.col("__plain").alias("pb"))
-    pairs = a.join(b, group).where((F.col("ta") < F.col("tb")) & (F.col("pa") != F.col("pb")) & may_reach("ta", "tb", least))
-    # The ratio is not symmetric: it is taken in row order below; both orders are computed here.
-    measure = similarity if exact else edit_similarity
-    pairs = pairs.withColumns({"ab": measure("ta", "tb"), "ba": measure("tb", "ta")}).where((F.col("ab") >= least) | (F.col("ba") >= least))
+    pairs = similar_titles(rows, least, group, title, exact)
+    distinct = rows.groupBy(group, title).agg(F.count("*").alias("n"))
     left, right = rows.select(group, F.col(title).alias("ta"), F.col(key).alias("ka")), rows.select(group, F.col(title).alias("tb"), F.col(key).alias("kb"))
     apart = pairs.join(left, [group, "ta"]).join(right, [group, "tb"])
     apart = apart.select(group, F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), F.when(F.col("ka") < F.col("kb"), F.col("ab")).otherwise(F.col("ba")).alias("similarity")).where(F.col("similarity") >= least)
@@ -65,6 +60,31 @@ def duplicate_pairs(rows: DataFrame, least: float = DUPLICATE, group: str = "cou
     return apart.unionByName(same)
 
 
+def similar_titles(rows: DataFrame, least: float = DUPLICATE, group: str = "course_id", title: str = "title", exact: bool = True) -> DataFrame:
+    """(group, ta, tb, ab, ba) of distinct titles of a group, ta < tb, that are similar in one order at least.
+
+    The ratio is not symmetric, so both orders are given.
+    """
+    distinct = rows.select(group, title).distinct().withColumns({"__plain": without_numbers(title), "__letters": letter_counts(title)})
+    a = distinct.select(group, F.col(title).alias("ta"), F.col("__plain").alias("pa"), F.col("__letters").alias("la"))
+    b = distinct.select(group, F.col(title).alias("tb"), F.col("__plain").alias("pb"), F.col("__letters").alias("lb"))
+    pairs = a.join(b, group).where((F.col("ta") < F.col("tb")) & (F.col("pa") != F.col("pb")) & may_reach("ta", "tb", least))
+    if exact:
+        pairs = pairs.where(may_share("la", "lb", least))
+    measure = similarity if exact else edit_similarity
+    pairs = pairs.select(group, "ta", "tb").withColumns({"ab": measure("ta", "tb"), "ba": measure("tb", "ta")})
+    return pairs.where((F.col("ab") >= least) | (F.col("ba") >= least))
+
+
+def duplicate_total(rows: DataFrame, least: float = DUPLICATE, group: str = "course_id", title: str = "title", exact: bool = True) -> DataFrame:
+    """(group, duplicates): the number of pairs that ``duplicate_pairs`` gives, from counts of titles where the measure is the same in both orders."""
+    n = rows.groupBy(group, title).agg(F.count("*").alias("n"))
+    same = n.where("n > 1").select(group, (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("k"))
+    apart = similar_titles(rows, least, group, title, exact).where((F.col("ab") >= least) & (F.col("ba") >= least))
+    apart = apart.join(n.select(group, F.col(title).alias("ta"), F.col("n").alias("x")), [group, "ta"]).join(n.select(group, F.col(title).alias("tb"), F.col("n").alias("y")), [group, "tb"])
+    return same.unionByName(apart.select(group, (F.col("x") * F.col("y")).alias("k"))).groupBy(group).agg(F.sum("k").alias("duplicates"))
+
+
 def duplicate_groups(rows: DataFrame, group: str = "course_id", key: str = "pos", title: str = "title") -> DataFrame:
     """Equal titles as (first key, count): the linear form of the pairs of equal titles."""
     return rows.groupBy(group, title).agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1")

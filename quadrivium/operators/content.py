@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..functions.text import absolute_url, contains_any, filled, snippet
+from ..functions.text import absolute_url, contains_any, filled, normalize_chapter, snippet, title_tokens, titles_match
 
 # What makes an item a key item.
 KEY_TITLES = ["syllabus", "schedule", "timeline", "course outline", "course info", "course description", "course overview", "grading", "requirements", "policies"]
@@ -21,7 +21,7 @@ NO_TEXT = "(no text)"
 
 def is_key_item(title: str = "title", kind: str = "content_type", text: str = "extracted_text") -> Column:
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    long = low(kind).isin(*LONG_TYPES) & (F.length(low(text)) > LONG_CHARS)
+    long = low(kind).isin(*LONG_TYPES) & (F.length(F.coalesce(F.col(text), F.lit(""))) > LONG_CHARS)
     return contains_any(low(title), KEY_TITLES) | contains_any(low(kind), KEY_TYPES) | long | contains_any(low(text), KEY_PHRASES)
 
 
@@ -96,6 +96,37 @@ def discovered(links: DataFrame, term: str) -> DataFrame:
     return first.where(F.contains("course_name", F.lit(term)))
 
 
+#: Characters of a piece by which a text that contains another is found.
+PIECE = 4
+
+
+def matched_titles(questions: DataFrame, titles: DataFrame, question: str = "question", title: str = "title") -> DataFrame:
+    """(question, title) of the distinct pairs that ``text.titles_match``, without comparing all with all.
+
+    Candidates share two tokens, or one contains the first ``PIECE`` characters of the other; each is then tested in
+    full.  Titles and questions shorter than that are compared with every other one: there are at most as many as
+    there are texts of so few characters, and they are few in any corpus of titles.
+    """
+    q = questions.select(F.col(question).alias("q")).distinct().withColumn("qn", normalize_chapter(F.lower("q")))
+    t = titles.select(F.col(title).alias("t")).distinct().withColumn("tn", normalize_chapter(F.lower("t")))
+    # Every pair of tokens of one side meets the same pair of the other; a match by tokens has two in common at least.
+    def token_pairs(text: str) -> Column:
+        sorted_ = F.array_sort(title_tokens(text))
+        return F.explode(F.flatten(F.transform(sorted_, lambda a: F.transform(F.filter(sorted_, lambda b: b > a), lambda b: F.concat_ws(" ", a, b)))))
+
+    def pieces(text: str) -> Column:
+        return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (PIECE - 1)), lambda i: F.substring(F.col(text), i, F.lit(PIECE)))))
+
+    long_q, long_t = q.where(F.length("qn") >= PIECE), t.where(F.length("tn") >= PIECE)
+    head = lambda text: F.left(text, F.lit(PIECE)).alias("piece")
+    found = q.select("q", token_pairs("qn").alias("k")).join(t.select("t", token_pairs("tn").alias("k")), "k").select("q", "t")
+    found = found.unionByName(long_q.select("q", pieces("qn").alias("piece")).join(long_t.select("t", head("tn")), "piece").select("q", "t"))
+    found = found.unionByName(long_t.select("t", pieces("tn").alias("piece")).join(long_q.select("q", head("qn")), "piece").select("q", "t"))
+    short_q, short_t = q.where(F.length("qn") < PIECE).select("q"), t.where(F.length("tn") < PIECE).select("t")
+    found = found.distinct().unionByName(short_q.join(t.select("t"))).unionByName(q.select("q").join(short_t)).distinct()
+    return found.where(titles_match("q", "t")).select(F.col("q").alias(question), F.col("t").alias(title))
+
+
 def full_texts(items: DataFrame) -> DataFrame:
     """(course_id, title, text): of a repeated title the last text."""
     titled = items.where(filled("extracted_text").isNotNull()).withColumn("title", F.coalesce(filled("title"), F.lit("(untitled)")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, markdown, text
-from ..operators import audit, deadlines, documents, overrides
+from ..operators import audit, content, deadlines, documents, overrides
 from .tables import table
 
 WINDOW = ("1993-01-01", "1997-12-31")
@@ -145,11 +145,11 @@ def title_scalars(spark, sf_dir):
 
 
 def fuzzy_titles(spark, sf_dir):
-    """Questions with the distinct titles they name. A theta join by nature: its sides are distinct titles, not rows."""
+    """Questions with the distinct titles they name."""
     titles = table(spark, sf_dir, "part").select("p_name").distinct()
     words = F.split("p_name", " ")
     questions = titles.select(F.concat(F.lit("Chapter 7: where is the "), F.array_join(F.reverse(words), " and ")).alias("question"))
-    return titles.join(questions, text.titles_match("question", "p_name")).select("question", "p_name")
+    return content.matched_titles(questions, titles, "question", "p_name")
 
 
 def duplicate_pairs(spark, sf_dir):
@@ -163,6 +163,12 @@ def duplicate_pairs_edit(spark, sf_dir):
     return out.withColumn("similarity", F.round("similarity", 4))
 
 
+def duplicate_totals(spark, sf_dir):
+    """Pairs of similar names of a type's first word, counted without being made."""
+    p = table(spark, sf_dir, "part").withColumn("kind", F.split_part("p_type", F.lit(" "), F.lit(1)))
+    return audit.duplicate_total(p, 70.0, "kind", "p_name", exact=False)
+
+
 def date_category_histogram(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(dates.date_category("text").alias("category"))
     return audit.histogram(rows)
@@ -235,7 +241,7 @@ def audit_confidence(spark, sf_dir):
 QUERIES = {
     "deadlines_bucketed": deadlines_bucketed, "deadline_counts": deadline_counts, "attention_groups": attention_groups, "calendar_events": calendar_events, "override_apply": override_apply, "manual_add_anti": manual_add_anti,
     "course_colors": course_colours, "date_anomaly": date_anomaly, "summaries_parsed": summaries_parsed, "summaries_rewritten": summaries_rewritten, "overrides_block": overrides_block, "override_log": override_log, "purge_expired": purge_expired,
-    "title_slug_index": title_slug_index, "title_scalars": title_scalars, "fuzzy_titles": fuzzy_titles, "duplicate_pairs": duplicate_pairs, "duplicate_pairs_edit": duplicate_pairs_edit, "date_category_histogram": date_category_histogram,
+    "title_slug_index": title_slug_index, "title_scalars": title_scalars, "fuzzy_titles": fuzzy_titles, "duplicate_pairs": duplicate_pairs, "duplicate_pairs_edit": duplicate_pairs_edit, "duplicate_totals": duplicate_totals, "date_category_histogram": date_category_histogram,
     "due_formats": due_formats, "week_dates": week_dates, "router_fail_open": router_fail_open, "audit_missing": audit_missing, "audit_verdict": audit_verdict, "audit_verdict_titles": audit_verdict_titles, "rubric_branches": rubric_branches, "audit_per_course": audit_per_course, "audit_confidence": audit_confidence,
 }
 
@@ -299,6 +305,11 @@ SQL = {
         SELECT a.p_brand, a.p_partkey AS a, b.p_partkey AS b, round(100.0 * (1 - levenshtein(lower(a.p_name), lower(b.p_name)) / greatest(length(a.p_name), length(b.p_name))), 4) AS similarity
         FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
         WHERE 200.0 * least(length(a.p_name), length(b.p_name)) >= 70.0 * (length(a.p_name) + length(b.p_name)) AND 100.0 * (1 - levenshtein(lower(a.p_name), lower(b.p_name)) / greatest(length(a.p_name), length(b.p_name))) >= 70.0""",
+    "duplicate_totals": """
+        WITH t AS (SELECT split_part(p_type, ' ', 1) AS kind, p_name, count(*) AS n FROM part GROUP BY ALL)
+        SELECT a.kind, CAST(sum(CASE WHEN a.p_name = b.p_name THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END) AS BIGINT) AS duplicates FROM t a JOIN t b ON a.kind = b.kind AND a.p_name <= b.p_name
+        WHERE a.p_name = b.p_name OR (200.0 * least(length(a.p_name), length(b.p_name)) >= 70.0 * (length(a.p_name) + length(b.p_name)) AND 100.0 * (1 - levenshtein(lower(a.p_name), lower(b.p_name)) / greatest(length(a.p_name), length(b.p_name))) >= 70.0)
+        GROUP BY a.kind HAVING sum(CASE WHEN a.p_name = b.p_name THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END) > 0""",
     "date_category_histogram": f"""
         WITH c AS (SELECT {_CATEGORY} AS category FROM documents), names AS (SELECT unnest([0, 1, 2, 3, 4, 5]) AS place, unnest({dates.CATEGORIES}) AS category)
         SELECT place, names.category, count(c.category) AS n, {_SHARE} AS share, place < 3 AS parseable FROM names LEFT JOIN c USING (category) GROUP BY ALL""",

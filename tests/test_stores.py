@@ -256,3 +256,14 @@ def test_vision_of_pages():
     text = extraction.seen_text(b"", "pdf", vision, pages)
     assert text.split("\n\n") == [f"page {i}" for i in range(25) if i != 2] and extraction.seen_text(b"7", "image", vision) == "page 7"
     assert extraction.seen_text(b"2", "image", vision) is None
+
+
+def test_matched_titles_as_the_theta_join(spark):
+    from quadrivium.functions.text import titles_match
+
+    qs = ["where is chapter 7 of the essay on ethics", "a", "", "quiz", "the final essay draft", "What about CH 7?", "essay ethics", "un"]
+    ts = ["Chapter 7", "Essay on Ethics", "Quiz 1", "a", "", "Final Draft", "of the", "unit test", "Ethics essay draft final", "un"]
+    q, t = spark.createDataFrame([(x,) for x in qs], "question string"), spark.createDataFrame([(x,) for x in ts], "title string")
+    want = {tuple(r) for r in q.join(t, titles_match("question", "title")).collect()}
+    got = [tuple(r) for r in content.matched_titles(q, t).collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) > 15
