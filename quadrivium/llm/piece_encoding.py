@@ -75,8 +75,8 @@ class PieceEncoder:
         self.shift = len(self.piece).bit_length()
         self.length = [len(p) for p in self.piece]
         # Two generations: a full young one replaces the old one, and what is used again moves back.
-        self.segments: dict[str, array] = {}
-        self.older: dict[str, array] = {}
+        self.segments: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The defining merge loop, used only on the few characters of one or two pieces."""
@@ -172,11 +172,11 @@ class PieceEncoder:
                 at -= 1
         return array("i", out[::-1])
 
-    def fetch(self, piece: str) -> array:
-        """A segment that the young generation does not hold."""
-        ids = self.older.get(piece)
+    def fetch(self, piece: str) -> bytes:
+        """The ids, as bytes, of a segment that the young generation does not hold."""
+        ids = self.segments.get(piece) or self.older.get(piece)
         if ids is None:
-            ids = self.segment(piece)
+            ids = self.segment(piece).tobytes()
         if len(piece) <= CACHED_CHARS:
             if len(self.segments) >= CACHED_SEGMENTS:
                 self.older, self.segments = self.segments, {}
@@ -186,8 +186,8 @@ class PieceEncoder:
     def encode(self, text: str) -> array:
         out = array("i")
         if text:
-            for piece in SEGMENT.findall(SPACE + text.replace(" ", SPACE)):
-                out.extend(self.segments.get(piece) or self.fetch(piece))
+            known, fetch = self.segments.get, self.fetch
+            out.frombytes(b"".join([known(piece) or fetch(piece) for piece in SEGMENT.findall(SPACE + text.replace(" ", SPACE))]))
         out.append(self.end)
         return out
 
