@@ -42,6 +42,8 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
 CACHED_CHARS, CACHED_SEGMENTS, CACHED_PAIRS = 64, 300_000, 200_000
+#: Segments kept in the pipeline.
+STAGE_SEGMENTS = 60_000
 #: Tables of segment beginnings of so many characters are kept too: a prefix's entry does not depend on what follows.
 HEAD_CHARS, CACHED_HEADS = 8, 100_000
 #: Characters of text encoded before a batch of results is passed on.
@@ -52,6 +54,7 @@ class PieceEncoder:
     """Encodes as the library does: identity normaliser, dummy prefix, highest score first, leftmost among equals."""
 
     def __init__(self, path: str):
+        self.cached = CACHED_SEGMENTS
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.end = sp.eos_id()
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -178,7 +181,7 @@ class PieceEncoder:
         if ids is None:
             ids = self.segment(piece).tobytes()
         if len(piece) <= CACHED_CHARS:
-            if len(self.segments) >= CACHED_SEGMENTS:
+            if len(self.segments) >= self.cached:
                 self.older, self.segments = self.segments, {}
             self.segments[piece] = ids
         return ids
@@ -198,10 +201,11 @@ class PieceEncoder:
 _loaded: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One per worker process: the automaton and the caches outlive a batch."""
+def encoder(path: str, cached: int = CACHED_SEGMENTS) -> PieceEncoder:
+    """One per worker process: the automaton and the caches, of ``cached`` segments a generation, outlive a batch."""
     if path not in _loaded:
         _loaded[path] = PieceEncoder(path)
+    _loaded[path].cached = cached
     return _loaded[path]
 
 
@@ -209,13 +213,13 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
-def encode_documents(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None) -> DataFrame:
+def encode_documents(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None, cached: int = CACHED_SEGMENTS) -> DataFrame:
     """(id, ids, decoded): ids with the end id, and the text they decode to."""
     path = path or model_path()
     docs = documents.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
+        own = encoder(path, cached)
         for batch in batches:
             texts = batch.column(1)
             ids, offsets, decoded, first, chars = array("i"), [0], [], 0, 0
@@ -258,5 +262,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: id and text digests of every document kept."""
-    return digests(encode_documents(docs))
+    """Last pipeline stage: id and text digests of every document kept; smaller caches, since its workers also hold what earlier stages left."""
+    return digests(encode_documents(docs, cached=STAGE_SEGMENTS))
