@@ -20,7 +20,13 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Rows of a batch that a Python worker is given; Spark's own 10,000 of long texts take much memory on both sides.
+BATCH_ROWS = "1000"
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in their order; sets the session's rows of an Arrow batch, for the last stage runs after the return."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
