@@ -1,4 +1,4 @@
-"""Training-data operators: ten distributed components and their registered queries.
+"""Training-data operators: thirteen distributed components and their registered queries.
 
 Nothing outside this subpackage (and ``corpus_pipeline.py``) imports it.
 """

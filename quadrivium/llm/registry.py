@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_rotation, decontamination, exact_dedup, ngram_join, piece_encoding, quality, sharding, token_attribution, toxicity, warc
+from . import centroids, chat_rotation, decontamination, exact_dedup, ngram_join, piece_encoding, quality, sharding, signatures, spelling, token_attribution, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_ngram_join": ngram_join.query,
     "op9_sharding": sharding.query,
     "op10_chat_rotation": chat_rotation.query,
+    "op11_centroids": centroids.query,
+    "op12_license_signatures": signatures.query,
+    "op13_spelling_variants": spelling.query,
 }
 SQL = {
     "op2_decontamination": decontamination.SQL,
@@ -23,4 +26,6 @@ SQL = {
     "op8_ngram_join": ngram_join.SQL,
     "op9_sharding": sharding.SQL,
     "op10_chat_rotation": chat_rotation.SQL,
+    "op11_centroids": centroids.SQL,
+    "op13_spelling_variants": spelling.SQL,
 }
