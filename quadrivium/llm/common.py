@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see.
 
     Where none is configured: in local mode a private temporary folder, on a
-    cluster one below the warehouse, never a disk of this machine alone.
+    cluster one below the warehouse; a warehouse on a machine's own disk is an error there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
             root = "file://" + tempfile.mkdtemp(prefix="quadrivium-")
         else:
             root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.checkpoints"
+            if root.partition(":")[0] in ("file", root):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share: the warehouse is on a local disk")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 

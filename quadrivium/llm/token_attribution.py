@@ -23,8 +23,8 @@ import base64
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,31 +109,37 @@ def count_tokens(documents: DataFrame, sections: Callable[[str], tuple[np.ndarra
     path = path or public_tokenizers.path(VOCABULARY)
     docs = documents.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [id_col, "section", "char_start", "char_end", "n_tokens", "doc_tokens"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: list[tuple] = []
-            size = 0
-            for key, text in zip(batch[id_col], batch["text"], strict=True):
+            size = first = 0
+            for row, text in enumerate(batch.column(1)):
+                text = text.as_py()
                 starts, ends = token_spans(text, path)
                 left, right = sections(text)
                 counts, outside = attribute(starts, ends, left, right, rule)
                 number = np.arange(len(left))
                 if outside:
                     number, left, right, counts = np.append(number, -1), np.append(left, 0), np.append(right, len(text)), np.append(counts, outside)
-                parts.append(([key] * len(number), number, left, right, counts, np.full(len(number), len(starts))))
+                parts.append((number, left, right, counts, np.full(len(number), len(starts))))
                 size += len(number)
                 if size >= 50_000:
-                    yield frame(parts)
-                    parts, size = [], 0
+                    yield gathered(batch, first, parts)
+                    parts, size, first = [], 0, row + 1
             if parts:
-                yield frame(parts)
+                yield gathered(batch, first, parts)
 
-    def frame(parts: list[tuple]) -> pd.DataFrame:
-        keys = [k for p in parts for k in p[0]]
-        return pd.DataFrame({id_col: keys} | {name: np.concatenate([p[i + 1] for p in parts]) for i, name in enumerate(("section", "char_start", "char_end", "n_tokens", "doc_tokens"))})
+    def gathered(batch: pa.RecordBatch, first: int, parts: list[tuple]) -> pa.RecordBatch:
+        """Ids are taken from the batch as they are, each as often as its document has sections."""
+        rows = np.repeat(np.arange(first, first + len(parts)), [len(p[0]) for p in parts])
+        columns = [np.concatenate([p[i] for p in parts]) for i in range(5)]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.mapInPandas(run, f"`{id_col}` {kind}, section long, char_start long, char_end long, n_tokens double, doc_tokens long")
+    return docs.mapInArrow(run, f"`{id_col}` {kind}, section long, char_start long, char_end long, n_tokens double, doc_tokens long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +38,11 @@ from .common import delete, materialise, new_path, partitions, small, table
 CHUNK = 1 << 20
 FILE_BYTES = 64 << 20
 LEVEL = 6
+#: What a reader gathers before it hands rows on.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
+MANIFEST = pa.schema([("path", pa.string()), ("records", pa.int64())])
+NORMALISED = pa.schema([("path", pa.string()), ("index", pa.string()), ("records", pa.int64())])
+RECORD = [("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -170,16 +175,16 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
     """Write one-stream gzip archives of up to about ``FILE_BYTES`` of text each; manifest (path, records)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = store(folder)
         out, done = None, []
         for batch in batches:
-            for page_id, url, html, refers_to in zip(batch["page_id"], batch["url"], batch["html"], batch["refers_to"], strict=True):
+            for page_id, url, html, refers_to in _rows(batch):
                 if out is None:
                     system.create_dir(base, recursive=True)
                     name, n, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out, gz = system.open_output_stream(f"{base}/{name}", compression=None), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                data = record(None if pd.isna(page_id) else int(page_id), url, html.encode("utf-8"), None if pd.isna(refers_to) else int(refers_to))
+                data = record(page_id, url, html.encode("utf-8"), refers_to)
                 out.write(gz.compress(data))
                 n, size = n + 1, size + len(data)
                 if size >= FILE_BYTES:
@@ -191,18 +196,18 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
             out.write(gz.flush())
             out.close()
             done.append((f"{folder}/{name}", n))
-        yield pd.DataFrame(done, columns=["path", "records"])
+        yield _batch(done, MANIFEST)
 
-    return materialise(records.mapInPandas(run, "path string, records long"), "manifest")
+    return materialise(records.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, records long"), "manifest")
 
 
 def normalise_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """Normalise every file of the manifest; (path, index, records) of the new archives."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = store(folder)
         for batch in batches:
-            for path, records in zip(batch["path"], batch["records"], strict=True):
+            for path, records in _rows(batch):
                 system.create_dir(base, recursive=True)
                 name = uuid.uuid4().hex
                 from_system, from_path = store(path)
@@ -210,30 +215,55 @@ def normalise_archives(manifest: DataFrame, folder: str) -> DataFrame:
                     n = normalise_file(source, archive, index)
                 if n != records:
                     raise ValueError(f"{path}: {n} records, {records} expected")
-                yield pd.DataFrame({"path": [f"{folder}/{name}.warc.gz"], "index": [f"{folder}/{name}.idx"], "records": [n]})
+                yield _batch([(f"{folder}/{name}.warc.gz", f"{folder}/{name}.idx", n)], NORMALISED)
 
-    return materialise(_spread(manifest).mapInPandas(run, "path string, index string, records long"), "normalised")
+    return materialise(_spread(manifest).mapInArrow(run, "path string, index string, records long"), "normalised")
 
 
 def read_archives(normalised: DataFrame, payloads: bool = False) -> DataFrame:
-    """Every record of the archives, found through the sidecar indexes."""
+    """Every record of the archives, found through the sidecar indexes; with ``payloads`` a batch ends at ``BATCH_BYTES`` of them."""
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
+    fields = pa.schema([*RECORD, *([("payload", pa.binary())] * payloads)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, index in zip(batch["path"], batch["index"], strict=True):
-                system, at = store(index)
-                with system.open_input_stream(at, compression=None) as lines:
-                    entries = [json.loads(x) for x in lines.read().splitlines()]
+            for path, index, _ in _rows(batch):
+                rows, held = [], 0
+                index_system, index_at = store(index)
                 system, at = store(path)
                 with system.open_input_file(at) as archive:
-                    for first in range(0, len(entries), 500):
-                        rows = [read_member(archive.read_at(e["length"], e["offset"])) for e in entries[first : first + 500]]
-                        frame = pd.DataFrame(rows)
-                        frame["page_id"], frame["refers_to"] = frame["page_id"].astype("Int64"), frame["refers_to"].astype("Int64")
-                        yield frame if payloads else frame.drop(columns="payload")
-
-    return _spread(normalised).mapInPandas(run, schema)
+                    for entry in _lines(index_system, index_at):
+                        row = read_member(archive.read_at(entry["length"], entry["offset"]))
+                        payload = row.pop("payload")  # checked against its digest; kept only where asked for
+                        rows.append((*row.values(), payload) if payloads else tuple(row.values()))
+                        held += len(payload or b"") if payloads else 0
+                        if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                            yield _batch(rows, fields)
+                            rows, held = [], 0
+                if rows:
+                    yield _batch(rows, fields)
+
+    return _spread(normalised.select("path", "index", "records")).mapInArrow(run, schema)
+
+
+def _lines(system, path: str) -> Iterator[dict]:
+    """The entries of an index, a piece of the file at a time."""
+    rest = b""
+    with system.open_input_stream(path, compression=None) as source:
+        while piece := source.read(CHUNK):
+            *whole, rest = (rest + piece).split(b"\n")
+            yield from map(json.loads, whole)
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of plain Python values: ids stay whole numbers, which nullable columns of pandas do not keep."""
+    for row in zip(*batch.columns, strict=True):
+        yield tuple(x.as_py() for x in row)
+
+
+def _batch(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, fields, strict=True)], schema=fields)
 
 
 def _spread(files: DataFrame) -> DataFrame:

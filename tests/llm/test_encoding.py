@@ -107,3 +107,11 @@ def test_count_tokens(spark, edges, nothing):
         ta.count_tokens(edges, rule="none")
     shared = ta.count_tokens(edges.where("doc_id = 8"), sections=lambda t: (np.array([0]), np.array([3])), rule="share").collect()
     assert sum(r.n_tokens for r in shared) == pytest.approx(shared[0].doc_tokens) and {r.section for r in shared} == {0, -1}
+
+
+@pytest.mark.parametrize("more", [[], [(None, "no id\nat all")]])
+def test_token_counts_keep_large_ids(spark, more):
+    rows = [(2**53 + 1, "a b\nc"), (2**53 + 3, ""), (2**63 - 1, None)] + more
+    got = ta.count_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted({r.doc_id for r in got}, key=lambda x: (x is None, x or 0)) == [r[0] for r in rows]
+    assert [(r.section, r.char_start, r.char_end) for r in got if r.doc_id == 2**53 + 1] == [(0, 0, 4), (1, 4, 5)]

@@ -118,6 +118,25 @@ def test_round_trip(spark):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("more", [[], [(None, None, "none")]])
+def test_warc_keeps_large_ids(spark, more):
+    """Ids that doubles cannot hold, with and without a null id in the batch."""
+    big = 2**53
+    rows = [(big + 1, "u", "same"), (big + 3, None, "same"), (big + 5, "u", "other"), (-(2**63), "u", ""), (2**63 - 1, "u", "")]
+    got = {r.page_id: r for r in warc.round_trip(spark.createDataFrame(rows + more, "page_id long, url string, html string").coalesce(1), payloads=True).collect()}
+    assert set(got) == {r[0] for r in rows + more}
+    assert got[big + 1].refers_to is None and got[big + 3].refers_to == big + 1 and got[2**63 - 1].refers_to == -(2**63)
+    assert got[big + 5].payload == b"other" and got[big + 3].payload is None
+
+
+def test_warc_reader_is_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BATCH_BYTES", 1)
+    monkeypatch.setattr(warc, "CHUNK", 7)
+    rows = [(i, "u", f"page {i}") for i in range(30)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), payloads=True).collect()
+    assert {(r.page_id, r.payload.decode()) for r in got} == {(i, f"page {i}") for i in range(30)}
+
+
 def test_store_names(monkeypatch):
     seen = []
     monkeypatch.setattr(warc, "fs", SimpleNamespace(FileSystem=SimpleNamespace(from_uri=seen.append)))
