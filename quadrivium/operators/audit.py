@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..functions.similarity import DUPLICATE, edit_similarity, letter_counts, may_reach, may_share, similarity
-from ..functions.text import filled, percent, without_numbers
+from ..functions.similarity import DUPLICATE
+from ..functions.text import filled, percent
+from .similar import similar_titles, title_classes
 
 LOW_COUNT = 5
 FIELDS = ["title", "course_id", "due_date_raw", "due_date_resolved", "assignment_type", "point_value", "source_link", "confidence"]
@@ -45,10 +46,10 @@ def missing(rows: DataFrame, fields: list[str] | None = None, critical: list[str
 def duplicate_pairs(rows: DataFrame, least: float = DUPLICATE, group: str = "course_id", key: str = "pos", title: str = "title", exact: bool = True) -> DataFrame:
     """(group, a, b, similarity) of similar titles of a group, a before b; numbered series are no duplicates.
 
-    Distinct titles of a group are compared, whatever their number of rows; bounds
-    by length and by letter counts prune exactly before the similarity is
-    computed.  Only then do titles expand to rows: the output is every pair of
-    rows, as many as there are; ``duplicate_total`` counts them without making them.
+    Distinct titles are compared (``similar.similar_titles``), whatever their number
+    of rows.  Only then do titles expand to rows: the output is every pair of rows, as
+    many as there are; ``similar.title_classes`` gives each pair of titles once, with
+    its number of rows, and ``duplicate_total`` counts the pairs without making them.
     """
     pairs = similar_titles(rows, least, group, title, exact)
     distinct = rows.groupBy(group, title).agg(F.count("*").alias("n"))
@@ -60,29 +61,9 @@ def duplicate_pairs(rows: DataFrame, least: float = DUPLICATE, group: str = "cou
     return apart.unionByName(same)
 
 
-def similar_titles(rows: DataFrame, least: float = DUPLICATE, group: str = "course_id", title: str = "title", exact: bool = True) -> DataFrame:
-    """(group, ta, tb, ab, ba) of distinct titles of a group, ta < tb, that are similar in one order at least.
-
-    The ratio is not symmetric, so both orders are given.
-    """
-    distinct = rows.select(group, title).distinct().withColumns({"__plain": without_numbers(title), "__letters": letter_counts(title)})
-    a = distinct.select(group, F.col(title).alias("ta"), F.col("__plain").alias("pa"), F.col("__letters").alias("la"))
-    b = distinct.select(group, F.col(title).alias("tb"), F.col("__plain").alias("pb"), F.col("__letters").alias("lb"))
-    pairs = a.join(b, group).where((F.col("ta") < F.col("tb")) & (F.col("pa") != F.col("pb")) & may_reach("ta", "tb", least))
-    if exact:
-        pairs = pairs.where(may_share("la", "lb", least))
-    measure = similarity if exact else edit_similarity
-    pairs = pairs.select(group, "ta", "tb").withColumns({"ab": measure("ta", "tb"), "ba": measure("tb", "ta")})
-    return pairs.where((F.col("ab") >= least) | (F.col("ba") >= least))
-
-
-def duplicate_total(rows: DataFrame, least: float = DUPLICATE, group: str = "course_id", title: str = "title", exact: bool = True) -> DataFrame:
-    """(group, duplicates): the number of pairs that ``duplicate_pairs`` gives, from counts of titles where the measure is the same in both orders."""
-    n = rows.groupBy(group, title).agg(F.count("*").alias("n"))
-    same = n.where("n > 1").select(group, (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("k"))
-    apart = similar_titles(rows, least, group, title, exact).where((F.col("ab") >= least) & (F.col("ba") >= least))
-    apart = apart.join(n.select(group, F.col(title).alias("ta"), F.col("n").alias("x")), [group, "ta"]).join(n.select(group, F.col(title).alias("tb"), F.col("n").alias("y")), [group, "tb"])
-    return same.unionByName(apart.select(group, (F.col("x") * F.col("y")).alias("k"))).groupBy(group).agg(F.sum("k").alias("duplicates"))
+def duplicate_total(rows: DataFrame, least: float = DUPLICATE, group: str = "course_id", key: str = "pos", title: str = "title", exact: bool = True) -> DataFrame:
+    """(group, duplicates): the number of pairs that ``duplicate_pairs`` gives, without making them."""
+    return title_classes(rows, least, group, key, title, exact).groupBy(group).agg(F.sum("pairs").alias("duplicates")).where("duplicates > 0")
 
 
 def duplicate_groups(rows: DataFrame, group: str = "course_id", key: str = "pos", title: str = "title") -> DataFrame:
@@ -107,11 +88,11 @@ def verdict(total: int, parseable: int, critical_missing: int, duplicates: int)
     return "GREEN" if share >= 80 and not critical_missing and not duplicates else "YELLOW" if share >= 60 else "RED"
 
 
-def verdict_of(hist: DataFrame, gaps: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row: share of parseable dates, critical gaps, duplicates and the verdict."""
+def verdict_of(hist: DataFrame, gaps: DataFrame, totals: DataFrame) -> DataFrame:
+    """One row: share of parseable dates, critical gaps, duplicates (of ``duplicate_total``) and the verdict."""
     h = hist.agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("parseable"), F.col("n"))), F.lit(0)).alias("parseable"))
     g = gaps.agg(F.coalesce(F.sum(F.when(F.col("critical"), F.col("n"))), F.lit(0)).alias("gaps"))
-    d = pairs.agg(F.count("*").alias("duplicates"))
+    d = totals.agg(F.coalesce(F.sum("duplicates"), F.lit(0)).alias("duplicates"))
     share = F.when(F.col("total") > 0, 100.0 * F.col("parseable") / F.nullif(F.col("total"), F.lit(0))).otherwise(0.0)
     return h.join(F.broadcast(g)).join(F.broadcast(d)).select("total", "parseable", "gaps", "duplicates", F.when((share >= 80) & (F.col("gaps") == 0) & (F.col("duplicates") == 0), "GREEN").when(share >= 60, "YELLOW").otherwise("RED").alias("verdict"))
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered
 from ..functions import dates
 from ..functions.text import absolute_url, contains_any, filled, normalize_chapter, snippet, title_tokens, titles_match
+from ..sources.shared import written
 
 # What makes an item a key item.
 KEY_TITLES = ["syllabus", "schedule", "timeline", "course outline", "course info", "course description", "course overview", "grading", "requirements", "policies"]
@@ -61,20 +65,20 @@ def assessment_text(due: str, attempts: str, description: str) -> Column:
     return filled(F.concat_ws("\n", filled(due), filled(attempts), filled(description)))
 
 
-def carried_containers(items: DataFrame, course: str = "course_id", pos: str = "pos", title: str = "title", is_container: str = "is_container", is_nested: str = "is_nested", parent: str = "parent_container") -> DataFrame:
+def carried_containers(items: DataFrame, course: str = "course_id", pos: str = "pos", title: str = "title", is_container: str = "is_container", is_nested: str = "is_nested", parent: str = "parent_container", width: int = ordered.SEGMENT) -> DataFrame:
     """Adds ``container_name``: the own parent, else the last container before the row.
 
     A container sets the current one; a row without a parent of its own that
     is not nested takes the current one and ends it.  Rows without a title are
-    dropped first.  Containers keep only their own parent.
+    dropped first.  Containers keep only their own parent.  ``pos`` is a whole
+    number; a course is spread over segments of ``width`` places.
     """
     own = filled(parent)
     rows = items.where(filled(title).isNotNull())
     ends = ~F.col(is_container) & own.isNull() & ~F.coalesce(F.col(is_nested), F.lit(False))
     event = F.when(F.col(is_container), F.struct(F.col(title).alias("name"))).when(ends, F.struct(F.lit(None).cast("string").alias("name")))
-    before = Window.partitionBy(course).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    current = F.last(event, ignorenulls=True).over(before)["name"]
-    return rows.withColumn("container_name", F.when(F.col(is_container), own).otherwise(F.coalesce(own, current)))
+    rows = ordered.carried(rows, [course], pos, event, "__current", width)
+    return rows.withColumn("container_name", F.when(F.col(is_container), own).otherwise(F.coalesce(own, F.col("__current.name")))).drop("__current")
 
 
 def emitted(items: DataFrame, is_container: str = "is_container") -> DataFrame:
@@ -96,6 +100,33 @@ def discovered(links: DataFrame, term: str) -> DataFrame:
     return first.where(F.contains("course_name", F.lit(term)))
 
 
+def nearest_containers(items: DataFrame, key: str = "content_id", parent: str = "parent_id", is_container: str = "is_container", title: str = "title", max_depth: int = 64) -> DataFrame:
+    """(key, container_id, container_name, state): of every item the nearest ancestor that is a container.
+
+    ``state``: ``found``; ``top``, where the way up ends without one, at an item without parent or one that is not
+    there; ``cycle``, where it comes back to itself or is longer than about ``max_depth`` (the next power of two).
+    Pointer doubling: each round every item that is still on its way takes over how far its present ancestor has come,
+    so the rounds are the logarithm of the depth.  An ancestor that is a container, or has no parent, is where a way ends.  Keys tell items apart; rows of
+    a key given twice are one, the least.
+    """
+    first = items.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(F.struct(F.col(parent).alias("up"), F.coalesce(F.col(is_container), F.lit(False)).alias("box"), F.col(title).alias("name"))).alias("r"))
+    nodes = written(first.select("key", "r.up", "r.box", "r.name"), "containers")
+    # ``to``: the ancestor that an item has reached; ``over``: whether the way ends there.
+    above = nodes.select(F.col("key").alias("up"), F.col("box").alias("__box"))
+    ways = written(nodes.join(above, "up", "left").select("key", F.col("up").alias("to"), F.coalesce("__box", F.lit(True)).alias("over")), "ways")
+    for _ in range(max(1, math.ceil(math.log2(max_depth)))):
+        if ways.where("not over").isEmpty():
+            break
+        known = ways.select(F.col("key").alias("__at"), F.col("to").alias("__to"), F.col("over").alias("__over"))
+        going = ways.where("not over").join(known, F.col("to") == F.col("__at")).select("key", F.col("__to").alias("to"), F.col("__over").alias("over"))
+        ways = written(ways.where("over").unionByName(going), "ways")
+    boxes = nodes.where("box").select(F.col("key").alias("to"), F.col("name").alias("container_name"))
+    found = ways.join(boxes.withColumn("__found", F.lit(True)), "to", "left")
+    state = F.when(~F.col("over"), "cycle").when(F.col("__found"), "found").otherwise("top")
+    there = state == "found"
+    return found.select(F.col("key").alias(key), F.when(there, F.col("to")).alias("container_id"), F.when(there, F.col("container_name")).alias("container_name"), state.alias("state"))
+
+
 #: Characters of a piece by which a text that contains another is found.
 PIECE = 4
 
@@ -103,28 +134,54 @@ PIECE = 4
 def matched_titles(questions: DataFrame, titles: DataFrame, question: str = "question", title: str = "title") -> DataFrame:
     """(question, title) of the distinct pairs that ``text.titles_match``, without comparing all with all.
 
-    Candidates share two tokens, or one contains the first ``PIECE`` characters of the other; each is then tested in
-    full.  Titles and questions shorter than that are compared with every other one: there are at most as many as
-    there are texts of so few characters, and they are few in any corpus of titles.
+    A text that another contains posts one piece of ``PIECE`` characters, the rarest it has over all texts; those that
+    may contain it look up all of theirs.  A text too short for a piece is looked up whole among the short substrings,
+    which finds matches and nothing else.  By tokens a title needs ``o`` of its ``n`` (two at least), so two of its
+    ``n - o + 2`` rarest: it posts the pairs of those, and questions look up their pairs.  Candidates are then tested in
+    full.  The empty text is contained in every text, so it is paired with all.
     """
-    q = questions.select(F.col(question).alias("q")).distinct().withColumn("qn", normalize_chapter(F.lower("q")))
-    t = titles.select(F.col(title).alias("t")).distinct().withColumn("tn", normalize_chapter(F.lower("t")))
-    # Every pair of tokens of one side meets the same pair of the other; a match by tokens has two in common at least.
-    def token_pairs(text: str) -> Column:
-        sorted_ = F.array_sort(title_tokens(text))
-        return F.explode(F.flatten(F.transform(sorted_, lambda a: F.transform(F.filter(sorted_, lambda b: b > a), lambda b: F.concat_ws(" ", a, b)))))
-
-    def pieces(text: str) -> Column:
-        return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (PIECE - 1)), lambda i: F.substring(F.col(text), i, F.lit(PIECE)))))
-
-    long_q, long_t = q.where(F.length("qn") >= PIECE), t.where(F.length("tn") >= PIECE)
-    head = lambda text: F.left(text, F.lit(PIECE)).alias("piece")
-    found = q.select("q", token_pairs("qn").alias("k")).join(t.select("t", token_pairs("tn").alias("k")), "k").select("q", "t")
-    found = found.unionByName(long_q.select("q", pieces("qn").alias("piece")).join(long_t.select("t", head("tn")), "piece").select("q", "t"))
-    found = found.unionByName(long_t.select("t", pieces("tn").alias("piece")).join(long_q.select("q", head("qn")), "piece").select("q", "t"))
-    short_q, short_t = q.where(F.length("qn") < PIECE).select("q"), t.where(F.length("tn") < PIECE).select("t")
-    found = found.distinct().unionByName(short_q.join(t.select("t"))).unionByName(q.select("q").join(short_t)).distinct()
-    return found.where(titles_match("q", "t")).select(F.col("q").alias(question), F.col("t").alias(title))
+    q = written(questions.select(F.col(question).alias("q")).where("q is not null").distinct().withColumn("n", normalize_chapter(F.lower("q"))), "questions")
+    t = written(titles.select(F.col(title).alias("t")).where("t is not null").distinct().withColumn("n", normalize_chapter(F.lower("t"))), "titles")
+    found = _by_tokens(q, t).unionByName(_contained(t, "t", q, "q").select("q", "t")).unionByName(_contained(q, "q", t, "t").select("q", "t")).distinct()
+    tested = found.where(titles_match("q", "t"))
+    # One empty text a side at most; what it is paired with is the result, a row each.
+    no_q, no_t = q.where("n = ''").select("q"), t.where("n = ''").select("t")
+    empty = no_q.withColumn("k", F.lit(0)).join(t.select("t", F.lit(0).alias("k")), "k").select("q", "t").unionByName(q.select("q", F.lit(0).alias("k")).join(no_t.withColumn("k", F.lit(0)), "k").select("q", "t"))
+    return tested.unionByName(empty).distinct().select(F.col("q").alias(question), F.col("t").alias(title))
+
+
+def _pieces(text: str, length: int) -> Column:
+    """The distinct substrings of a length; none of a shorter text."""
+    places = F.when(F.length(text) >= length, F.sequence(F.lit(1), F.length(text) - (length - 1))).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(F.col(text), i, F.lit(length))))
+
+
+def _contained(inner: DataFrame, own: str, outer: DataFrame, other: str) -> DataFrame:
+    """(own, other): pairs of which the first may be a substring of the second; all that are, empty ones left out."""
+    pieces = inner.select(own, F.explode(_pieces("n", PIECE)).alias("piece"))
+    held = outer.select(other, F.explode(_pieces("n", PIECE)).alias("piece"))
+    often = held.groupBy("piece").agg(F.count("*").alias("df"))
+    # A piece that no text of the other side has is the rarest: its text is in none, and meets none.
+    rarest = pieces.join(often, "piece", "left").groupBy(own).agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "piece"))["piece"].alias("piece"))
+    long = rarest.join(held, "piece").select(own, other)
+    short = inner.where((F.length("n") > 0) & (F.length("n") < PIECE)).select(own, F.col("n").alias("piece"))
+    whole = outer.select(other, F.explode(F.array_distinct(F.flatten(F.array(*[_pieces("n", k) for k in range(1, PIECE)])))).alias("piece"))
+    return long.unionByName(short.join(whole, "piece").select(own, other))
+
+
+def _by_tokens(q: DataFrame, t: DataFrame) -> DataFrame:
+    """(q, t) that share two of the title's rarest tokens."""
+    asked = q.select("q", title_tokens("n").alias("tokens"))
+    named = t.select("t", F.posexplode(title_tokens("n")).alias("__", "token")).drop("__")
+    often = asked.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    ordered_ = named.join(often, "token", "left").groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))), lambda x: x["token"]).alias("tokens"))
+    n = F.size("tokens")
+    posted = F.slice("tokens", F.lit(1), n - F.greatest(F.lit(2), F.floor(n / 2).cast("int")) + 2)
+
+    def pairs(tokens: Column) -> Column:
+        return F.explode(F.flatten(F.transform(tokens, lambda a: F.transform(F.filter(tokens, lambda b: b > a), lambda b: F.concat_ws(" ", a, b)))))
+
+    return asked.select("q", pairs(F.array_sort("tokens")).alias("k")).join(ordered_.where("size(tokens) > 1").select("t", pairs(F.array_sort(posted)).alias("k")), "k").select("q", "t")
 
 
 def full_texts(items: DataFrame) -> DataFrame:

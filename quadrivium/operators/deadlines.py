@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, markdown
-from ..functions.text import blank, course_of_id, filled, item_id, slugify, strip
+from ..functions.text import blank, course_of_id, filled, slugify, strip
+from . import ordered
 from . import overrides as o
 
 # Palette of course colours.
@@ -14,10 +15,13 @@ COLOURS = ["#2563eb", "#16a34a", "#dc2626", "#ea580c", "#9333ea", "#0891b2"]
 LEAST, LEAST_TALK, TALK = 3, 4, ("discussion", "participation")
 
 
-def with_ids(rows: DataFrame, course: str = "course_id", title: str = "title", pos: str = "pos") -> DataFrame:
-    """Adds ``id``: course, slug and how many earlier titles of the course have that slug."""
-    earlier = Window.partitionBy(course, "__slug").orderBy(pos)
-    return rows.withColumn("__slug", slugify(title)).withColumn("id", item_id(course, title, F.row_number().over(earlier) - 1)).drop("__slug")
+def with_ids(rows: DataFrame, course: str = "course_id", title: str = "title", pos: str = "pos", width: int = ordered.SEGMENT) -> DataFrame:
+    """Adds ``id``: course, slug and how many earlier titles of the course have that slug.
+
+    ``pos`` is a whole number; a title that very many rows have is counted in segments of ``width`` places.
+    """
+    counted = ordered.numbered(rows.withColumn("__slug", slugify(title)), [course, "__slug"], pos, "__earlier", width=width)
+    return counted.withColumn("id", F.concat_ws("__", F.col(course), "__slug", F.col("__earlier").cast("string"))).drop("__slug", "__earlier")
 
 
 def extracted(assignments: DataFrame) -> DataFrame:
@@ -110,12 +114,17 @@ def resolved_dates(deadlines: DataFrame) -> DataFrame:
 def anomalies(rows: DataFrame, start: Column, end: Column, key: str = "id", group: str = "course_id", due: str = "due") -> DataFrame:
     """(key, outside, gap_days, outlier) of dated rows.
 
-    ``gap_days``: to the nearest other date of the group, by looking one place
-    back and ahead in date order; an outlier is over 21 days from it where the
-    group has two other dates at least.
+    ``gap_days``: to the nearest other date of the group; an outlier is over 21
+    days from it where the group has two other dates at least.  Rows are counted
+    by date first, so what a window orders is a group's distinct dates, which the
+    calendar bounds, however many rows it has; every row then looks up its date.
     """
-    order = Window.partitionBy(group).orderBy(due, key)
+    dated = rows.where(F.col(due).isNotNull())
+    days = dated.groupBy(group, due).agg(F.count("*").alias("__on_day"))
+    order, whole = Window.partitionBy(group).orderBy(due), Window.partitionBy(group)
     back, ahead = F.datediff(F.col(due), F.lag(due).over(order)), F.datediff(F.lead(due).over(order), F.col(due))
-    dated = rows.where(F.col(due).isNotNull()).withColumn("gap_days", F.least(back, ahead)).withColumn("__n", F.count("*").over(Window.partitionBy(group)))
+    gap = F.when(F.col("__on_day") > 1, 0).otherwise(F.least(back, ahead))
+    known = days.select(F.col(group).alias("__group"), F.col(due).alias("__due"), gap.alias("gap_days"), F.sum("__on_day").over(whole).alias("__n"))
     outside = (F.col(due) < F.date_sub(start, dates.DAYS_BEFORE)) | (F.col(due) > F.date_add(end, dates.DAYS_AFTER))
-    return dated.select(key, outside.alias("outside"), "gap_days", ((F.col("__n") > 2) & (F.col("gap_days") > dates.OUTLIER_DAYS)).alias("outlier"))
+    found = dated.join(known, F.col(group).eqNullSafe(F.col("__group")) & (F.col(due) == F.col("__due")))
+    return found.select(key, outside.alias("outside"), "gap_days", ((F.col("__n") > 2) & (F.col("gap_days") > dates.OUTLIER_DAYS)).alias("outlier"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import filled, strip
+from . import ordered
 
 EDITABLE = ("title", "due_date_resolved", "type", "notes")
 EDITS = "array<struct<field: string, value: string>>"
@@ -46,37 +47,40 @@ def known_ids(ids: DataFrame, deadlines: DataFrame, overrides: DataFrame) -> Dat
     return ids.join(found, "id", "left_semi")
 
 
-def fold(log: DataFrame) -> DataFrame:
+def fold(log: DataFrame, width: int = ordered.SEGMENT) -> DataFrame:
     """State of every entry after a log of (seq, id, op, field, value, at).
 
-    ops: set (field), dismiss / undismiss, manual, clear (field or, with null, the entry).
-    A cleared field removes an entry left without edits unless it is dismissed,
-    even a manual one; what follows starts anew.  Removal depends on the state
-    reached, so each id's log is folded in order by one aggregate over its own
-    events, which users make by hand and which are few.
+    ops: set (field), dismiss / undismiss, manual, clear (field or, with null, the entry); ``seq``, a whole number,
+    orders the events of an id, and other columns those of equal ``seq``.  A cleared field removes an entry left
+    without edits unless it is dismissed, even a manual one; what follows starts anew.
+
+    The state is not carried from event to event.  Whether a field has an edit depends on that field's events alone,
+    and so does dismissal: a removal happens only where none of them is left.  So each of these parts says at which
+    events it comes and goes; a running count of the parts that are there gives the clear events that remove the
+    entry; and the state is what came after the last of them.  All of it is aggregations and counts in segments of a
+    log (``ordered``), so that one entry may have any number of events.
     """
-    event = F.struct("seq", "op", "field", "value", "at")
-    events = log.groupBy("id").agg(F.array_sort(F.collect_list(event)).alias("events"))
-    blank = F.struct(F.lit(False).alias("there"), F.array().cast(EDITS).alias("edits"), F.lit(False).alias("dismissed"), F.lit(None).cast("string").alias("edited_at"), F.lit(False).alias("manual_add"))
-
-    def step(s: Column, e: Column) -> Column:
-        rest = F.filter(s["edits"], lambda x: x["field"] != e["field"])
-        same = F.exists(s["edits"], lambda x: x["field"] == e["field"])
-        new = F.struct(e["field"].alias("field"), e["value"].alias("value"))
-        put = F.when(same, F.transform(s["edits"], lambda x: F.when(x["field"] == e["field"], new).otherwise(x))).otherwise(F.array_append(s["edits"], new))
-        state = lambda **c: F.struct(*[(c.get(n, s[n])).alias(n) for n in ("there", "edits", "dismissed", "edited_at", "manual_add")])
-        on = {"there": F.lit(True), "edited_at": e["at"]}
-        gone = e["field"].isNull() | ((F.size(rest) == 0) & ~s["dismissed"])
-        return (
-            F.when(e["op"] == "set", state(edits=put.cast(EDITS), **on))
-            .when(e["op"] == "dismiss", state(dismissed=F.lit(True), **on)).when(e["op"] == "undismiss", state(dismissed=F.lit(False), **on))
-            .when(e["op"] == "manual", state(manual_add=F.lit(True), **on))
-            .when((e["op"] == "clear") & s["there"], F.when(gone, blank).otherwise(state(edits=rest)))
-            .otherwise(s)
-        )
-
-    done = events.select("id", F.aggregate("events", blank, step).alias("s"))
-    return done.where("s.there").select("id", "s.edits", "s.dismissed", "s.edited_at", "s.manual_add")
+    order = F.struct("seq", "op", "field", "value", "at")
+    events = log.select("id", "seq", "op", "field", "value", "at", order.alias("o"))
+    wiped = events.where("op = 'clear' and field is null").groupBy("id").agg(F.max("o").alias("__wiped"))
+    events = events.join(wiped, "id", "left").where("__wiped is null or o > __wiped").drop("__wiped")
+
+    # A part is a field, or the dismissal; an event turns it on or off.
+    part = F.when(F.col("op").isin("set", "clear"), F.concat(F.lit("."), F.col("field"))).when(F.col("op").isin("dismiss", "undismiss"), "dismissed")
+    turned = events.withColumns({"part": part, "on": F.col("op").isin("set", "dismiss")})
+    acts = turned.where("part is not null")
+    before = ordered.carried_by(acts, ["id", "part"], "seq", "o", F.col("on"), "__was", width)
+    step = before.withColumn("step", F.col("on").cast("int") - F.coalesce("__was", F.lit(False)).cast("int"))
+    there = ordered.running(step, ["id"], "seq", F.col("step"), "parts", ["o"], width)
+    removed = there.where("op = 'clear' and parts = 0").groupBy("id").agg(F.max("o").alias("__removed"))
+
+    # Of a part, its last event counts, and where it is on, since when.
+    parts = step.groupBy("id", "part").agg(F.max_by(F.struct("on", "value"), "o").alias("last"), F.max(F.when(F.col("step") == 1, F.col("o"))).alias("since")).where("last.on")
+    edits = F.collect_list(F.when(F.col("part") != "dismissed", F.struct("since", F.substr("part", F.lit(2)).alias("field"), F.col("last.value").alias("value"))))
+    of_parts = parts.groupBy("id").agg(F.transform(F.array_sort(edits), lambda x: F.struct(x["field"].alias("field"), x["value"].alias("value"))).cast(EDITS).alias("edits"), F.bool_or(F.col("part") == "dismissed").alias("dismissed"))
+    live = events.where("op in ('set', 'dismiss', 'undismiss', 'manual')").join(removed, "id", "left").where("__removed is null or o > __removed")
+    entries = live.groupBy("id").agg(F.max_by("at", "o").alias("edited_at"), F.bool_or(F.col("op") == "manual").alias("manual_add"))
+    return entries.join(of_parts, "id", "left").select("id", F.coalesce("edits", F.array().cast(EDITS)).alias("edits"), F.coalesce("dismissed", F.lit(False)).alias("dismissed"), "edited_at", "manual_add")
 
 
 def overrides_block(items: DataFrame, courses: DataFrame) -> DataFrame:

@@ -70,6 +70,65 @@ def append(threads: DataFrame, new: DataFrame, now: str, memory_enabled: bool =
     }).select(*threads.columns)
 
 
+BUCKETS = 64
+
+
+def append_log(heads: DataFrame, log: DataFrame, new: DataFrame, now: str, memory_enabled: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The heads after ``new`` messages (thread_id, seq, role, content, attachments), and the rows to add to the message log.
+
+    The rules of ``append``, on threads whose messages are rows of a log of their own: nothing that is there is read but
+    which of the named threads have a message, and nothing of it is written again, however long a thread is.
+    """
+    if not memory_enabled:
+        return heads, _log_rows(new.limit(0), now)
+    known = new.join(heads.select(F.col("id").alias("thread_id")), "thread_id", "left_semi")
+    first = known.groupBy(F.col("thread_id").alias("id")).agg(F.min_by(F.struct("role", "content"), "seq").alias("__first"))
+    begun = log.join(first.select(F.col("id").alias("thread_id")), "thread_id", "left_semi").select(F.col("thread_id").alias("id")).distinct().withColumn("__begun", F.lit(True))
+    out = heads.join(first.join(begun, "id", "left"), "id", "left")
+    named = F.col("__begun").isNull() & (F.col("title") == NEW_TITLE) & (F.col("__first.role") == "user")
+    after = out.withColumns({"title": F.when(named, auto_title("__first.content")).otherwise(F.col("title")), "updated_at": F.when(F.col("__first").isNotNull(), F.lit(now)).otherwise(F.col("updated_at"))})
+    return after.select(*heads.columns), _log_rows(known, now)
+
+
+def _log_rows(new: DataFrame, now: str) -> DataFrame:
+    """Rows of the message log: ``at`` and ``seq`` are their order in a thread; only user rows keep attachments."""
+    kept = F.when((F.col("role") == "user") & (F.size("attachments") > 0), F.col("attachments"))
+    return new.select("thread_id", F.lit(now).alias("at"), F.col("seq").cast("long").alias("seq"), "role", "content", kept.alias("attachments"))
+
+
+def write_log(rows: DataFrame, path: str) -> None:
+    """Append to a message log that is kept in buckets of threads, so that a thread's messages are read from one of them."""
+    bucket = F.pmod(F.xxhash64("thread_id"), F.lit(BUCKETS)).cast("int")
+    rows.withColumn("bucket", bucket).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def of_thread(log: DataFrame, thread_id: str) -> DataFrame:
+    """The messages of one thread, in order, from its bucket."""
+    bucket = F.pmod(F.xxhash64(F.lit(thread_id)), F.lit(BUCKETS)).cast("int")
+    at = log.sparkSession.range(1).select(bucket).first()[0]
+    return log.where((F.col("bucket") == at) & (F.col("thread_id") == thread_id)).orderBy("at", "seq")
+
+
+def exported(heads: DataFrame, log: DataFrame) -> DataFrame:
+    """Threads with their messages nested: the form of an export, a thread a row."""
+    m = F.struct("at", "seq", F.struct("role", "content", F.col("at").alias("timestamp"), "attachments").alias("m"))
+    nested = log.groupBy(F.col("thread_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(m)), lambda x: x["m"]).alias("__messages"))
+    return heads.join(nested, "id", "left").withColumn("messages", F.coalesce("__messages", "messages")).select(*heads.columns)
+
+
+def with_incognito(messages: DataFrame, turns: DataFrame) -> DataFrame:
+    """Stored messages with the turns of incognito threads, which are in this view and never written.
+
+    ``turns``: (thread_id, pos, role, content) of the session.
+    """
+    return messages.select("thread_id", "pos", "role", "content").withColumn("incognito", F.lit(False)).unionByName(turns.select("thread_id", "pos", "role", "content").withColumn("incognito", F.lit(True)))
+
+
+def settings(changes: DataFrame) -> DataFrame:
+    """(name, value) after a log of (seq, name, value): the last value of every setting."""
+    return changes.groupBy("name").agg(F.max_by("value", "seq").alias("value"))
+
+
 def attachments(messages: DataFrame, current: DataFrame | None = None) -> DataFrame:
     """(thread_id, doc_ids): all attached ids in first-seen order, prior messages before the current ones."""
     rows = messages.select("thread_id", F.lit(0).alias("turn"), "pos", F.posexplode("attachments").alias("at", "a")).select("thread_id", "turn", "pos", "at", F.col("a.doc_id").alias("doc_id"))

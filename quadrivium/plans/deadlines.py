@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, markdown, text
-from ..operators import audit, content, deadlines, documents, overrides
+from ..operators import audit, content, deadlines, documents, overrides, similar
 from .tables import table
 
 WINDOW = ("1993-01-01", "1997-12-31")
@@ -166,7 +166,19 @@ def duplicate_pairs_edit(spark, sf_dir):
 def duplicate_totals(spark, sf_dir):
     """Pairs of similar names of a type's first word, counted without being made."""
     p = table(spark, sf_dir, "part").withColumn("kind", F.split_part("p_type", F.lit(" "), F.lit(1)))
-    return audit.duplicate_total(p, 70.0, "kind", "p_name", exact=False)
+    return audit.duplicate_total(p, 70.0, "kind", "p_partkey", "p_name", exact=False)
+
+
+def similar_title_classes(spark, sf_dir):
+    """Pairs of similar names of a type's first word, each once for all parts that have them."""
+    p = table(spark, sf_dir, "part").withColumn("kind", F.split_part("p_type", F.lit(" "), F.lit(1)))
+    return similar.title_classes(p, 70.0, "kind", "p_partkey", "p_name", exact=False).withColumn("similarity", F.round("similarity", 4))
+
+
+def similar_title_ratios(spark, sf_dir):
+    """The same by the ratio of matched characters, at the level of duplicates."""
+    p = table(spark, sf_dir, "part").withColumn("kind", F.split_part("p_type", F.lit(" "), F.lit(1)))
+    return similar.title_classes(p, group="kind", key="p_partkey", title="p_name")
 
 
 def date_category_histogram(spark, sf_dir):
@@ -215,7 +227,7 @@ def audit_missing(spark, sf_dir):
 def audit_verdict(spark, sf_dir):
     a = assignments(spark, sf_dir).withColumn("category", dates.date_category("due_date_raw"))
     gaps = audit.missing(a, ["title", "course_id", "due_date_raw"], ["title", "course_id", "due_date_raw"])
-    return audit.verdict_of(audit.histogram(a), gaps, audit.duplicate_pairs(a))
+    return audit.verdict_of(audit.histogram(a), gaps, audit.duplicate_total(a))
 
 
 def audit_verdict_titles(spark, sf_dir):
@@ -225,7 +237,7 @@ def audit_verdict_titles(spark, sf_dir):
     a = p.select(F.when(F.col("p_partkey") % 50 == 0, "").otherwise(F.col("p_name")).alias("title"), F.col("p_brand").alias("course_id"), F.col("p_partkey").alias("pos"), raw.alias("due_date_raw"))
     a = a.withColumn("category", dates.date_category("due_date_raw"))
     gaps = audit.missing(a, ["title", "course_id", "due_date_raw"], ["title", "course_id", "due_date_raw"])
-    return audit.verdict_of(audit.histogram(a), gaps, audit.duplicate_pairs(a, least=70.0, exact=False))
+    return audit.verdict_of(audit.histogram(a), gaps, audit.duplicate_total(a, least=70.0, exact=False))
 
 
 def audit_per_course(spark, sf_dir):
@@ -241,7 +253,7 @@ def audit_confidence(spark, sf_dir):
 QUERIES = {
     "deadlines_bucketed": deadlines_bucketed, "deadline_counts": deadline_counts, "attention_groups": attention_groups, "calendar_events": calendar_events, "override_apply": override_apply, "manual_add_anti": manual_add_anti,
     "course_colors": course_colours, "date_anomaly": date_anomaly, "summaries_parsed": summaries_parsed, "summaries_rewritten": summaries_rewritten, "overrides_block": overrides_block, "override_log": override_log, "purge_expired": purge_expired,
-    "title_slug_index": title_slug_index, "title_scalars": title_scalars, "fuzzy_titles": fuzzy_titles, "duplicate_pairs": duplicate_pairs, "duplicate_pairs_edit": duplicate_pairs_edit, "duplicate_totals": duplicate_totals, "date_category_histogram": date_category_histogram,
+    "title_slug_index": title_slug_index, "title_scalars": title_scalars, "fuzzy_titles": fuzzy_titles, "duplicate_pairs": duplicate_pairs, "duplicate_pairs_edit": duplicate_pairs_edit, "duplicate_totals": duplicate_totals, "similar_title_classes": similar_title_classes, "similar_title_ratios": similar_title_ratios, "date_category_histogram": date_category_histogram,
     "due_formats": due_formats, "week_dates": week_dates, "router_fail_open": router_fail_open, "audit_missing": audit_missing, "audit_verdict": audit_verdict, "audit_verdict_titles": audit_verdict_titles, "rubric_branches": rubric_branches, "audit_per_course": audit_per_course, "audit_confidence": audit_confidence,
 }
 
@@ -310,6 +322,10 @@ SQL = {
         SELECT a.kind, CAST(sum(CASE WHEN a.p_name = b.p_name THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END) AS BIGINT) AS duplicates FROM t a JOIN t b ON a.kind = b.kind AND a.p_name <= b.p_name
         WHERE a.p_name = b.p_name OR (200.0 * least(length(a.p_name), length(b.p_name)) >= 70.0 * (length(a.p_name) + length(b.p_name)) AND 100.0 * (1 - levenshtein(lower(a.p_name), lower(b.p_name)) / greatest(length(a.p_name), length(b.p_name))) >= 70.0)
         GROUP BY a.kind HAVING sum(CASE WHEN a.p_name = b.p_name THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END) > 0""",
+    "similar_title_classes": """
+        WITH t AS (SELECT split_part(p_type, ' ', 1) AS kind, p_name, count(*) AS n FROM part GROUP BY ALL),
+        s AS (SELECT a.kind, a.p_name AS ta, b.p_name AS tb, round(CASE WHEN a.p_name = b.p_name THEN 100.0 ELSE 100.0 * (1 - levenshtein(lower(a.p_name), lower(b.p_name)) / greatest(length(a.p_name), length(b.p_name))) END, 4) AS similarity, a.n AS na, b.n AS nb FROM t a JOIN t b ON a.kind = b.kind AND a.p_name <= b.p_name)
+        SELECT kind, ta, tb, similarity, na, nb, CAST(CASE WHEN ta = tb THEN na * (na - 1) // 2 ELSE na * nb END AS BIGINT) AS pairs FROM s WHERE similarity >= 70.0 AND (ta < tb OR na > 1)""",
     "date_category_histogram": f"""
         WITH c AS (SELECT {_CATEGORY} AS category FROM documents), names AS (SELECT unnest([0, 1, 2, 3, 4, 5]) AS place, unnest({dates.CATEGORIES}) AS category)
         SELECT place, names.category, count(c.category) AS n, {_SHARE} AS share, place < 3 AS parseable FROM names LEFT JOIN c USING (category) GROUP BY ALL""",
@@ -317,7 +333,12 @@ SQL = {
     "week_dates": "SELECT o_orderkey, CAST(DATE '2026-01-14' + CAST(7 * (o_orderkey % 15) AS INTEGER) AS VARCHAR) AS due, 3 AS confidence FROM orders",
     "router_fail_open": "SELECT event_id, CASE WHEN event_type IN ('purchase', 'signup') THEN event_type ELSE 'click,purchase,signup' END AS courses FROM events",
     "audit_missing": "SELECT unnest(['text', 'lang', 'source', 'quality', 'toxic']) AS field, unnest([count(*) FILTER (coalesce(text, '') = ''), count(*) FILTER (coalesce(lang, '') = ''), count(*) FILTER (coalesce(source, '') = ''), count(*) FILTER (quality IS NULL), count(*) FILTER (toxic IS NULL)]) AS n, unnest([true, false, true, false, false]) AS critical FROM documents LEFT JOIN labels USING (doc_id)",
-    "audit_verdict": "WITH o AS (SELECT count(*) AS total, count(*) FILTER (o_orderstatus <> 'P') AS parseable FROM orders) SELECT total, parseable, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS duplicates, CASE WHEN 100.0 * parseable / total >= 80 THEN 'GREEN' WHEN 100.0 * parseable / total >= 60 THEN 'YELLOW' ELSE 'RED' END AS verdict FROM o",
+    "audit_verdict": r"""
+        WITH o AS (SELECT o_custkey, o_orderstatus, 'Order ' || o_orderkey AS title FROM orders),
+        t AS (SELECT count(*) AS total, count(*) FILTER (o_orderstatus <> 'P') AS parseable, count(*) FILTER (title IS NULL) + count(*) FILTER (o_custkey IS NULL) + count(*) FILTER (o_orderstatus IS NULL) AS gaps FROM o),
+        n AS (SELECT o_custkey, title, count(*) AS n FROM o GROUP BY ALL),
+        d AS (SELECT (SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM n) + (SELECT count(*) FROM n x JOIN n y ON x.o_custkey = y.o_custkey AND x.title < y.title AND trim(regexp_replace(x.title, '\d+', '', 'g')) <> trim(regexp_replace(y.title, '\d+', '', 'g'))) AS duplicates)
+        SELECT total, parseable, CAST(gaps AS BIGINT) AS gaps, CAST(duplicates AS BIGINT) AS duplicates, CASE WHEN 100.0 * parseable / total >= 80 AND gaps = 0 AND duplicates = 0 THEN 'GREEN' WHEN 100.0 * parseable / total >= 60 THEN 'YELLOW' ELSE 'RED' END AS verdict FROM t, d""",
     "audit_verdict_titles": """
         WITH a AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 50 = 0 THEN '' ELSE p_name END AS t, p_size % 10 AS m FROM part),
         d AS (SELECT count(*) AS duplicates FROM a x JOIN a y ON x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey WHERE x.t = y.t OR (x.t <> '' AND y.t <> '' AND 200.0 * least(length(x.t), length(y.t)) >= 70.0 * (length(x.t) + length(y.t)) AND 100.0 * (1 - levenshtein(lower(x.t), lower(y.t)) / greatest(length(x.t), length(y.t))) >= 70.0)),

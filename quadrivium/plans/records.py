@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, extraction, markdown, text
-from ..operators import content, context, deadlines, documents, overrides, retrieval, threads
+from ..operators import content, context, deadlines, documents, ordered, overrides, retrieval, threads
 from ..sources import readers, schemas, writers
 from . import deadlines as d
 from . import store
@@ -23,36 +23,37 @@ def key(column: str, name: str = "id"):
 
 
 def content_file(spark, sf_dir):
-    """Nations as courses and their customers as items, in one JSON file that is read again with its order."""
+    """Nations as courses and their customers as items: a content store, replaced once and read again with its order."""
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    item = F.struct(F.col("c_custkey").alias("pos"), F.struct(F.col("c_name").alias("title"), F.col("c_mktsegment").alias("content_type"), F.when(F.col("c_acctbal") > 0, F.lit("2026-01-01")).alias("due_date"), F.lit("success").alias("read_status")).alias("item"))
-    courses = c.join(n, c.c_nationkey == n.n_nationkey).groupBy("n_nationkey", "n_name").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["item"]).alias("items"))
-    whole = courses.agg(F.array_sort(F.collect_list(F.struct("n_nationkey", F.col("n_name").alias("course_name"), F.col("items").alias("content_objects")))).alias("c"))
-    whole = whole.select(F.to_json(F.struct(F.lit("T").alias("term"), F.transform("c", lambda x: F.struct(x["n_nationkey"].cast("string").alias("course_id"), x["course_name"].alias("course_name"), x["content_objects"].alias("content_objects"))).alias("courses"))).alias("value"))
+    items = c.join(n, c.c_nationkey == n.n_nationkey).select(key("n_nationkey", "course_id"), F.col("n_name").alias("course_name"), F.col("c_custkey").alias("place"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("content_type"), F.when(F.col("c_acctbal") > 0, F.lit("2026-01-01")).alias("due_date"), F.lit("success").alias("read_status"))
+    items = ordered.numbered(items, ["course_id"], "place", "pos").withColumn("pos", F.col("pos").cast("int")).drop("place")
     path = scratch(spark, "content")
-    whole.coalesce(1).write.text(path)
+    writers.write_store(items.limit(0), path, "content")
+    writers.write_store(items, path, "content")
     return readers.content_text(spark, path).select("course_id", "course_name", "pos", "title", "content_type", "due_date", "read_status")
 
 
 def summaries_file(spark, sf_dir):
-    """A JSON object of summaries, some values of which are no text; those of failed courses are left out."""
-    n = table(spark, sf_dir, "nation").orderBy("n_nationkey")
-    value = F.when(F.col("n_nationkey") % 4 == 0, F.lit("17")).when(F.col("n_nationkey") % 4 == 1, F.lit('"Pre-Processing FAILED: no reply"')).otherwise(F.concat(F.lit('"Summary of '), F.col("n_name"), F.lit('"')))
-    whole = n.agg(F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", value.alias("v")))), lambda x: F.concat(F.lit('"'), x["n_nationkey"].cast("string"), F.lit('": '), x["v"])), ", "), F.lit("}")).alias("value"))
+    """A store of summaries, some of which are no text; those of failed courses are left out."""
+    n = table(spark, sf_dir, "nation")
+    place = F.col("n_nationkey") % 4
+    value = F.when(place == 0, F.lit("17")).when(place == 1, F.lit('"Pre-Processing FAILED: no reply"')).otherwise(F.concat(F.lit('"Summary of '), F.col("n_name"), F.lit('"')))
+    variant = F.try_parse_json(value)
+    rows = n.select(F.col("n_nationkey").alias("pos"), key("n_nationkey", "course_id"), F.when(F.schema_of_variant(variant) == "STRING", F.variant_get(variant, "$", "string")).alias("summary"))
     path = scratch(spark, "summaries")
-    whole.coalesce(1).write.text(path)
+    writers.write_store(rows, path, "summaries")
     found = readers.summaries(spark, path)
     return found.where(~markdown.failed("summary")).select("course_id", "summary")
 
 
 def stores_read(spark, sf_dir):
-    """Document, chunk and thread stores written as JSON and read again; a store that is not there is empty."""
+    """Document, chunk and thread stores written and read again; a store that is not there is empty."""
     o = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0")
     docs = documents.create(o.select(F.concat(F.lit("Order "), F.col(ORDER)).alias("title"), F.col(ORDER).alias("pos"), key("o_custkey", "course_id"), F.col("o_orderpriority").alias("extracted_text")), NOW)
     chunks = documents.add_chunks(docs, docs.select(F.col("id").alias("document_id"), F.lit(0).alias("chunk_index"), F.col("extracted_text").alias("text")), NOW)
     path, out = scratch(spark, "stores"), None
     for name, rows in (("documents", docs), ("chunks", chunks), ("threads", threads.create(o.select(key(ORDER, "key"), F.lit(True).alias("incognito")), NOW))):
-        rows.agg(F.collect_list(F.struct(*rows.columns)).alias(name)).coalesce(1).write.json(f"{path}/{name}")
+        writers.write_store(rows, f"{path}/{name}", name)
         read = getattr(readers, name)
         for place in (f"{path}/{name}", f"{path}/none"):
             part = read(spark, place).agg(F.lit(name).alias("store"), F.lit(place.endswith("none")).alias("missing"), F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.min("created_at").alias("created_at"))
@@ -61,8 +62,8 @@ def stores_read(spark, sf_dir):
 
 
 def overrides_file(spark, sf_dir):
-    """The overrides store, replaced once and read again with the comment of the file before."""
-    path = scratch(spark, "overrides") + "/overrides.json"
+    """The overrides store, replaced once and read again with the comment of the version before."""
+    path = scratch(spark, "overrides")
     rows = d.changes(spark, sf_dir)
     writers.write_overrides(rows.limit(0), path, comment="kept")
     writers.write_overrides(rows, path, comment=writers.read_comment(spark, path))

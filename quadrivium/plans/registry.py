@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import deadlines, ledger, lifecycle, records, store
+from . import deadlines, flows, ledger, lifecycle, records, store
 
-QUERIES = ledger.QUERIES | store.QUERIES | deadlines.QUERIES | lifecycle.QUERIES | records.QUERIES
-SQL = ledger.SQL | store.SQL | deadlines.SQL | lifecycle.SQL | records.SQL
+QUERIES = ledger.QUERIES | store.QUERIES | deadlines.QUERIES | lifecycle.QUERIES | records.QUERIES | flows.QUERIES
+SQL = ledger.SQL | store.SQL | deadlines.SQL | lifecycle.SQL | records.SQL | flows.SQL

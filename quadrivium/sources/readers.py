@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import schemas
+from . import schemas, versions
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -37,6 +37,9 @@ def content_objects(content: DataFrame) -> DataFrame:
 
 
 def content_text(spark: SparkSession, path: str) -> DataFrame:
+    """One row per item of a JSON document, or of a store, which has them as rows."""
+    if versions.is_store(spark, path):
+        return versions.read(spark, path, "content")
     return content_objects(json_document(spark, path, schemas.CONTENT, tolerant=False))
 
 
@@ -46,7 +49,12 @@ def course_names(content: DataFrame) -> DataFrame:
 
 
 def summaries(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, course_id, summary) of a JSON object of texts; values that are not text are left out."""
+    """(pos, course_id, summary) of a store, or of a JSON object of texts; values that are not text are left out.
+
+    A store may keep such values as JSON in ``value``, beside ``summary``.
+    """
+    if versions.is_store(spark, path):
+        return versions.read(spark, path, "summaries").where("summary is not null").select("pos", "course_id", "summary")
     raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
     rows = raw.select(F.expr("cast(v as map<string, variant>)").alias("m")).select(F.posexplode("m").alias("pos", "course_id", "value"))
     return rows.where(F.schema_of_variant("value") == "STRING").select("pos", "course_id", F.expr("cast(value as string)").alias("summary"))
@@ -65,7 +73,9 @@ def threads(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _listed(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
-    """Rows of the list under one top-level key, with their order as ``pos``."""
+    """Rows of a store, or of the list under one top-level key of a JSON document, with their order as ``pos``."""
+    if versions.is_store(spark, path):
+        return versions.read(spark, path, key)
     inner = T.StructType().add(key, T.ArrayType(T.StructType.fromDDL(schema)))
     if not exists(spark, path):
         return spark.createDataFrame([], T.StructType([T.StructField("pos", T.IntegerType()), *T.StructType.fromDDL(schema).fields]))
@@ -84,9 +94,16 @@ def overrides(spark: SparkSession, path: str) -> DataFrame:
     """(id, edits, dismissed, edited_at, manual_add), edits in their order of entry."""
     if not exists(spark, path):
         return empty(spark, schemas.OVERRIDE_ROWS)
+    if versions.is_store(spark, path):
+        return versions.read(spark, path, "overrides")
     return override_rows(json_document(spark, path, schemas.OVERRIDES))
 
 
+def deadlines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """Rows and header of the deadlines store, of one version; None where there is none."""
+    return (versions.read(spark, path, "rows"), versions.read(spark, path, "header")) if versions.current(spark, path) else None
+
+
 def override_rows(stored: DataFrame) -> DataFrame:
     rows = stored.select(F.explode("overrides").alias("id", "o"))
     edits = F.transform(F.map_entries("o.edits"), lambda e: F.struct(e["key"].alias("field"), e["value"].alias("value")))

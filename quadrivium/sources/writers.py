@@ -1,4 +1,4 @@
-"""Writers. Stores are replaced as a whole: a new folder is written, then takes the old one's name."""
+"""Writers. Stores are replaced as a whole: as a new version (``versions``), or as a folder that takes the old one's name."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import schemas
-from .readers import exists
+from . import schemas, versions
+from .readers import exists, json_document
 
 
 def replace(df: DataFrame, path: str, form: str = "json") -> None:
@@ -61,10 +61,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     files.delete(target, True)
 
 
-def write_deadlines(deadlines: DataFrame, header: DataFrame, path: str, generated_at: str, source_file: str) -> None:
-    """The deadlines store: its rows by bucket under ``rows``, its counts in one row under ``header``; each replaced as a whole."""
-    replace(deadlines.repartition("bucket").sortWithinPartitions("bucket", "id"), f"{path}/rows", "parquet")
-    replace(header.withColumns({"generated_at": F.lit(generated_at), "source_file": F.lit(source_file)}).coalesce(1), f"{path}/header")
+def write_deadlines(deadlines: DataFrame, header: DataFrame, path: str, generated_at: str, source_file: str) -> int:
+    """The deadlines store: ``rows`` by bucket and the counts in ``header``, in one version, so that they always agree."""
+    head = header.withColumns({"generated_at": F.lit(generated_at), "source_file": F.lit(source_file)}).coalesce(1)
+    return versions.commit({"rows": deadlines.repartitionByRange("bucket", "id").sortWithinPartitions("bucket", "id"), "header": head}, path)
+
+
+def write_store(rows: DataFrame, path: str, name: str) -> int:
+    """A store of documents, chunks, threads, content objects or summaries: a row each, ``pos`` the order of the store."""
+    return versions.commit({name: rows}, path)
 
 
 def append_ledger(calls: DataFrame, path: str) -> None:
@@ -81,11 +86,9 @@ def write_ledger_csv(ledger: DataFrame, path: str) -> None:
     ledger_csv(ledger).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
-def write_overrides(overrides: DataFrame, path: str, comment: str | None = None) -> None:
-    """One JSON object keyed by id; a comment kept from the file before is carried on."""
-    entry = F.struct("id", F.struct(F.map_from_entries("edits").alias("edits"), "dismissed", "edited_at", "manual_add").alias("entry"))
-    whole = overrides.agg(F.map_from_entries(F.collect_list(entry)).alias("overrides")).select(F.lit(comment).alias("_comment"), F.lit(1).alias("version"), "overrides")
-    replace(whole.coalesce(1), path)
+def write_overrides(overrides: DataFrame, path: str, comment: str | None = None) -> int:
+    """The overrides store: an entry a row, in as many files as tasks write; a comment kept from the store before is carried on."""
+    return versions.commit({"overrides": overrides.select("id", "edits", "dismissed", "edited_at", "manual_add")}, path, note={"_comment": comment} if comment is not None else None)
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
@@ -98,7 +101,8 @@ def write_text(lines: DataFrame, path: str) -> None:
 
 
 def read_comment(spark: SparkSession, path: str) -> str | None:
-    from .readers import json_document
-
+    """The comment of an overrides store, or of a JSON document of overrides."""
+    if versions.is_store(spark, path):
+        return versions.note(spark, path).get("_comment")
     row = json_document(spark, path, schemas.OVERRIDES).select("_comment").first()
     return row[0] if row else None

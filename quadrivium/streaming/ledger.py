@@ -1,4 +1,4 @@
-"""Streaming forms of the cost ledger and of incremental loading (extensions of the batch operators)."""
+"""Streaming forms of the cost ledger (extensions of the batch operators)."""
 
 from __future__ import annotations
 
@@ -31,19 +31,3 @@ def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "comple
     query = df.writeStream.format("memory").queryName(name).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
-
-
-def load_new(items: DataFrame, target: str, checkpoint: str, key: str = "url") -> StreamingQuery:
-    """Append items of a stream whose key the target does not hold: a repeated run or batch adds nothing."""
-
-    def add(batch: DataFrame, _: int) -> None:
-        from ..sources.readers import exists
-
-        rows = batch.dropDuplicates([key])
-        if exists(batch.sparkSession, target):
-            rows = rows.join(batch.sparkSession.read.parquet(target).select(key), key, "left_anti")
-        rows.write.mode("append").parquet(target)
-
-    query = items.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query

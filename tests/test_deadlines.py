@@ -180,7 +180,7 @@ def test_audit(spark):
     assert [(r.category, r.n) for r in hist.collect()] == [("iso_datetime", 0), ("iso_date", 1), ("date_string", 2), ("relative", 1), ("vague", 1), ("missing", 1)]
     gaps = audit.missing(a, ["title", "course_id", "due_date_raw"])
     assert {r.field: r.n for r in gaps.collect()} == {"title": 0, "course_id": 0, "due_date_raw": 1}
-    v = audit.verdict_of(hist, gaps, pairs).first()
+    v = audit.verdict_of(hist, gaps, audit.duplicate_total(a)).first()
     assert (v.total, v.parseable, v.gaps, v.duplicates, v.verdict) == (6, 3, 1, 2, "RED")
     assert [audit.verdict(10, 8, 0, 0), audit.verdict(10, 8, 1, 0), audit.verdict(10, 5, 0, 0), audit.verdict(0, 0, 0, 0)] == ["GREEN", "YELLOW", "RED", "RED"]
     courses = spark.createDataFrame([("c", False), ("e", False), ("f", True)], "course_id string, failed boolean")

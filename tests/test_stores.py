@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quadrivium.operators import content, context, costs, documents, retrieval, threads
 from quadrivium.sources import readers, schemas, writers
 from quadrivium.streaming import ledger as streaming
+from quadrivium.streaming import loading
 
 NOW = "2026-01-10T00:00:00+00:00"
 LEDGER = f"pos int, {schemas.LEDGER}"
@@ -65,8 +66,8 @@ def test_streamed_windows_and_loads(spark, tmp_path):
     spark.createDataFrame([("u1",), ("u1",), ("u2",)], "url string").write.parquet(str(items))
     target = str(tmp_path / "out")
     for k in range(2):
-        streaming.load_new(spark.readStream.schema("url string").parquet(str(items)), target, str(tmp_path / f"c2-{k}"))
-    assert sorted(r.url for r in spark.read.parquet(target).collect()) == ["u1", "u2"], "a second load adds nothing"
+        loading.load_new(spark.readStream.schema("url string").parquet(str(items)), target, str(tmp_path / f"c2-{k}"))
+    assert sorted(r.url for r in loading.loaded(spark, target).collect()) == ["u1", "u2"], "a second load adds nothing"
 
 
 def test_new_items(spark):
@@ -240,8 +241,9 @@ def test_replace_keeps_the_old_store_when_a_rename_fails(spark, tmp_path, monkey
 def test_deadlines_store(spark, tmp_path):
     rows = spark.createDataFrame([("a", "resolved"), ("b", "dismissed")], "id string, bucket string")
     writers.write_deadlines(rows, rows.groupBy().agg(F.count("*").alias("total")), f"file://{tmp_path}/deadlines", NOW, "s.json")
-    head = spark.read.json(f"file://{tmp_path}/deadlines/header").first()
-    assert (head.total, head.generated_at, head.source_file) == (2, NOW, "s.json") and spark.read.parquet(f"file://{tmp_path}/deadlines/rows").count() == 2
+    got, header = readers.deadlines(spark, f"file://{tmp_path}/deadlines")
+    head = header.first()
+    assert (head.total, head.generated_at, head.source_file) == (2, NOW, "s.json") and got.count() == 2
 
 
 def test_vision_of_pages():
