@@ -36,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, materialise, small, table
+from .common import BROADCAST_BYTES, fresh, materialise, small, table
 
 WINDOW = 13
 SHINGLE = 3
@@ -198,9 +198,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: contaminated documents go, each judged by its own id and text; columns stay as they are."""
-    found = judged(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("id").alias("__gone"), F.col("fp").alias("__fp"))
+    id_, fp = fresh("of_id", docs), fresh("of_fp", docs)
+    found = judged(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("id").alias(id_), F.col("fp").alias(fp))
     found = materialise(found.distinct(), "contaminated")
-    return docs.join(small(found, found.count(), 24), F.col("doc_id").eqNullSafe(F.col("__gone")) & (F.xxhash64("text") == F.col("__fp")), "left_anti")
+    return docs.join(small(found, found.count(), 24), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(fp)), "left_anti")
 
 
 SQL = r"""

@@ -28,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, small, table
+from .common import fresh, materialise, partitions, small, table
 
 MAX_DEPTH = 20
 LEAST_CAPACITY = 64
@@ -159,18 +159,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of equal texts one row stays; columns stay as they are."""
     found = materialise(exact_dedup(docs), "exact")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__sha"))
+    id_, sha, own_sha, n = (fresh(c, docs) for c in ("of_id", "of_sha", "own_sha", "own_rank"))
+    named = lambda rows: rows.select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha))
+    gone = named(found.where(~F.col("kept")))
     own = F.sha2(normalised("text").cast("binary"), 256)
     ids = found.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count()
     both = found.groupBy("doc_id", "text_sha256").agg(F.min("kept").alias("all"), F.max("kept").alias("any")).where("any and not all").limit(1).count()  # null ids are grouped too
     if ids or both:  # ids that repeat within a group: one row for each kept (id, text)
-        kept = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-        longest = Window.partitionBy("doc_id", "__own").orderBy(F.desc(F.length(F.coalesce("text", F.lit("")))))
+        kept = named(found.where("kept"))
+        longest = Window.partitionBy("doc_id", own_sha).orderBy(F.desc(F.length(F.coalesce("text", F.lit("")))))
         # Before the join, so that the rank filter leaves a row of each key and task to be dealt, however hot the key.
-        firsts = docs.withColumn("__own", own).withColumn("__n", F.row_number().over(longest)).where("__n = 1")
-        return firsts.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi").select(*docs.columns)
+        firsts = docs.withColumn(own_sha, own).withColumn(n, F.row_number().over(longest)).where(F.col(n) == 1)
+        return firsts.join(kept, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own_sha) == F.col(sha)), "left_semi").select(*docs.columns)
     gone = small(gone, gone.count(), 96)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")) & (own == F.col("__sha")), "left_anti")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (own == F.col(sha)), "left_anti")
 
 
 SQL = r"""

@@ -44,6 +44,8 @@ two blocks, whatever the size of its list.
 
 Shingles are compared by hashes of 64 bits: that two different shingles of a
 pair of documents of 20,000 words collide has a probability below 1e-10.
+Classes and groups are told by 128 bits; a class goes by a number of 64, which
+is replaced where two classes have the same.
 
 Edge cases: null, empty and blank texts have empty sets, are linked with
 nothing and keep their own id; repeated rows are one class; rows with null ids
@@ -63,7 +65,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, hand_back, materialise, partitions, small, table
+from .common import discard, fresh, hand_back, materialise, partitions, small, table
 
 WORDS, PERCENT = 5, 80
 #: Shingles gathered in a task before they are dealt, and text hashed at a time.
@@ -73,7 +75,8 @@ RANGE_TOKENS, FAN = 1 << 22, 4096
 CAP = 65_535
 #: Classes in a block of a cell: about half a partition's share, within these bounds; and shingles, about.
 BLOCK_LEAST, BLOCK_MOST, BLOCK_SHINGLES = 64, 1024, 1 << 21
-SEEDS = 8
+#: Bits of the number that stands for a class.
+REF_BITS = 64
 #: Buckets of a sketch; a count of ``CAP`` stands for that many or more.
 BUCKETS = 64
 
@@ -130,13 +133,13 @@ def word_hashes(raw: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-def shingle_set(text: str | None, words: int = WORDS, seed: int = 0) -> np.ndarray:
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the document's shingles."""
     h = word_hashes((text or "").encode("utf-8").lower())
     if not len(h):
         return h
     width, n = min(words, len(h)), max(1, len(h) - words + 1)
-    total = np.full(n, (seed * 0x2545F4914F6CDD1D + (len(h) if len(h) < words else 0)) % (1 << 64), dtype=np.uint64)
+    total = np.full(n, len(h) if len(h) < words else 0, dtype=np.uint64)
     for j in range(width):
         total += h[j : j + n] * _U(_PLACE[j % 64])
     return np.unique(mix(total))
@@ -146,8 +149,10 @@ def signature(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def reference(sig: bytes) -> int:
-    return int.from_bytes(sig[:8], "little", signed=True)
+def reference(sig: bytes, bits: int = REF_BITS) -> int:
+    """The number of a class: the first bits of its signature, unless another class has them too (``new_references``)."""
+    number = int.from_bytes(sig[:8], "little", signed=True)
+    return number if bits == 64 else number % (1 << bits)
 
 
 def need(n: np.ndarray | int, percent: int = PERCENT):
@@ -278,7 +283,7 @@ def _prefixes(blocks: list[bytes], sizes: list[bytes], percent: int) -> Iterator
 # --- distributed steps -----------------------------------------------------------------------
 
 
-def signatures(docs: DataFrame, words: int, seed: int) -> DataFrame:
+def signatures(docs: DataFrame, words: int, bits: int) -> DataFrame:
     """(n, sig, ref) of every row beside its columns other than the text; sig and ref are null for empty sets."""
     carried = [c for c in docs.columns if c != "text"]
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried)
@@ -287,10 +292,10 @@ def signatures(docs: DataFrame, words: int, seed: int) -> DataFrame:
         for batch in batches:
             sizes, sigs = [], []
             for text in batch.column("text").to_pylist():
-                own = shingle_set(text, words, seed)
+                own = shingle_set(text, words)
                 sizes.append(len(own))
                 sigs.append(signature(own) if len(own) else None)
-            refs = pa.array([reference(s) if s else None for s in sigs], pa.int64())
+            refs = pa.array([reference(s, bits) if s else None for s in sigs], pa.int64())
             own = [batch.column(c) for c in carried]
             yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), refs], [*carried, "n", "sig", "ref"])
             del batch
@@ -299,6 +304,29 @@ def signatures(docs: DataFrame, words: int, seed: int) -> DataFrame:
     return materialise(docs.mapInArrow(run, f"{kinds}, n long, sig binary, ref long"), "signatures")
 
 
+def new_references(classes: DataFrame) -> dict[bytes, int]:
+    """References for classes whose own another class of a lesser signature has; they are in use nowhere else.
+
+    Of n classes n * n / 2**65 pairs share a reference: 11 are expected among 2 * 10**10.  Signatures have 128 bits.
+    """
+    first = classes.groupBy("ref").agg(F.min("sig").alias("first"), F.count("*").alias("classes")).where("classes > 1")
+    clash = [bytes(r["sig"]) for r in classes.join(first, "ref").where("sig <> first").select("sig").collect()]
+    found: dict[bytes, int] = {}
+    turn = 0
+    while clash:
+        turn += 1
+        tried = {sig: int.from_bytes(hashlib.blake2b(sig, digest_size=8, salt=turn.to_bytes(8, "little")).digest(), "little", signed=True) for sig in clash}
+        used = {r["ref"] for r in classes.where(F.col("ref").isin(list(tried.values()))).select("ref").distinct().collect()} | set(found.values())
+        clash = []
+        for sig, ref in tried.items():
+            if ref in used:
+                clash.append(sig)
+            else:
+                found[sig] = ref
+                used.add(ref)
+    return found
+
+
 def in_ranges(blocks: DataFrame, parts: int) -> DataFrame:
     """Rows of (to, ...) with every range in one partition, the ranges of a partition one after the other."""
     return blocks.repartitionById(parts, F.pmod("to", F.lit(parts)).cast("int")).sortWithinPartitions("to")
@@ -327,7 +355,7 @@ def finer(blocks: DataFrame, ranges: int, step: int, parts: int, with_df: bool)
     return in_ranges(blocks, parts).mapInPandas(run, "to long, block binary") if step > 1 else blocks
 
 
-def shared_sets(docs: DataFrame, classes: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+def shared_sets(docs: DataFrame, classes: DataFrame, words: int, percent: int, bits: int, renamed: dict[bytes, int]) -> DataFrame:
     """Steps 2 and 3: classes that may have a partner, with their shared shingles and prefix."""
     parts = partitions(docs.sparkSession)
     ranges = max(parts, (classes.agg(F.sum("n")).first()[0] or 0) // RANGE_TOKENS + 1)
@@ -342,8 +370,12 @@ def shared_sets(docs: DataFrame, classes: DataFrame, words: int, percent: int, s
         gathered, size, seen = [], 0, set()
         for batch in batches:
             for text in batch["text"]:
-                tokens = shingle_set(text, words, seed)
-                if not len(tokens) or (ref := reference(signature(tokens))) in seen:
+                tokens = shingle_set(text, words)
+                if not len(tokens):
+                    continue
+                sig = signature(tokens)
+                ref = renamed.get(sig)
+                if (ref := reference(sig, bits) if ref is None else ref) in seen:
                     continue
                 seen.add(ref)
                 gathered.append((ref, tokens))
@@ -401,21 +433,35 @@ def postings(groups: DataFrame) -> DataFrame:
     return groups.select("g", "prefix").mapInPandas(run, "token long, g long, at long")
 
 
+def grouped(sets: DataFrame) -> DataFrame:
+    """(ref, g, members): the group of every class, named by its least reference.
+
+    A group is told by its size and 128 bits of its prefix.  A class with shingles of its own in its prefix is alone.
+    """
+    key = ["n", "h1", "h2"]
+    told = sets.select("ref", "n", "single", F.xxhash64("prefix").alias("h1"), F.xxhash64(F.lit("again"), "prefix").alias("h2"))
+    many = told.where("single = 0").select("ref", *key)
+    groups = many.groupBy(*key).agg(F.min("ref").alias("g"), F.count("*").alias("members"))
+    alone = told.where("single <> 0").select("ref", F.col("ref").alias("g"), F.lit(1).cast("long").alias("members"))
+    return materialise(many.join(groups, key).select("ref", "g", "members").unionByName(alone), "grouped")
+
+
 def candidate_lists(sets: DataFrame) -> DataFrame:
     """Step 4: (list, ref, g, n, pos, share, at) of every class in every list of two classes or more.
 
     ``pos``: how many shingles the class has before the list's token, ``at``: how many of those are shared.
     """
-    groups = materialise(sets.groupBy("g").agg(F.count("*").alias("members"), F.first("prefix").alias("prefix")), "groups")
+    named = grouped(sets)
+    groups = materialise(named.where("ref = g").select("g", "members").join(sets.select(F.col("ref").alias("g"), "prefix"), "g"), "groups")
     posted = materialise(postings(groups).join(groups.select("g", "members"), "g"), "postings")
     # Equal sums of two hashes: the same groups.  Of their tokens the first in the order of any of the groups is kept.
     number = lambda *c: F.sum(F.xxhash64(*c, "g").cast("decimal(20,0)"))
     tokens = posted.groupBy("token").agg(F.sum("members").alias("classes"), number().alias("a"), number(F.lit("b")).alias("b"), F.min(F.struct("g", "at"))["at"].alias("at")).where("classes > 1")
     lists = tokens.groupBy("classes", "a", "b").agg(F.min(F.struct("at", "token"))["token"].alias("list")).select("list")
     kept = posted.join(lists, F.col("token") == F.col("list")).select("list", "g", "at")
-    narrow = sets.select("g", "ref", "n", "single", (F.col("single") / F.col("n")).alias("share"))
+    narrow = sets.select("ref", "n", "single", (F.col("single") / F.col("n")).alias("share")).join(named.select("ref", "g"), "ref")
     out = materialise(kept.join(narrow, "g").select("list", "ref", "g", "n", (F.col("single") + F.col("at")).alias("pos"), "share", "at"), "lists")
-    discard(groups, posted)
+    discard(named, groups, posted)
     return out
 
 
@@ -610,25 +656,21 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("root")).unionByName(edges.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
 
 
-def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bits: int = REF_BITS) -> DataFrame:
     """(n, root, component) of every row beside its columns other than the text.
 
     ``docs`` has id, text and what else is to be carried.  Rows that are linked or have equal sets share their root; it
     is null for a row that has no other such row.  component is the root's least id.
     """
-    for seed in range(SEEDS):
-        rows = signatures(docs, words, seed)
-        classes = materialise(rows.where("n > 0").groupBy("sig", "ref").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.first("n").alias("n")), "classes")
-        if not classes.groupBy("ref").count().where("count > 1").limit(1).count():
-            break
-        discard(rows, classes)  # two classes share a reference: hash anew
-    else:
-        raise ValueError(f"classes share a reference with each of {SEEDS} seeds")
-
-    sets = shared_sets(docs, classes, words, percent, seed)
-    # Identical prefix and size; a class with unshared shingles in its prefix is alone in its group.
-    key = F.when(F.col("single") == 0, F.xxhash64("n", "prefix")).otherwise(F.xxhash64("ref", F.lit("own")))
-    sets = sets.withColumn("g", key)
+    spark = docs.sparkSession
+    rows = signatures(docs, words, bits)
+    classes = materialise(rows.where("n > 0").groupBy("sig", "ref").agg(F.min("id").alias("least"), F.count("*").alias("rows"), F.first("n").alias("n")), "classes")
+    renamed = new_references(classes)
+    if renamed:
+        new = small(spark.createDataFrame(list(renamed.items()), "sig binary, new long"), len(renamed), 32)
+        rows, classes = (x.join(new, "sig", "left").withColumn("ref", F.coalesce("new", "ref")).drop("new") for x in (rows, classes))
+
+    sets = shared_sets(docs, classes, words, percent, bits, renamed)
     lists = candidate_lists(sets)
     found, roots = [], None
     for of_main in (True, False):
@@ -648,9 +690,9 @@ def joined(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
     return rows.join(named, "ref", "left").drop("ref", "sig")
 
 
-def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def near_duplicates(documents: DataFrame, words: int = WORDS, percent: int = PERCENT, text_col: str = "text", id_col: str = "doc_id", bits: int = REF_BITS) -> DataFrame:
     """(id, n_shingles, component_id) of every row; component_id is the least id reachable by links."""
-    out = joined(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), words, percent)
+    out = joined(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), words, percent, bits)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
@@ -668,16 +710,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = materialise(rows.groupBy("root", "id", "fp").agg(F.count("*").alias("rows")), "near")
     best = materialise(rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "fp")).alias("best")), "near-best")
     rows = rows.join(small(best, best.count(), 64), "root").withColumn("stays", F.col("id").eqNullSafe(F.col("best.id")) & (F.col("fp") == F.col("best.fp")))
-    rows = materialise(rows.select(F.col("id").alias("__id"), F.col("fp").alias("__fp"), "rows", "stays"), "near-decided")
-    gone, again = rows.where("not stays").select("__id", "__fp"), rows.where("stays and rows > 1").select("__id", "__fp")
-    own = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__fp"))
+    id_, fp, n = (fresh(c, docs) for c in ("of_id", "of_fp", "own_rank"))
+    rows = materialise(rows.select(F.col("id").alias(id_), F.col("fp").alias(fp), F.col("rows").alias("n_rows"), F.col("stays").alias("is_kept")), "near-decided")
+    gone, again = rows.where("not is_kept").select(id_, fp), rows.where("is_kept and n_rows > 1").select(id_, fp)
+    own = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(fp))
     kept = docs.join(small(gone, gone.count(), 24), own, "left_anti")
     n_again = again.count()
     if not n_again:
         return kept
     again = small(again, n_again, 24)
     text = F.xxhash64("text")
-    one = kept.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", text).orderBy(text))).where("__n = 1").drop("__n")
+    one = kept.withColumn(n, F.row_number().over(Window.partitionBy("doc_id", text).orderBy(text))).where(F.col(n) == 1).drop(n)
     return kept.join(again, own, "left_anti").unionByName(one.join(again, own, "left_semi"))
 
 
