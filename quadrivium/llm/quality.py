@@ -34,7 +34,7 @@ FUNCTION_WORDS = frozenset("the of and to in is that it for as was with be by on
 UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 SYMBOLS = b"#$%&*+@^_|~<>=\\{}[]"
 REPEATED_MARK = re.compile(r"([^\w\s])\1")
-NAMES = ("log_words", "log_bytes", "word_length", "word_length_sd", "longest", "unique", "function", "upper", "shouted", "digits", "symbols", "pipes", "bangs", "stops", "commas", "spaces", "non_ascii", "repeated_marks", "marked_words", "lines", "line_words", "line_sd", "ended", "double_lines", "double_share", "pair_share", "top_word", "short_lines", "compress")
+NAMES = ("log_words", "log_bytes", "word_length", "word_length_sd", "longest", "unique", "function", "upper", "shouted", "digits", "symbols", "pipes", "bangs", "stops", "commas", "spaces", "non_ascii", "repeated_marks", "marked_words", "lines", "line_words", "line_sd", "ended", "double_lines", "double_share", "pair_share", "top_word", "short_lines", "root_ratio")
 
 
 def features(text: str) -> list[float]:
@@ -52,7 +52,7 @@ def features(text: str) -> list[float]:
     line_counts = Counter(lines)
     repeated = [x for x, c in line_counts.items() if c > 1]
     pairs = len(set(zip(words, words[1:]))) / max(1, n - 1)
-    marks = sum(w[-2:] in ("%%", "$$", "&&", "##", "**", "!!", "??") for w in words)
+    marks = sum(len(w) > 1 and w[-1] == w[-2] and not w[-1].isalnum() for w in words)
     return [
         float(np.log1p(n)), float(np.log1p(size)), float(lengths.mean()), float(lengths.std()), float(np.log1p(lengths.max())), len(counts) / n, sum(counts[w] for w in FUNCTION_WORDS) / n,
         without(UPPER) / size, sum(w.isupper() and len(w) > 1 for w in words) / n, without(DIGITS) / size, without(SYMBOLS) / size, raw.count(b"|") / n, raw.count(b"!") / n, raw.count(b".") / n, raw.count(b",") / n,
