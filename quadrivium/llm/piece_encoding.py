@@ -252,9 +252,9 @@ def decode_documents(encoded: DataFrame, ids_col: str = "ids", id_col: str = "do
     return encoded.select(id_col, decoded(F.col(ids_col)).alias("decoded"))
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     sha = lambda c: F.sha2(c.cast("binary"), 256)
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
+    return encoded.select(id_col, F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

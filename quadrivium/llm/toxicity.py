@@ -13,7 +13,8 @@ Learning, over at most about ``SAMPLE_ROWS`` labelled training rows dealt to
    learned from itself, and trees are fitted on them;
 3. isotonic calibration of scores that each part gets from trees of the others.
 
-A lexicon keeps its ``LEXICON_WORDS`` best words at most: the size of the model.
+A lexicon has every word of three characters or more whose z-score reaches
+``least_z``; what bounds it is the bound on labelled rows.
 
 Edge cases: null and empty texts get the score of an all-zero feature row;
 texts of any length are read whole; repeated rows score alike; with no
@@ -38,8 +39,8 @@ from .learning import labelled_sample, with_text
 
 SAMPLE_ROWS = 40_000
 PARTS = 3
-#: Words a lexicon keeps, and toxic rows that a word must be in.
-LEXICON_WORDS, LEAST_ROWS = 2_000, 4
+#: The z-score that a word of a lexicon reaches, and toxic rows that it is in, at least.
+LEAST_Z, LEAST_ROWS = 2.0, 4
 FOLDS = 5
 
 # Everyday insults used as the seed lexicon, whatever the labels say.
@@ -115,7 +116,7 @@ class Model:
         return self.calibrate(self.forest.probability(x))
 
 
-def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
+def learn_lexicons(rows: DataFrame, least_z: float = LEAST_Z) -> list[Lexicon]:
     """Of (part, text, y), a lexicon for each part from the rows of the others, and last one from all rows.
 
     Words are counted per batch on the executors, then summed by Spark; a part's counts are taken off the whole.
@@ -127,7 +128,7 @@ def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
             for at in range(0, len(batch), 500):  # a few texts at a time: their words are many
                 seen: dict[int, Counter] = {}
                 for slot, text in zip(slots[at : at + 500], batch["text"][at : at + 500], strict=True):
-                    found = {w for w in WORD.findall(text.lower()) if 3 <= len(w) <= 24}
+                    found = {w for w in WORD.findall(text.lower()) if len(w) >= 3}
                     seen.setdefault(slot, Counter()).update(found | {w[:k] + "*" for w in found if len(w) > 6 for k in (5, 6)})
                 for slot, counts in seen.items():
                     yield pd.DataFrame({"word": list(counts), "slot": slot, "n": list(counts.values())})
@@ -142,17 +143,17 @@ def learn_lexicons(rows: DataFrame) -> list[Lexicon]:
     out = []
     for p in range(PARTS + 1):
         toxic, clean = (sum(x[side] for part, x in sizes.items() if part != p) for side in (0, 1))
-        out.append(_lexicon(counts.select("word", F.col(f"a{p}").alias("a"), F.col(f"b{p}").alias("b")), toxic, clean))
+        out.append(_lexicon(counts.select("word", F.col(f"a{p}").alias("a"), F.col(f"b{p}").alias("b")), toxic, clean, least_z))
     return out
 
 
-def _lexicon(counts: DataFrame, toxic: float, clean: float) -> Lexicon:
+def _lexicon(counts: DataFrame, toxic: float, clean: float, least_z: float) -> Lexicon:
     """The lexicon of (word, a, b): in how many of ``toxic`` and ``clean`` rows a word is."""
     if not toxic or not clean:
         return Lexicon(SEED_WORDS, frozenset())
     odds = F.log((F.col("a") + 0.5) / (toxic - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (clean - F.col("b") + 0.5))
     z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    best = counts.where(F.col("a") >= LEAST_ROWS).withColumn("z", z).where("z >= 2").orderBy(F.desc("z"), "word").limit(LEXICON_WORDS).collect()
+    best = counts.where(F.col("a") >= LEAST_ROWS).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").collect()  # words of the bounded sample of labelled rows
     # Strong: at least a fiftieth of the toxic rows have the word and nearly no clean row does.
     enough = max(LEAST_ROWS, toxic / 50)
     stems = frozenset(r["word"][:-1] for r in best if r["word"][-1] == "*" and r["z"] >= 4 and r["a"] >= enough)
@@ -171,10 +172,10 @@ def cross_fitted(x: np.ndarray, y: np.ndarray, part: np.ndarray, parts: int = PA
     return raw
 
 
-def train(documents: DataFrame, labels: DataFrame, train_rows: Column, text_col: str = "text", id_col: str = "doc_id", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
+def train(documents: DataFrame, labels: DataFrame, train_rows: Column, text_col: str = "text", id_col: str = "doc_id", label: str = "toxic", sample_rows: int = SAMPLE_ROWS, least_z: float = LEAST_Z) -> Model:
     sample = labelled_sample(labels, label, id_col, train_rows, sample_rows)
     rows = with_text(documents, sample, text_col, id_col).select(F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(PARTS)).cast("int").alias("part"), "text", "y")
-    lexicons = learn_lexicons(rows)
+    lexicons = learn_lexicons(rows, least_z)
 
     def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -216,5 +217,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted toxic go; columns stay as they are."""
     model = train(docs, table(spark, sf_dir, "labels"), id_fold("doc_id", FOLDS) != 0)
-    mark = "__toxicity_score"
-    return docs.withColumn(mark, score(docs, model)).where(F.col(mark) < 0.5).drop(mark)
+    return docs.where(score(docs, model) < 0.5)

@@ -70,6 +70,14 @@ def test_held_out(spark, module, label, least):
     assert auc(rows["score"].to_numpy(), rows[label].to_numpy()) > least and rows["score"].between(0, 1).all()
 
 
+def test_toxic_documents_are_found_and_clean_ones_kept(spark):
+    """Held out precision and recall of predicted = 1 at the scale of the driver's check; labels have some noise of their own."""
+    large = SF.replace("sf0.01", "sf0.1")
+    rows = toxicity.query(spark, large).join(spark.read.parquet(f"{large}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    hit = ((rows["predicted"] == 1) & (rows["toxic"] == 1)).sum()
+    assert hit / (rows["predicted"] == 1).sum() > 0.95 and hit / (rows["toxic"] == 1).sum() > 0.9
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_edges(spark, edges, nothing, module):
     labels = spark.createDataFrame([(4, 1, 1), (5, 0, 0), (4, 0, 0), (None, 1, 1), (6, None, None)], "doc_id long, quality int, toxic int")

@@ -253,3 +253,51 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id: r.n_tokens for r in current.collect()} == {i: len(library.encode(t or "")) + 1 for i, t in rows.items()}
     whole = {tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert whole == {tuple(r) for r in current.collect()}
+
+
+def stage_tables(spark, path):
+    spark.createDataFrame([(4, 1, 0), (6, 1, 1), (6, 0, 0), (None, 1, 1), (8, None, None), (7, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "same text here"), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+@pytest.mark.parametrize("name", ["toxicity", "exact_dedup", "ngram_join", "decontamination", "piece_encoding"])
+def test_stages_on_edges(spark, edges, nothing, tmp_path, name):
+    """Null and repeated ids and texts, an empty table, and columns called what stages call theirs."""
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    stage_tables(spark, tmp_path)
+    docs = common.materialise(edges.withColumns({c: F.lit("own") for c in ("of_id", "of_fp", "of_sha", "own_sha", "own_rank", "root", "fp", "rows", "stays", "__toxicity_score", "__gone", "__n")}), "edges")
+    out = stage(spark, docs, str(tmp_path))
+    rows, before = out.collect(), Counter((r.doc_id, r.text) for r in docs.collect())
+    assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+    if name == "piece_encoding":
+        assert Counter(r.doc_id for r in rows) == Counter(r[0] for r in EDGES) and all(r.n_tokens > 0 for r in rows)
+        return
+    after = Counter((r.doc_id, r.text) for r in rows)
+    assert out.columns == docs.columns and not after - before and {r.own_sha for r in rows} == {"own"}
+    gone = before - after
+    if name == "exact_dedup":
+        texts = lambda c: {re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in c}
+        assert texts(after) == texts(before) and sum(after.values()) == len(texts(before))
+    elif name == "ngram_join":
+        assert set(gone) == {(4, "same text here"), (5, "same  text here")} and after[4, "same text here"] == 1, "texts without words are linked with nothing"
+    elif name == "decontamination":
+        assert set(gone) == {(4, "same text here"), (5, "same  text here")} and not after[4, "same text here"] and after[4, "other text for the id"] == 1
+
+
+def test_pipeline_on_edges(spark, edges, tmp_path):
+    import corpus_pipeline
+
+    stage_tables(spark, tmp_path)
+    docs = edges.select("doc_id", "text", "lang", "source", "n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert spark.conf.get(setting) == before
+    ids = Counter(r.doc_id for r in got.collect())
+    assert not ids - Counter(r[0] for r in EDGES) and 8 in ids and ids[4] <= 1 and 5 not in ids
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    stage_tables(spark, tmp_path / "none")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
