@@ -12,6 +12,8 @@ import atexit
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -110,6 +112,25 @@ def small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+#: Rows of a batch that a Python worker is given in a pipeline stage: Spark's own 10,000 of long texts take much memory on both sides.
+STAGE_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = STAGE_ROWS) -> Iterator[None]:
+    """Within it, Python workers get batches of ``rows`` rows; the session's setting is as before after it.
+
+    A plan takes the setting when it runs, so what is to be run so must be written within.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def fresh(name: str, df: DataFrame) -> str:
     """A column name that ``df`` does not have, whatever the caller called its columns."""
     taken = {c.lower() for c in df.columns}

@@ -65,7 +65,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, hand_back, materialise, partitions, small, table
+from .common import discard, fresh, hand_back, materialise, partitions, small, small_batches, table
 
 WORDS, PERCENT = 5, 80
 #: Shingles gathered in a task before they are dealt, and text hashed at a time.
@@ -706,7 +706,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     It is a row with the least id; of several texts with that id, the one of the least hash.  Rows are told apart by id
     and hash of the text; of rows equal in both, any one stays.
     """
-    rows = joined(docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("fp"))).where("root is not null")
+    with small_batches(spark):
+        rows = joined(docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("fp"))).where("root is not null")
     rows = materialise(rows.groupBy("root", "id", "fp").agg(F.count("*").alias("rows")), "near")
     best = materialise(rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "fp")).alias("best")), "near-best")
     rows = rows.join(small(best, best.count(), 64), "root").withColumn("stays", F.col("id").eqNullSafe(F.col("best.id")) & (F.col("fp") == F.col("best.fp")))

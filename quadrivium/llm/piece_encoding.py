@@ -36,7 +36,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hand_back, table
+from .common import hand_back, materialise, small_batches, table
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -213,13 +213,14 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
-def encode_documents(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None, cached: int = CACHED_SEGMENTS) -> DataFrame:
-    """(id, ids, decoded): ids with the end id, and the text they decode to."""
+def encode_documents(documents: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None, cached: int = CACHED_SEGMENTS, keep: bool = True) -> DataFrame:
+    """(id, ids, decoded): ids with the end id, and the text they decode to; ``keep``: workers keep caches from task to task."""
     path = path or model_path()
     docs = documents.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, cached)
+        own = encoder(path, cached) if keep else PieceEncoder(path)
+        own.cached = cached
         for batch in batches:
             texts = batch.column(1)
             ids, offsets, decoded, first, chars = array("i"), [0], [], 0, 0
@@ -234,6 +235,7 @@ def encode_documents(documents: DataFrame, text_col: str = "text", id_col: str =
                     lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(ids, dtype=np.int32)))
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i + 1 - first), lists, pa.array(decoded, pa.string())], names=[id_col, "ids", "decoded"])
                     ids, offsets, decoded, first, chars = array("i"), [0], [], i + 1, 0
+        del own
         hand_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -262,5 +264,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last pipeline stage: id and text digests of every document kept; smaller caches, since its workers also hold what earlier stages left."""
-    return digests(encode_documents(docs, cached=STAGE_SEGMENTS))
+    """Last pipeline stage: id and text digests of every document kept.
+
+    Its workers also serve what comes after, so a task's caches are small and end with it.
+    """
+    with small_batches(spark):
+        return materialise(digests(encode_documents(docs, cached=STAGE_SEGMENTS, keep=False)), "encoded")

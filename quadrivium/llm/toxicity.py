@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import hand_back, id_fold, materialise, table
+from .common import hand_back, id_fold, materialise, small_batches, table
 from .learning import labelled_sample, with_text
 
 SAMPLE_ROWS = 40_000
@@ -216,5 +216,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted toxic go; columns stay as they are."""
-    model = train(docs, table(spark, sf_dir, "labels"), id_fold("doc_id", FOLDS) != 0)
-    return docs.where(score(docs, model) < 0.5)
+    with small_batches(spark):
+        model = train(docs, table(spark, sf_dir, "labels"), id_fold("doc_id", FOLDS) != 0)
+        return materialise(docs.where(score(docs, model) < 0.5), "not-toxic")
