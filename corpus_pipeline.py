@@ -20,22 +20,12 @@ STAGES = [
 ORACLE_SQL = None
 
 
-#: Rows of a batch that a Python worker is given; Spark's own 10,000 of long texts take much memory on both sides.
-BATCH_ROWS = "1000"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in their order, each written and read again; the session's settings are as before once it returns."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, BATCH_ROWS)
-    try:
-        docs, read = table(spark, sf_dir, "documents"), None
-        for name, stage in STAGES:
-            docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
-            if read is not None:
-                discard(read)  # what the stage before wrote has been used up
-            read = docs
-        return docs
-    finally:
-        spark.conf.set(setting, before)
+    """The stages in their order, each written and read again."""
+    docs, read = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if read is not None:
+            discard(read)  # what the stage before wrote has been used up
+        read = docs
+    return docs
