@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import hand_back, id_fold, materialise, small_batches, table
+from .common import fresh, hand_back, id_fold, materialise, small, small_batches, table
 from .learning import labelled_sample, with_text
 
 SAMPLE_ROWS = 40_000
@@ -215,7 +215,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents predicted toxic go; columns stay as they are."""
+    """Pipeline stage: documents predicted toxic go, each judged by its own text; columns stay as they are."""
+    id_, fp = fresh("of_id", docs), fresh("of_fp", docs)
     with small_batches(spark):
         model = train(docs, table(spark, sf_dir, "labels"), id_fold("doc_id", FOLDS) != 0)
-        return materialise(docs.where(score(docs, model) < 0.5), "not-toxic")
+        toxic = docs.where(score(docs, model) >= 0.5).select(F.col("doc_id").alias(id_), F.xxhash64("text").alias(fp)).distinct()
+        toxic = materialise(toxic, "toxic")
+    return docs.join(small(toxic, toxic.count(), 24), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(fp)), "left_anti")
