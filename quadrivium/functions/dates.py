@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col, filled, once, strip
+from .text import col, filled, strip
 
+# The patterns below define the audit categories.
 ISO_TIME = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"
 ISO_DATE = r"\b\d{4}-\d{2}-\d{2}\b"
-# The patterns below define the audit categories.
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec"
 DATE_STRING = rf"(?i)(?:{MONTHS})\s+\d{{1,2}}(?:,?\s*\d{{4}})?|\b\d{{1,2}}/\d{{1,2}}(?:/\d{{2,4}})?\b|\b\d{{1,2}}-\d{{1,2}}(?:-\d{{2,4}})?\b"
-RELATIVE = r"(?i)\bweek\s*\d+\b|\bnext\s+(monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b|\b(before|by|during)\s+class\b|\b(class|session|lecture|module|unit|lab)\s*\d+\b"
+NAMED_DAY = r"\bnext\s+(monday|tuesday|wednesday|thursday|friday|saturday|sunday)\b|\b(before|by|during)\s+class\b"
+RELATIVE = rf"(?i)\bweek\s*\d+\b|{NAMED_DAY}|\b(class|session|lecture|module|unit|lab)\s*\d+\b"
 VAGUE = r"(?i)\b(tbd|tba|not specified|end of (semester|term|year|course)|before (spring|fall|winter|summer) break|to be announced|to be determined|flexible|ongoing|see (syllabus|instructor|course page)|check (blackboard|canvas|course page)|varies|rolling|as assigned)\b"
 TIME = r"\b\d{1,2}:\d{2}\s*(?:am|pm|AM|PM)?\b"
 CATEGORIES = ["iso_datetime", "iso_date", "date_string", "relative", "vague", "missing"]
@@ -43,15 +44,19 @@ def outside_window(due: Column | str, start: Column, end: Column) -> Column:
 
 
 def date_category(x: Column | str) -> Column:
-    def of(s: Column) -> Column:
-        return (
-            F.when(s.isNull() | F.lower(F.left(s, F.lit(8))).isin("", "none", "null", "n/a"), "missing")
-            .when(s.rlike(ISO_TIME), "iso_datetime").when(s.rlike(ISO_DATE), "iso_date").when(s.rlike(DATE_STRING), "date_string")
-            .when(s.rlike(RELATIVE), "relative")
-            .when(s.rlike(VAGUE), "vague").when(s.rlike(r"\d"), "relative").otherwise("vague")
-        )
-
-    return once(strip(x), of)
+    """The first category that a text fits, in the order below.
+
+    Cheap tests that a pattern's matches all pass come before it: most texts have no digit, and then only a named day
+    can tell them from vague ones; a date as words needs a digit after a letter and blanks, or one beside a dash.
+    """
+    text = col(x)
+    missing = text.isNull() | F.lower(F.left(strip(text), F.lit(8))).isin("", "none", "null", "n/a")
+    written = text.rlike(r"\d[-/]\d|[a-zA-Z]\s+\d") & text.rlike(DATE_STRING)
+    return (
+        F.when(missing, "missing").when(~text.rlike(r"\d"), F.when(text.rlike(rf"(?i){NAMED_DAY}"), "relative").otherwise("vague"))
+        .when(text.rlike(r"\d-\d") & text.rlike(ISO_TIME), "iso_datetime").when(text.rlike(r"\d-\d") & text.rlike(ISO_DATE), "iso_date").when(written, "date_string")
+        .when(text.rlike(RELATIVE), "relative").when(text.rlike(VAGUE), "vague").otherwise("relative")
+    )
 
 
 def resolved_category(x: Column | str) -> Column:

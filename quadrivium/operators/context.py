@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .documents import title_of
@@ -31,15 +31,12 @@ def build_context(courses: DataFrame, summaries: DataFrame, found: DataFrame, at
     head = F.concat(F.lit("[Pre-processed Course Summary: "), F.col("course_name"), F.lit("]\n"), F.nullif(F.col("summary"), F.lit("")))
     blocks = courses.join(summaries.select("course_id", "summary"), "course_id", "left").join(found.groupBy("course_id").agg(parts), "course_id", "left")
     body = _joined(blocks.select("pos", F.concat_ws("\n\n", head, "parts").alias("block")), "block", RULE).withColumnRenamed("text", "body")
-    spark = courses.sparkSession
-    one = lambda df, name: df.select(F.col("text").alias(name)) if df is not None else _nothing(spark, name)
     before = _joined(attached.select("pos", F.concat(F.lit("[Attached document: "), F.col("title"), F.lit("]\n"), F.col("text")).alias("block")), "block", RULE) if attached is not None else None
-    all_ = body.join(F.broadcast(one(before, "attached")), how="left").join(F.broadcast(one(overrides, "fixed")), how="left")  # a row each
+    # A row for each of the three parts, put side by side by one aggregation: a prompt is one text by definition.
+    parts_ = body.select(F.lit("body").alias("kind"), F.col("body").alias("text"))
+    for kind, rows in (("attached", before), ("fixed", overrides)):
+        if rows is not None:
+            parts_ = parts_.unionByName(rows.select(F.lit(kind).alias("kind"), "text"))
+    side = parts_.groupBy().agg(*[F.max(F.when(F.col("kind") == k, F.col("text"))).alias(k) for k in ("fixed", "attached", "body")])
     main = F.concat_ws(RULE, F.nullif("attached", F.lit("")), F.nullif("body", F.lit("")))
-    return all_.select(F.when(F.col("fixed").isNotNull(), F.concat("fixed", F.lit("\n---\n\n"), main)).otherwise(main).alias("text"))
-
-
-def _nothing(spark: SparkSession, name: str) -> DataFrame:
-    return spark.createDataFrame([], f"{name} string")
-
-
+    return side.select(F.when(F.col("fixed").isNotNull(), F.concat("fixed", F.lit("\n---\n\n"), main)).otherwise(main).alias("text"))

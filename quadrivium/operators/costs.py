@@ -16,9 +16,9 @@ def pricing(spark: SparkSession, rates: dict[str, tuple[float, float]]) -> DataF
 
 
 def priced(calls: DataFrame, prices: DataFrame) -> DataFrame:
-    """Adds ``cost_usd``; a model without a price costs 0. Prices are a literal table of a few rows."""
+    """Adds ``cost_usd``; a model without a price costs 0. Spark broadcasts the prices if they are few, which it sees from their size."""
     cost = (F.col("input_tokens") * F.col("in_rate") + F.col("output_tokens") * F.col("out_rate")) / 1_000_000
-    return calls.join(F.broadcast(prices), "model", "left").withColumn("cost_usd", F.coalesce(cost, F.lit(0.0))).drop("in_rate", "out_rate")
+    return calls.join(prices, "model", "left").withColumn("cost_usd", F.coalesce(cost, F.lit(0.0))).drop("in_rate", "out_rate")
 
 
 def own_date(event_time: str) -> Column:

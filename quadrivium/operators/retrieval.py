@@ -50,13 +50,13 @@ def search_many(chunks: DataFrame, queries: DataFrame, top_k: int = TOP_K, key:
     of another length than its partner's is an error; unusable queries have no result.
     """
     spark = chunks.sparkSession
-    packed = written(_packed(queries.where(usable("query")).select("query_id", "query"), query_rows).withColumn("at", F.monotonically_increasing_id()), "query-blocks")
-    numbered = packed.groupBy("at").agg(F.octet_length(F.first("matrix")).alias("bytes")).orderBy("at").collect()  # a row for each block of queries
+    packed = written(_packed(queries.where(usable("query")).select("query_id", "query"), query_rows).withColumn("row", F.monotonically_increasing_id()), "query-blocks")
+    numbered = packed.select("row", F.octet_length("matrix").alias("bytes")).orderBy("row").collect()  # a row for each block of queries
     if not numbered:
         return spark.createDataFrame([], T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField(key, chunks.schema[key].dataType), T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())]))
-    cells = F.array(*[F.lit(r["at"]) for r in numbered])
-    blocks = _packed(chunks.where(usable(vector)).select(key, vector), rows).select(F.col("ids").alias("chunk_ids"), F.col("matrix").alias("chunk_matrix"), F.explode(cells).alias("at"))
-    sides = packed.select("at", F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))
+    cell = spark.createDataFrame([(r["row"], i) for i, r in enumerate(numbered)], "row long, at int")
+    blocks = _packed(chunks.where(usable(vector)).select(key, vector), rows).select(F.col("ids").alias("chunk_ids"), F.col("matrix").alias("chunk_matrix"), F.explode(F.sequence(F.lit(0), F.lit(len(numbered) - 1))).alias("at"))
+    sides = packed.join(cell, "row").select("at", F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))
     small = sum(r["bytes"] for r in numbered) <= BROADCAST_BYTES
     met = blocks.join(F.broadcast(sides) if small else sides, "at").select("chunk_ids", "chunk_matrix", "query_ids", "query_matrix")
     kinds = [queries.schema["query_id"].dataType, chunks.schema[key].dataType]

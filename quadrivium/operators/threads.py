@@ -38,11 +38,17 @@ def first_messages(messages: DataFrame) -> DataFrame:
 
 
 def create(rows: DataFrame, now: str) -> DataFrame:
-    """New threads of (incognito, key): the newest stands at the head, so ``pos`` counts down from the stored ones."""
+    """New threads of (incognito, key); ``at_head`` gives them their place."""
     empty = "array<struct<role: string, content: string, timestamp: string, attachments: array<struct<doc_id: string, name: string>>>>"
     return rows.select(uuid_id("thread_", "key", F.lit(now)).alias("id"), F.lit(NEW_TITLE).alias("title"), F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), F.coalesce("incognito", F.lit(False)).alias("incognito"), F.lit(None).cast("string").alias("deleted_at"), F.array().cast(empty).alias("messages"), F.array().cast("array<string>").alias("documents"))
 
 
+def at_head(stored: DataFrame, new: DataFrame, seq: str = "seq") -> DataFrame:
+    """Adds ``pos`` to new threads: before all stored ones, the newest (by the whole number ``seq``) first."""
+    first, last = (frame.agg(f(c)).first()[0] for frame, f, c in ((stored, F.min, "pos"), (new, F.min, seq)))
+    return new.withColumn("pos", F.lit(first if first is not None else 0).cast("long") - 1 - (F.col(seq) - F.lit(last if last is not None else 0)))
+
+
 def rename(threads: DataFrame, changes: DataFrame, now: str) -> DataFrame:
     new = changes.select("id", renamed_title("title").alias("__title"))
     out = threads.join(new, "id", "left").withColumn("updated_at", F.when(F.col("__title").isNotNull(), F.lit(now)).otherwise(F.col("updated_at")))

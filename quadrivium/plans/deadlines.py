@@ -275,7 +275,6 @@ _ROWS = """a AS (
   SELECT id, course_id, title, type, due, confidence_score, CASE WHEN dismissed THEN 'dismissed' WHEN due IS NULL THEN 'needs_attention' ELSE 'resolved' END, CASE WHEN dismissed THEN NULL WHEN due IS NULL THEN 'unresolved_date' ELSE 'user_added' END, true FROM hand
 )"""
 _COLOUR = "['#2563eb', '#16a34a', '#dc2626', '#ea580c', '#9333ea', '#0891b2']"
-_CATEGORY = "CASE WHEN text IS NULL OR lower(text) IN ('', 'none', 'null', 'n/a') THEN 'missing' WHEN regexp_matches(text, '{time}') THEN 'iso_datetime' WHEN regexp_matches(text, '{date}') THEN 'iso_date' WHEN regexp_matches(text, '{string}') THEN 'date_string' WHEN regexp_matches(text, '{relative}') THEN 'relative' WHEN regexp_matches(text, '{vague}') THEN 'vague' WHEN regexp_matches(text, '[0-9]') THEN 'relative' ELSE 'vague' END".format(time=dates.ISO_TIME, date=dates.ISO_DATE, string=dates.DATE_STRING, relative=dates.RELATIVE, vague=dates.VAGUE)
 _SHARE = "CASE WHEN (SELECT count(*) FROM c) = 0 THEN '0.0%' ELSE printf('%.1f', 100.0 * count(c.category) / (SELECT count(*) FROM c)) || '%' END"
 _STOP = "['the','a','an','of','for','and','or','in','on','to','is','it','at','by','be','as','my','me']"
 
@@ -326,8 +325,16 @@ SQL = {
         WITH t AS (SELECT split_part(p_type, ' ', 1) AS kind, p_name, count(*) AS n FROM part GROUP BY ALL),
         s AS (SELECT a.kind, a.p_name AS ta, b.p_name AS tb, round(CASE WHEN a.p_name = b.p_name THEN 100.0 ELSE 100.0 * (1 - levenshtein(lower(a.p_name), lower(b.p_name)) / greatest(length(a.p_name), length(b.p_name))) END, 4) AS similarity, a.n AS na, b.n AS nb FROM t a JOIN t b ON a.kind = b.kind AND a.p_name <= b.p_name)
         SELECT kind, ta, tb, similarity, na, nb, CAST(CASE WHEN ta = tb THEN na * (na - 1) // 2 ELSE na * nb END AS BIGINT) AS pairs FROM s WHERE similarity >= 70.0 AND (ta < tb OR na > 1)""",
-    "date_category_histogram": f"""
-        WITH c AS (SELECT {_CATEGORY} AS category FROM documents), names AS (SELECT unnest([0, 1, 2, 3, 4, 5]) AS place, unnest({dates.CATEGORIES}) AS category)
+    "date_category_histogram": rf"""
+        WITH m AS (SELECT string_agg(lower(strftime(make_date(2001, i, 1), '%B')) || '|' || lower(strftime(make_date(2001, i, 1), '%b')), '|') AS months FROM range(1, 13) AS t(i)),
+        w AS (SELECT string_agg(lower(strftime(make_date(2001, 1, i), '%A')), '|') AS days FROM range(1, 8) AS t(i)),
+        t AS (SELECT lower(text) AS x, text, months, days FROM documents, m, w),
+        c AS (SELECT CASE WHEN text IS NULL OR regexp_matches(x, '^\s*(none|null|n/a)?\s*$') THEN 'missing' WHEN regexp_matches(text, '[0-9]{{4}}(-[0-9][0-9]){{2}}[T ][0-9][0-9]:[0-9][0-9]') THEN 'iso_datetime' WHEN regexp_matches(x, '\b[0-9]{{4}}(-[0-9][0-9]){{2}}\b') THEN 'iso_date'
+            WHEN regexp_matches(x, '(' || months || ')\s+[0-9]') OR regexp_matches(x, '\b[0-9][0-9]?/[0-9][0-9]?(/[0-9]{{2,4}})?\b') OR regexp_matches(x, '\b[0-9][0-9]?-[0-9][0-9]?(-[0-9]{{2,4}})?\b') THEN 'date_string'
+            WHEN regexp_matches(x, '\b(week|class|session|lecture|module|unit|lab)\s*[0-9]+\b') OR regexp_matches(x, '\bnext\s+(' || days || ')\b') OR regexp_matches(x, '\b(before|by|during)\s+class\b') THEN 'relative'
+            WHEN NOT regexp_matches(x, '[0-9]') OR list_bool_or(list_transform(['tbd', 'tba', 'not specified', 'end of semester', 'end of term', 'end of year', 'end of course', 'before spring break', 'before fall break', 'before winter break', 'before summer break', 'to be announced', 'to be determined', 'flexible', 'ongoing',
+              'see syllabus', 'see instructor', 'see course page', 'check blackboard', 'check canvas', 'check course page', 'varies', 'rolling', 'as assigned'], lambda p: contains(x, p) AND regexp_matches(x, '\b' || p || '\b'))) THEN 'vague' ELSE 'relative' END AS category FROM t),
+        names AS (SELECT unnest([0, 1, 2, 3, 4, 5]) AS place, unnest(['iso_datetime', 'iso_date', 'date_string', 'relative', 'vague', 'missing']) AS category)
         SELECT place, names.category, count(c.category) AS n, {_SHARE} AS share, place < 3 AS parseable FROM names LEFT JOIN c USING (category) GROUP BY ALL""",
     "due_formats": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS due, CASE o_orderkey % 5 WHEN 3 THEN 'iso_date' ELSE 'date_string' END AS category FROM orders",
     "week_dates": "SELECT o_orderkey, CAST(DATE '2026-01-14' + CAST(7 * (o_orderkey % 15) AS INTEGER) AS VARCHAR) AS due, 3 AS confidence FROM orders",

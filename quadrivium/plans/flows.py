@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import html
+from ..functions import extraction, html
 from ..operators import audit, content, context, deadlines, documents, overrides, retrieval, startup, threads
 from ..sources import readers, versions, writers
 from ..streaming import loading
@@ -222,10 +222,41 @@ def prompt_full(spark, sf_dir):
     return context.build_context(courses, courses.select("course_id", F.concat(F.lit("Summary "), F.col("course_id")).alias("summary")), none, attached, d.overrides_block(spark, sf_dir))
 
 
+def vision_pages(spark, sf_dir):
+    """Pages as images that a model reads, which fails for some: those are left to another try."""
+
+    def vision(data):
+        if len(data) % 4 == 0:
+            raise RuntimeError("no reply")
+        return None if len(data) % 4 == 1 else f" seen {len(data)} "
+
+    p = table(spark, sf_dir, "pages")
+    files = p.select("page_id", F.concat(F.lit("page"), "page_id", F.lit(".PNG")).alias("name"), F.lit("image/png").alias("mime"), F.coalesce("html", F.lit("")).cast("binary").alias("content"))
+    return extraction.extract_files(files, vision).select("page_id", "extracted.*")
+
+
+def new_thread_order(spark, sf_dir):
+    """Conversations as stored threads and customers as new ones: the newest at the head."""
+    held = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("pos")).distinct()
+    new = table(spark, sf_dir, "customer").select(F.concat(F.lit("t"), F.col("c_custkey")).alias("id"), F.col("c_custkey").alias("seq"))
+    both = threads.at_head(held, new).select("id", "pos").unionByName(held.select(F.col("pos").cast("string").alias("id"), F.col("pos").cast("long").alias("pos")))
+    return both
+
+
+def stamped_scans(spark, sf_dir):
+    """Two scans written side by side; what each has."""
+    p, folder, out = table(spark, sf_dir, "pages").select("page_id", "url"), scratch(spark, "scans"), None
+    for at, part in (("2026-01-31T10:20:30", p.where("page_id % 2 = 0")), ("2026-02-01T00:00:00", p)):
+        path = writers.write_stamped(part, folder, "content", at)
+        rows = spark.read.schema("page_id long, url string").json(path).select(F.lit(path.rpartition("/")[2]).alias("scan"), "page_id", "url")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 QUERIES = {
     "container_ancestors": container_ancestors, "one_course_containers": one_course_containers, "hot_titles": hot_titles, "pages_selected": pages_selected, "pages_by_kind": pages_by_kind, "pages_loaded": pages_loaded, "startup_flow": startup_flow,
     "vector_top5_many": vector_top5_many, "override_log_one_id": override_log_one_id, "course_map": course_map, "first_duplicates": first_duplicates, "upload_jobs": upload_jobs, "settings_log": settings_log, "incognito_view": incognito_view,
-    "thread_log": thread_log, "deadlines_store": deadlines_store, "report_lines": report_lines, "embedded_in_batches": embedded_in_batches, "summaries_manual": summaries_manual, "prompt_full": prompt_full,
+    "thread_log": thread_log, "deadlines_store": deadlines_store, "report_lines": report_lines, "embedded_in_batches": embedded_in_batches, "summaries_manual": summaries_manual, "prompt_full": prompt_full, "vision_pages": vision_pages, "new_thread_order": new_thread_order, "stamped_scans": stamped_scans,
 }
 
 _PLAIN = "replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
@@ -294,4 +325,7 @@ SQL = {
         c AS (SELECT string_agg('[Pre-processed Course Summary: ' || r_name || ']' || chr(10) || 'Summary ' || r_regionkey, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY r_regionkey) AS t FROM region),
         o AS ({d.SQL["overrides_block"]})
         SELECT o.text || chr(10) || '---' || chr(10) || chr(10) || b.t || chr(10) || chr(10) || '---' || chr(10) || chr(10) || c.t AS text FROM o, b, c""",
+    "vision_pages": "SELECT page_id, CASE WHEN strlen(coalesce(html, '')) % 4 >= 2 THEN 'seen ' || strlen(coalesce(html, '')) END AS text, CASE WHEN strlen(coalesce(html, '')) % 4 >= 2 THEN 'vision_ocr' ELSE 'needs_vision' END AS method, CASE WHEN strlen(coalesce(html, '')) % 4 >= 2 THEN 4 ELSE 0 END AS confidence FROM pages",
+    "new_thread_order": "WITH h AS (SELECT DISTINCT conv_id FROM conversations) SELECT 't' || c_custkey AS id, CAST((SELECT min(conv_id) FROM h) - 1 - (c_custkey - (SELECT min(c_custkey) FROM customer)) AS BIGINT) AS pos FROM customer UNION ALL SELECT CAST(conv_id AS VARCHAR), conv_id FROM h",
+    "stamped_scans": "SELECT 'content_20260131_102030.json' AS scan, page_id, url FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT 'content_20260201_000000.json', page_id, url FROM pages",
 }

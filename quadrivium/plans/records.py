@@ -90,7 +90,7 @@ def newest_files(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     found = o.select(F.concat(F.lit("data/preprocessed_"), F.col(ORDER), F.when(F.col(ORDER) % 2 == 0, ".OLD.json").otherwise(".json")).alias("path"), F.col("o_orderdate").alias("modificationTime"))
     out = readers.newest(found).withColumn("kind", F.lit("live")).unionByName(readers.newest(found, keep_old=True).withColumn("kind", F.lit("any")))
-    return out.withColumn("paired", F.lit(readers.paired_path("data/preprocessed_7.json")))
+    return out.withColumn("paired", readers.paired("path"))
 
 
 def files_extracted(spark, sf_dir):
@@ -256,7 +256,7 @@ SQL = {
     "ledger_file": "SELECT event_type AS operation, count(*) AS calls, CAST(sum(event_id) AS BIGINT) AS input_tokens, CAST(0 AS BIGINT) AS without, count(*) FILTER (event_id % 3 = 0) AS own_ids FROM events GROUP BY event_type",
     "newest_files": """
         WITH f AS (SELECT o_orderdate AS t, o_orderkey % 2 = 0 AS old, 'data/preprocessed_' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '.OLD.json' ELSE '.json' END AS path FROM orders)
-        SELECT 'live' AS kind, (SELECT path FROM f WHERE NOT old ORDER BY t DESC, path DESC LIMIT 1) AS path, 'data/7.json' AS paired UNION ALL SELECT 'any', (SELECT path FROM f ORDER BY t DESC, path DESC LIMIT 1), 'data/7.json'""",
+        SELECT kind, path, replace(path, 'preprocessed_', '') AS paired FROM (SELECT 'live' AS kind, (SELECT path FROM f WHERE NOT old ORDER BY t DESC, path DESC LIMIT 1) AS path UNION ALL SELECT 'any', (SELECT path FROM f ORDER BY t DESC, path DESC LIMIT 1))""",
     "files_extracted": rf"""
         SELECT page_id, CASE WHEN page_id % 3 <> 1 THEN nullif({_STRIP.format("coalesce(html, '')")}, '') END AS text, CASE WHEN page_id % 3 = 1 THEN 'needs_vision' ELSE 'native_text' END AS method, CASE WHEN page_id % 3 = 1 THEN 0 ELSE 5 END AS confidence, CASE WHEN page_id % 3 = 1 THEN 'image' END AS vision FROM pages""",
     "chunk_lists": f"""

@@ -152,6 +152,11 @@ def newest(found: DataFrame, keep_old: bool = False) -> DataFrame:
     return rows.agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
 
 
+def paired(path: Column | str) -> Column:
+    """``paired_path`` of a column of paths."""
+    return F.regexp_replace(path, r"(^|/)preprocessed_([^/]*)$", "$1$2")
+
+
 def paired_path(path: str) -> str:
     """Of a preprocessed summary file, the content file it was made from."""
     folder, _, name = path.rpartition("/")

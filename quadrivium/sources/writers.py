@@ -96,6 +96,13 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.withColumn("course_id", F.col("metadata.course_id")).write.mode("overwrite").partitionBy("course_id").parquet(path)
 
 
+def write_stamped(rows: DataFrame, folder: str, name: str, at: str) -> str:
+    """A scan's rows as JSON under a name with its time (``2026-01-31T10:20:30``): scans stand side by side, a scan is never changed."""
+    path = f"{folder.rstrip('/')}/{name}_{at[:10].replace('-', '')}_{at[11:19].replace(':', '')}.json"
+    rows.write.json(path)
+    return path
+
+
 def write_text(lines: DataFrame, path: str) -> None:
     lines.select(F.regexp_replace("line", "\x1b\\[[0-9;]*m", "").alias("value")).write.mode("overwrite").text(path)
 
