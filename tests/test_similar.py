@@ -129,3 +129,21 @@ def test_matched_titles_of_skewed_heads(spark):
     norm = lambda f, c, n: f.select(F.col(c).alias(n), F.lower(c).alias("n")).distinct()
     met = content._contained(norm(t, "title", "t"), "t", norm(q, "question", "q"), "q").distinct().count()
     assert met < 10 * len(want)
+
+
+def test_numbered_series_are_not_compared(spark, monkeypatch):
+    """A course of one series posts nothing, and one title more is all it takes to be compared; long lists of one series go too."""
+    read = []
+    monkeypatch.setattr(similar, "posted", lambda titles, *a, f=similar.posted: (read.append({r.group for r in titles.select("group").collect()}), f(titles, *a))[1])
+    rows = [("c", i, f"Order {i}") for i in range(300)] + [("d", i, f"Order {i}") for i in range(60)] + [("d", 900, "Ordering 7"), ("d", 901, "Orderings 7")]
+    found = similar.similar_titles(spark.createDataFrame(rows, SCHEMA), block=4).collect()
+    assert read == [{"d"}]
+    titles = {g: [t for h, _, t in rows if h == g] for g in ("c", "d")}
+    assert {(r.course_id, r.ta, r.tb) for r in found} == brute(titles, 85.0, ratio) and len(found) > 0
+
+
+def test_plans_stay_small(spark):
+    """What both sides of a join need is planned once: the driver keeps every plan and each of its changes."""
+    rows = spark.createDataFrame([("c", 0, "Essay on ethics"), ("c", 1, "Essay on ethics!")], SCHEMA)
+    plan = audit.duplicate_total(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") < 30
