@@ -218,11 +218,12 @@ def ingest(rows: DataFrame, now: str, embed: Callable | None = None, limit: int
 def attachment_texts(ids: DataFrame, documents: DataFrame, chunks: DataFrame, limit: int = 12_000) -> DataFrame:
     """(pos, doc_id, title, text) of attached ids in their order: chunks joined by newlines, cut with a mark.
 
-    Only the chunks that begin within the limit are gathered, whatever the length of the document.
+    Only the chunks that begin within the limit, or right behind it, are gathered, whatever the length of the document:
+    one that begins behind a newline at the limit is not shown, but it is what is cut.
     """
     earlier = Window.partitionBy("document_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
     attached = chunks.join(ids.select(F.col("doc_id").alias("document_id")).distinct(), "document_id", "left_semi")
-    needed = attached.withColumn("__before", F.coalesce(F.sum(F.length("text") + 1).over(earlier), F.lit(0))).where(F.col("__before") <= limit)
+    needed = attached.withColumn("__before", F.coalesce(F.sum(F.length("text") + 1).over(earlier), F.lit(0))).where(F.col("__before") <= limit + 1)
     joined = needed.groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda c: c["text"]), "\n").alias("text"))
     rows = ids.join(documents.select(F.col("id").alias("doc_id"), "title"), "doc_id").join(joined.withColumnRenamed("document_id", "doc_id"), "doc_id")
     cut = F.when(F.length("text") > limit, F.concat(F.left("text", F.lit(limit)), F.lit("\n[... truncated]"))).otherwise(F.col("text"))

@@ -113,6 +113,14 @@ def test_document_lifecycle(spark):
     assert len(att) == 1 and att[0].text == "x" * 100 + "\n[... truncated]"
 
 
+@pytest.mark.parametrize("sizes", [[100], [99], [60, 38], [60, 39], [60, 40], [60, 39, 5], [60, 38, 5], [60, 37, 5], [60, 40, 5], [99, 1], [100, 1], [101, 1], [0, 99, 0], [0, 0, 98, 0, 3], [30, 30, 38, 7]])
+def test_attachments_that_end_at_the_limit(spark, sizes):
+    pieces = spark.createDataFrame([("d", i, "abc"[i % 3] * n) for i, n in enumerate(sizes)], "document_id string, chunk_index int, text string")
+    att = documents.attachment_texts(spark.createDataFrame([(0, "d")], "pos int, doc_id string"), spark.createDataFrame([("d", "t")], "id string, title string"), pieces, 100).first()
+    whole = "\n".join("abc"[i % 3] * n for i, n in enumerate(sizes))
+    assert att.text == (whole[:100] + "\n[... truncated]" if len(whole) > 100 else whole)
+
+
 def test_threads(spark):
     t = threads.create(spark.createDataFrame([("k", False)], "key string, incognito boolean"), NOW)
     tid = t.first().id
