@@ -147,3 +147,23 @@ def test_plans_stay_small(spark):
     rows = spark.createDataFrame([("c", 0, "Essay on ethics"), ("c", 1, "Essay on ethics!")], SCHEMA)
     plan = audit.duplicate_total(rows)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") < 30
+
+
+def test_pairs_of_one_title_are_made_in_many_tasks(spark, monkeypatch):
+    """Titles with most of the rows are cut into blocks, and no task makes all of their pairs; none is lost or made twice."""
+    monkeypatch.setattr(audit, "BLOCK_KEYS", 40, raising=False)
+    monkeypatch.setattr(audit, "TASK_PAIRS", 5000, raising=False)
+    rows = [("c", i, "Essay on ethics" if i % 3 else "Essay on ethics!") for i in range(500)] + [("c", 900, "Quiz"), ("d", 901, "Essay on ethics")]
+    pairs = audit.duplicate_pairs(spark.createDataFrame(rows, SCHEMA), exact=False).withColumn("task", F.spark_partition_id())
+    made = pairs.groupBy("task").count().collect()
+    assert sum(r["count"] for r in made) == 500 * 499 // 2 and max(r["count"] for r in made) < 500 * 499 // 2 / 4
+    found = {(r.a, r.b): r.similarity for r in pairs.collect()}
+    assert found == {(a, b): 100.0 if (a % 3 == 0) == (b % 3 == 0) else pytest.approx(93.75) for b in range(500) for a in range(b)}
+
+
+def test_rows_without_order_are_no_pair(spark):
+    """As in the SQL, a pair needs a < b: rows with no key or with the same key are none, rows that repeat a key are pairs with others."""
+    rows = [("c", 1, "old bolt"), ("c", 1, "cold bolt"), ("c", 1, "old bolt"), ("c", None, "cold bolt"), ("c", 2, "cold bolt"), ("c", 0, "old bolt")]
+    found = sorted(tuple(r) for r in audit.duplicate_pairs(spark.createDataFrame(rows, SCHEMA), 70.0, exact=False).collect())
+    near = pytest.approx(800 / 9)
+    assert found == [("c", 0, 1, near), ("c", 0, 1, 100.0), ("c", 0, 1, 100.0), ("c", 0, 2, near), ("c", 1, 2, near), ("c", 1, 2, near), ("c", 1, 2, 100.0)]
