@@ -1,6 +1,7 @@
 """The similar-title join against all pairs, by the ratio and by edit distance."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -161,6 +162,16 @@ def test_pairs_of_one_title_are_made_in_many_tasks(spark, monkeypatch):
     assert found == {(a, b): 100.0 if (a % 3 == 0) == (b % 3 == 0) else pytest.approx(93.75) for b in range(500) for a in range(b)}
 
 
+def test_a_cell_expands_key_by_key(spark):
+    """A compiled loop keeps all rows that it makes of one input row, so the two expansions of a cell are not compiled into one."""
+    rows = [("c", i, "Essay on ethics" if i % 3 else "Essay on ethics!") for i in range(60)]
+    pairs = audit.duplicate_pairs(spark.createDataFrame(rows, SCHEMA), exact=False)
+    assert len(pairs.collect()) == 60 * 59 // 2
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    inner, outer = re.findall(r"(\*\(\d+\) )?Generate explode", plan)
+    assert not inner or inner != outer
+
+
 def test_rows_without_order_are_no_pair(spark):
     """As in the SQL, a pair needs a < b: rows with no key or with the same key are none, rows that repeat a key are pairs with others."""
     rows = [("c", 1, "old bolt"), ("c", 1, "cold bolt"), ("c", 1, "old bolt"), ("c", None, "cold bolt"), ("c", 2, "cold bolt"), ("c", 0, "old bolt")]
